@@ -72,18 +72,18 @@ def rolling(points: np.ndarray, width: int) -> np.ndarray:
         return np.empty(0, U64)
     with np.errstate(over="ignore"):
         power, have = mix(points.astype(U64) + U64(0x51ED27)), 1
-        whole, done, rest = None, 0, width
-        step = U64(0xD6E8FEB86659FD93)
+        whole, done, rest, factor = None, 0, width, 0xD6E8FEB86659FD93
         while rest:
             if rest & 1:
                 part = power[done : done + n]
-                whole = part.copy() if whole is None else mix(whole * step + part)
+                whole = part if whole is None else whole * U64(factor) + part
                 done += have
             rest >>= 1
             if rest:
-                power = mix(power[:-have] * step + power[have:])
+                power = power[:-have] * U64(factor) + power[have:]
                 have *= 2
-    return whole
+                factor = factor * factor & (2**64 - 1)
+    return mix(whole)
 
 
 def window_min(h: np.ndarray, window: int) -> np.ndarray:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidara.llm import neardup
+from evidara.llm import leaks, neardup, spans
 from evidara.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +26,23 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text", least=300)
+    return found.select(F.col("id").alias("doc_id"), "span_start", "span_end")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document's text is shared elsewhere; 0 where nothing is."""
+    docs = load(spark, sf_dir, "documents")
+    found = spans.shared_spans(docs, "doc_id", "text", least=300).groupBy("id").agg(F.count("*").alias("spans"), F.max("share").alias("share"))
+    ids = docs.select(F.col("doc_id").alias("id")).distinct()
+    return ids.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).alias("spans"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "passage", width=10)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
