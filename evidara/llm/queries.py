@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import leaks, neardup, spans
+from evidara.llm import leaks, neardup, spam, spans, terms
 from evidara.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,30 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).alias("spans"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = terms.term_scores(load(spark, sf_dir, "documents"), "doc_id", ["text", "description"], shortest=5, least=3)
+    return scores.where("df <= 6").select(F.col("id").alias("doc_id"), "term")
+
+
+def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most distinctive terms of each document."""
+    scores = terms.term_scores(load(spark, sf_dir, "documents"), "doc_id", ["text", "description"], shortest=5)
+    return terms.top_terms(scores, 10).select(F.col("id").alias("doc_id"), "rank", "term", "n", "df", F.round("score", 6).alias("score"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "passage", width=10)
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spam.stuffed(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.where(F.col("share") > 0.5).select(F.col("id").alias("doc_id"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.stuffed(load(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
