@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import leaks, mixing, neardup, ranking, spam, spans, splitting, terms, vectors
+from evidara.llm import leaks, mixing, neardup, ocr, ranking, spam, spans, splitting, terms, vectors
 from evidara.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,20 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).alias("spans"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
 
 
+#: Documents with pages read by OCR.
+SCANNED = "pages_ocr > 0"
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ocr.findings(load(spark, sf_dir, "documents"), "doc_id", "text", SCANNED)
+    return found.select(F.col("id").alias("doc_id"), F.col("line").alias("line_no"), "kind", "word").distinct()
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned documents as continuous paragraphs of right words."""
+    return ocr.repaired(load(spark, sf_dir, "documents"), "doc_id", "text", SCANNED).withColumnRenamed("id", "doc_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.close_pairs(load(spark, sf_dir, "chunks"), "id", "vector", least=0.95, k=10).select("id_a", "id_b")
 
