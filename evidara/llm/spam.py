@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import U64, WORD, _HASHES, arrow_map, as_long, mix
+from evidara.llm.common import _HASHES, CACHED_WORDS, U64, arrow_map, as_long, mix
 from evidara.session import scratch, spread
 
 
@@ -47,7 +47,8 @@ class SpamSettings:
 #: Links: bare addresses, Markdown targets, anchors.
 LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|<a\b[^>]*>[^<\n]*</a>|<br\s*/?>|(?:https?:)?//\S+", re.I)
 TARGET = re.compile(r"\]\([^)\n]*\)|<[^>\n]*>|(?:https?:)?//\S+", re.I)
-BREAK = re.compile(r"[.!?;:]+(?:\s|$)")
+#: Words, and what ends a sentence.
+TOKEN = re.compile(r"[^\W_]+|[.!?;:]+(?=\s|$)")
 GAP = re.compile(r"\n[ \t\r]*\n")
 FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 
@@ -68,22 +69,57 @@ def _table(block: str) -> bool:
     return len(lines) > 1 and sum(x[0] == "|" for x in lines) * 2 > len(lines)
 
 
-def ordered_words(block: str) -> list[np.ndarray]:
-    """The hashed words of each sentence of a block, without addresses."""
-    return [np.fromiter(map(_HASHES.__getitem__, w), U64, len(w)) for s in BREAK.split(TARGET.sub(" ", block.lower())) if (w := WORD.findall(s))]
-
-
-def pair_keys(sentences: list[np.ndarray], back: bool = False) -> np.ndarray:
-    """A key of every pair of neighbours; back: of the pair the other way round."""
-    if not sentences:
-        return np.empty(0, U64)
-    w = np.concatenate(sentences)
-    inner = np.ones(len(w), bool)
-    inner[np.cumsum([len(s) for s in sentences]) - 1] = False
-    at = np.flatnonzero(inner)
-    a, b = (w[at + 1], w[at]) if back else (w[at], w[at + 1])
-    with np.errstate(over="ignore"):
-        return mix(a * U64(0x9E3779B97F4A7C15) + b)
+class _Tokens(dict):
+    """Hashes of words; 0 for what ends a sentence."""
+
+    def __missing__(self, token: str) -> int:
+        h = 0 if token[0] in ".!?;:" else _HASHES[token] or 1
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        self[token] = h
+        return h
+
+
+_TOKENS = _Tokens()
+
+
+class Read:
+    """Several texts as hashed words: w, the block of each word and the text of each block."""
+
+    def __init__(self, texts: list[str]):
+        self.text_of: list[int] = []
+        self.blocks: list[str] = []
+        self.judged: list[bool] = []
+        tokens: list[str] = []
+        sizes = []
+        for n, text in enumerate(texts):
+            for b, judged in blocks(text):
+                self.text_of.append(n)
+                self.blocks.append(b)
+                self.judged.append(judged)
+                before = len(tokens)
+                if judged:
+                    low = b.lower()
+                    tokens += TOKEN.findall(TARGET.sub(" ", low) if "//" in low or "](" in low or "<" in low else low)
+                sizes.append(len(tokens) - before)
+        self.w = np.fromiter(map(_TOKENS.__getitem__, tokens), U64, len(tokens))
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.block = np.repeat(np.arange(len(sizes)), sizes)
+        left, right = self.w[:-1], self.w[1:]
+        #: Where the first word of each pair of neighbours stands.
+        self.at = np.flatnonzero((left != 0) & (right != 0) & (self.block[:-1] == self.block[1:])) if len(self.w) > 1 else np.empty(0, np.int64)
+
+    def pairs(self, back: bool = False) -> np.ndarray:
+        """A key of every pair of neighbours; back: of the pair the other way round."""
+        a, b = (self.w[self.at + 1], self.w[self.at]) if back else (self.w[self.at], self.w[self.at + 1])
+        with np.errstate(over="ignore"):
+            return mix(a * U64(0x9E3779B97F4A7C15) + b)
+
+    def words(self, block: int) -> tuple[np.ndarray, int]:
+        """(the words of a block, how many sentences they make)."""
+        own = self.w[self.ends[block - 1] if block else 0 : self.ends[block]]
+        word = own != 0
+        return own[word], int(np.count_nonzero(word & ~np.append(False, word[:-1])))
 
 
 class Counts:
@@ -102,41 +138,35 @@ class Counts:
         return np.where(self.keys[at] == keys, self.counts[at], 0)
 
 
-def judge(text: str, counts: Counts, settings: SpamSettings) -> list[tuple[str, int, float, float]]:
-    """(kind, characters, order, variety) of each block: kind is '', 'links', 'salad' or 'repeated'."""
-    cut = [(b, ordered_words(b) if judged else None) for b, judged in blocks(text)]
-    keys = [(pair_keys(s), pair_keys(s, True)) for _, s in cut if s is not None]
-    if not keys:
-        return [("", len(b), 0.0, 1.0) for b, _ in cut]
-    ahead, back = (np.concatenate(k) for k in zip(*keys))
-    own, inverse, times = np.unique(ahead, return_inverse=True, return_counts=True)
-    there = np.searchsorted(own, back)
-    there[there == len(own)] = 0
-    mine_back = np.where(own[there] == back, times[there], 0) if len(own) else np.zeros(0)
-    every = counts.of(np.concatenate([ahead, back]))
+def judge(texts: list[str], counts: Counts, settings: SpamSettings) -> list[list[tuple[str, int, float]]]:
+    """For each text (kind, characters, order) of its blocks: kind is '', 'links', 'salad' or 'repeated'."""
+    r = Read(texts)
+    ahead, back = r.pairs(), r.pairs(True)
     n = len(ahead)
-    forward = np.maximum(0, every[:n] - times[inverse]) + counts.floor
-    backward = np.maximum(0, every[n:] - mine_back) + counts.floor
-    ordered = np.log(forward / backward)
-    out, at = [], 0
-    for b, s in cut:
-        if s is None:
-            out.append(("", len(b), 0.0, 1.0))
-            continue
-        k = sum(len(x) - 1 for x in s)
-        order = float(ordered[at : at + k].mean()) if k else 0.0
-        at += k
-        w = np.concatenate(s) if s else np.empty(0, U64)
-        variety = _variety(w, settings.window)
-        linked = sum(len(m.group()) for m in LINK.finditer(b))
+    salt = mix(np.asarray(r.text_of, U64))[r.block[r.at]] if n else np.empty(0, U64)
+    own, inverse, times = np.unique(ahead ^ salt, return_inverse=True, return_counts=True)
+    mine = times[inverse] if n else np.empty(0)
+    there = np.searchsorted(own, back ^ salt)
+    there[there == len(own)] = 0
+    mine_back = np.where(own[there] == back ^ salt, times[there], 0) if n else np.empty(0)
+    kinds, which = np.unique(np.concatenate([ahead, back]), return_inverse=True)
+    every = counts.of(kinds)[which]
+    ordered = np.log((np.maximum(0, every[:n] - mine) + counts.floor) / (np.maximum(0, every[n:] - mine_back) + counts.floor))
+    k = np.bincount(r.block[r.at], minlength=len(r.blocks))
+    order = np.bincount(r.block[r.at], weights=ordered, minlength=len(r.blocks)) / np.maximum(1, k)
+    out: list[list[tuple[str, int, float]]] = [[] for _ in texts]
+    for i, (b, judged) in enumerate(zip(r.blocks, r.judged)):
         kind = ""
-        if linked >= settings.links * max(1, len(b.strip())):
-            kind = "links"
-        elif k >= settings.least_pairs and order < (settings.weak if len(w) > settings.breath * len(s) else settings.incoherent):
-            kind = "salad"
-        elif k >= settings.least_pairs and order < settings.weak and variety < settings.variety:
-            kind = "repeated"
-        out.append((kind, len(b), order, variety))
+        if judged:
+            if ("//" in b or "](" in b or "<" in b) and sum(len(m.group()) for m in LINK.finditer(b)) >= settings.links * max(1, len(b.strip())):
+                kind = "links"
+            elif k[i] >= settings.least_pairs and order[i] < settings.weak:
+                w, sentences = r.words(i)
+                if order[i] < (settings.weak if len(w) > settings.breath * sentences else settings.incoherent):
+                    kind = "salad"
+                elif _variety(w, settings.window) < settings.variety:
+                    kind = "repeated"
+        out[r.text_of[i]].append((kind, len(b), float(order[i])))
     return out
 
 
@@ -151,23 +181,37 @@ def _variety(w: np.ndarray, window: int) -> float:
 _COUNTS: dict = {}
 
 
-def _pairs_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+#: Characters that are judged or counted at a time.
+AT_ONCE = 1 << 19
+
+
+def _batches(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    def counted() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(as_long(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    for text in b.column(0).to_pylist():
-        for block, judged in blocks(text):
-            if judged:
-                held.append(pair_keys(ordered_words(block)))
-                size += len(held[-1])
+def _pairs_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for texts in _batches(b.column(0).to_pylist()):
+        held.append(Read(texts).pairs())
+        size += len(held[-1])
         if size > 2_000_000:
-            yield counted()
+            yield _counted(held)
             held, size = [], 0
     if held:
-        yield counted()
+        yield _counted(held)
+
+
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    keys, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.record_batch([pa.array(as_long(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 def stuffed(df: DataFrame, id_col: str, text_col: str, settings: SpamSettings = SpamSettings()) -> DataFrame:
@@ -187,15 +231,15 @@ def stuffed(df: DataFrame, id_col: str, text_col: str, settings: SpamSettings =
         if name not in _COUNTS:
             _COUNTS.clear()
             _COUNTS[name] = Counts(keys, n, total, settings.rare)
-        rows = []
-        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-            by = dict.fromkeys(("links", "salad", "repeated"), 0)
-            if text:
-                for kind, size, _, _ in judge(text, _COUNTS[name], settings):
+        rows, ids = [], iter(b.column("id").to_pylist())
+        for texts in _batches([t or "" for t in b.column("text").to_pylist()]):
+            for text, found in zip(texts, judge(texts, _COUNTS[name], settings)):
+                by = dict.fromkeys(("links", "salad", "repeated"), 0)
+                for kind, size, _ in found:
                     if kind:
                         by[kind] += size
-            whole = max(1, len(text or ""))
-            rows.append((i, sum(by.values()) / whole, *(v / whole for v in by.values())))
+                whole = max(1, len(text))
+                rows.append((next(ids), sum(by.values()) / whole, *(v / whole for v in by.values())))
         if rows:
             yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["id", "share", "links", "salad", "repeated"])
 
