@@ -120,26 +120,27 @@ def close_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.95
     # ids become hashes until the end; equal hashes of different ids only cost a comparison
     rows = scratch(rows.withColumn("h", F.xxhash64("id")), "vectors")
     bits, parts = plan(rows.count(), least, settings)
-    mean, directions = learn(_sample(rows, settings), ceil(bits * parts / 64) + 1, settings)
-    # the first word only judges: bits that differ at the threshold, and five deviations more
+    mean, directions = learn(_sample(rows, settings), ceil(bits * parts / 64) + 2, settings)
+    # the first two words only judge: bits that differ at the threshold, and five deviations more
     flip = acos(least) / pi
-    radius = int(64 * flip + 5 * (64 * flip * (1 - flip)) ** 0.5)
+    radius = int(128 * flip + 5 * (128 * flip * (1 - flip)) ** 0.5)
 
     def entries(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         if not n:
             return
         c = codes(unit(b.column("v")), mean, directions)
-        flat = np.unpackbits(c[:, 1:].view(np.uint8), axis=1, bitorder="little")[:, : bits * parts].reshape(n, parts, bits)
+        flat = np.unpackbits(np.ascontiguousarray(c[:, 2:]).view(np.uint8), axis=1, bitorder="little")[:, : bits * parts].reshape(n, parts, bits)
         keys = flat @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << 32)
         yield pa.record_batch(
-            [pa.array(keys.ravel()), pa.array(np.repeat(b.column("h").to_numpy(), parts)), pa.array(np.repeat(as_long(np.ascontiguousarray(c[:, 0])), parts))],
-            names=["key", "h", "code"],
+            [pa.array(keys.ravel()), pa.array(np.repeat(b.column("h").to_numpy(), parts)), *(pa.array(np.repeat(as_long(np.ascontiguousarray(c[:, j])), parts)) for j in (0, 1))],
+            names=["key", "h", "code0", "code1"],
         )
 
-    entry = arrow_map(rows.select("h", "v"), entries, "key long, h long, code long")
-    one, two = (entry.select("key", F.col("h").alias(h), F.col("code").alias(c)) for h, c in (("ha", "ca"), ("hb", "cb")))
-    met = one.join(two, "key").where(F.col("ha") < F.col("hb")).where(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= radius).select("ha", "hb").distinct()
+    entry = arrow_map(rows.select("h", "v"), entries, "key long, h long, code0 long, code1 long")
+    one, two = (entry.select("key", F.col("h").alias(f"h{x}"), F.col("code0").alias(f"{x}0"), F.col("code1").alias(f"{x}1")) for x in "ab")
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    met = one.join(two, "key").where(F.col("ha") < F.col("hb")).where(apart <= radius).select("ha", "hb").distinct()
     a, b = (rows.select(F.col("h").alias(f"h{x}"), F.col("id").alias(f"id_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
     both = met.join(a, "ha").join(b, "hb").select("id_a", "id_b", "va", "vb")
 
