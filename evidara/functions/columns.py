@@ -15,6 +15,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once: in a function over array elements an expression would be computed for each."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def words(text: Column | str) -> Column:
     """The words of a text in order, lower case; none for null."""
     return F.coalesce(F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -28,9 +33,13 @@ def question_terms(text: Column | str) -> Column:
 
 def shingles(w: Column | str, width: int = 3) -> Column:
     """The distinct runs of width words; none where there are fewer."""
-    w = _c(w)
-    run = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.when(F.size(w) >= width, F.array_distinct(run)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(v: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(v) - (width - 1)), lambda i: F.array_join(F.slice(v, i, width), " "))
+        return F.when(F.size(v) >= width, F.array_distinct(each)).otherwise(none)
+
+    return let(_c(w), runs)
 
 
 def collapsed(text: Column | str) -> Column:
@@ -52,13 +61,11 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """A vector of length 1 in its direction; the zero vector stays zero."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(norm(a), lambda n: F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(0.0))
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
@@ -81,8 +88,8 @@ def sigmoid(x: Column | str) -> Column:
 
 
 def logit(p: Column | str) -> Column:
-    p = F.least(F.greatest(_c(p), F.lit(5e-324)), F.lit(1 - 2.0**-53))
-    return F.log(p) - F.log1p(-p)
+    near = F.least(F.greatest(_c(p), F.lit(5e-324)), F.lit(1 - 2.0**-53))
+    return F.when(_c(p).isNotNull(), F.log(near) - F.log1p(-near))
 
 
 def harmonic(a: Column | str, b: Column | str) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.functions.columns import let
+
 
 def beta_fit(scores: DataFrame, by: str, score: str) -> DataFrame:
     """(by, floor, beta_a, beta_b): the mean, and a beta distribution by moments; (1, 1) where there are under two scores or no spread."""
@@ -86,7 +88,7 @@ def predictors(questions: DataFrame, similarities: str) -> DataFrame:
         return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.when(F.size(x) > 0, F.size(x))
 
     rows = questions.withColumns({"_ten": ten, "_five": five})
-    spread = F.sqrt(mean(F.transform("_ten", lambda x: (x - mean(F.col("_ten"))) * (x - mean(F.col("_ten"))))))
+    spread = let(mean(F.col("_ten")), lambda m: F.sqrt(mean(F.transform("_ten", lambda x: (x - m) * (x - m)))))
     return rows.withColumns({"best": F.try_element_at("_ten", F.lit(1)), "lead": F.try_element_at("_ten", F.lit(1)) - F.try_element_at("_ten", F.lit(2)), "spread": spread, "mean_five": mean(F.col("_five"))}).drop("_ten", "_five")
 
 

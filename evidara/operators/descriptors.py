@@ -22,7 +22,7 @@ NEIGHBOURS, JUDGED = 32, 0.93
 def class_terms(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, term, tf): uses of words of three letters or more, and of neighbours among them, in each class."""
     w = F.filter(words(text), lambda x: F.length(x) >= 3)
-    own = rows.select(*key, w.alias("w"))
+    own = rows.select(*key, w.alias("w")).where("size(w) > 0")
     pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).otherwise(F.array().cast("array<string>"))
     return own.select(*key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 

@@ -1,17 +1,781 @@
-"""The queries over the reference data model: name -> (query, SQL for a second engine or None)."""
+"""The queries over the reference data model. Each takes (spark, sf_dir), reads whole tables and returns a DataFrame."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidara.functions import columns as C
+from evidara.functions import ids
+from evidara.operators import calibrate, chunking, collapse, descriptors, fill, gaps, log, mapping, metadata, passages, retrieval, sections
+from evidara.session import load
+from evidara.settings import ChunkSettings, resolved
 
 Query = Callable[[SparkSession, str], DataFrame]
+KEY = ["collection", "document_id", "seq"]
+SPAN = ["document_id", "char_start", "char_end"]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+# --- inputs
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, each once."""
+    return load(spark, d, "chunks").where("text is not null").dropDuplicates(KEY)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "eval_items").where("question is not null").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", C.question_terms("question")).alias("question"))
+
+
+def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Logged questions that kept their vector."""
+    rows = load(spark, d, "search_questions").where("query_vector is not null and trim(question) <> ''")
+    return rows.select(F.col("id").alias("query_id"), F.concat_ws(" ", C.question_terms("question")).alias("question"), F.col("query_vector").alias("vector"))
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").groupBy("document_id").agg(F.min("name").alias("name"))
+
+
+def hits(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """The best k chunks of each question by full text, with what passages need."""
+    rows = corpus(spark, d)
+    best = retrieval.bm25(asked(spark, d), rows, KEY, "framed", k)
+    own = rows.select(*KEY, "char_start", "char_end", "line_start", "line_end", "page_start", "page_end", "start_reason", "end_reason", "headings", "text", "framed", "vector")
+    return best.join(own, KEY).join(names(spark, d), "document_id", "left").withColumn("name", F.coalesce("name", "document_id"))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# --- retrieval
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(retrieval.bm25(asked(spark, d), corpus(spark, d), KEY, "framed", 25), "score")
+
+
+@query
+def bm25_per_collection(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    return rounded(retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 5, index=["collection"]), "score")
+
+
+@query
+def postings_stats(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(corpus(spark, d), KEY, "framed").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
+
+
+@query
+def knn_l2_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.nearest(queries, rows, "vec_id", "embedding", 10)
+    return rounded(found.withColumn("score", C.nearness("distance")), "distance", "score")
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows, queries = corpus(spark, d), asked_vectors(spark, d)
+    lexical = retrieval.bm25(queries, rows, ["id"], "framed", None)
+    # one document may lie in two collections under one id: its best row counts
+    lexical = retrieval.top_k(lexical, 50, ["query_id"], F.round("score", 9).desc(), "id")
+    usable = rows.where("vector is not null").groupBy("id").agg(F.max("vector").alias("vector"))
+    return retrieval.nearest(queries, usable, "id", "vector", 50), lexical
+
+
+@query
+def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    fused = retrieval.rrf(list(_halves(spark, d)), ["id"], 60)
+    return rounded(fused.where("rank <= 25"), "score")
+
+
+@query
+def linear_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    vector, lexical = _halves(spark, d)
+    return rounded(retrieval.linear(vector, lexical, ["id"], 0.7).where("rank <= 25"), "score")
+
+
+@query
+def ranked_halves_multi_collection(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    per = retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 10, index=["collection"]).drop("rank")
+    spans = per.join(rows.select(*KEY, "char_start", "char_end"), KEY)
+    half = retrieval.ranked_halves(spans.withColumn("score", F.round("score", 6)), SPAN, "score", True, 25)
+    return half.select("query_id", "rank", "collection", *SPAN, "score")
+
+
+@query
+def first_per_span(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).withColumn("query_id", F.lit(0))
+    return retrieval.first_per(rows, SPAN, "collection", "seq").select(*SPAN, "collection", "seq")
+
+
+@query
+def global_text_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    found = retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 60, index=["collection"]).drop("rank")
+    found = found.join(rows.select(*KEY, "char_start", "char_end"), KEY)
+    page = retrieval.text_page(found.withColumn("score", F.round("score", 6)), SPAN, 20, 10)
+    return page.select("query_id", "rank", "collection", *SPAN, "score")
+
+
+@query
+def leaving_anti(spark: SparkSession, d: str) -> DataFrame:
+    gone = load(spark, d, "documents").where("status <> 'imported'")
+    rows = retrieval.leaving_out(corpus(spark, d), gone)
+    return rounded(retrieval.bm25(asked(spark, d), rows, KEY, "framed", 10), "score")
+
+
+@query
+def scoped_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the sections that hold each document's second chunk."""
+    rows = corpus(spark, d)
+    wanted = rows.where("seq = 2").select("collection", "document_id", F.col("section_ids").alias("wanted"))
+    return rows.join(wanted, ["collection", "document_id"]).where(F.arrays_overlap("section_ids", "wanted")).select(*KEY)
+
+
+@query
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).join(names(spark, d), "document_id", "left")
+    name = F.coalesce("name", "document_id")
+    cited = C.citation(name, F.col("page_start"), F.col("page_end"), F.col("line_start"), F.col("line_end"))
+    return rows.select(*KEY, cited.alias("citation"), C.header("headings").alias("header"))
+
+
+@query
+def row_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "candidates").distinct()
+    relevance = C.sigmoid("rerank_score")
+    return rows.select("search_id", "document_id", "seq", F.round(C.row_score(relevance, "bm25_score", "vector_distance"), 6).alias("score"), F.round(C.logit(relevance), 4).alias("back"))
+
+
+@query
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    pool = hits(spark, d, 50).join(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("asked")), "query_id")
+    return retrieval.rerank(pool, "asked", "framed", 0.05, 25, KEY).select("query_id", *KEY, F.round("score", 6).alias("score"), "rank")
+
+
+# --- passages
+
+
+def _ranges(fold: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = passages.ranges(hits(spark, d), fold)
+        return rounded(found.select("query_id", "rank", "collection", "document_id", "name", "seq_start", "seq_end", "char_start", "char_end", "hits", "best_seq", "score"), "score")
+
+    return run
+
+
+for _fold in ("sum", "max", "harmonic"):
+    REGISTRY[f"passage_ranges_{_fold}"] = _ranges(_fold)
+
+
+@query
+def top_documents(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(passages.top_documents(hits(spark, d)), "score")
+
+
+@query
+def min_cover(spark: SparkSession, d: str) -> DataFrame:
+    best = passages.top_documents(hits(spark, d)).select("query_id", "document_id")
+    held = load(spark, d, "chunks").select("collection", "document_id").distinct()
+    return passages.min_cover(best.join(held, "document_id"))
+
+
+@query
+def passage_quotes(spark: SparkSession, d: str) -> DataFrame:
+    spans = passages.ranges(hits(spark, d, 10)).select("query_id", "collection", "document_id", "char_start", "char_end")
+    return passages.quotes(spans, load(spark, d, "documents"))
+
+
+@query
+def rejoined_ranges(spark: SparkSession, d: str) -> DataFrame:
+    parts = load(spark, d, "search_results").where("parent is null").dropDuplicates(["search_id", "position"])
+    parts = parts.select(F.col("search_id").alias("query_id"), "collection", F.col("document").alias("document_id"), "seq_start", "seq_end", (F.col("score") < 0.1).alias("alone"), F.lit(False).alias("owed"),
+                         F.array(F.col("header")).alias("aspects"), F.create_map(F.col("header"), F.col("score")).alias("aspect_scores"), F.col("position").alias("at"))
+    found = passages.rejoined(parts.where("header is not null"))
+    return found.select("query_id", "collection", "document_id", "seq_start", "seq_end", "alone", "owed", F.size("aspects").alias("n_aspects"), F.round(F.array_max(F.map_values("aspect_scores")), 6).alias("best"))
+
+
+# --- short passages and filling
+
+
+@query
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    short = fill.fragment(F.col("char_end") - F.col("char_start"), F.size(C.words("text")), F.col("start_reason"), F.col("end_reason"), 300)
+    return rows.select(*KEY, short.alias("fragment"))
+
+
+@query
+def neighbour_demand(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.ranges(hits(spark, d, 10))
+    return fill.neighbours(found, 3)
+
+
+@query
+def fill_value(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "candidates").where("bm25_score is not null").distinct().withColumnRenamed("search_id", "query_id")
+    return rounded(fill.values(rows, "bm25_score", floor=1.0).select("query_id", "document_id", "seq", "bm25_score", "value"), "bm25_score", "value")
+
+
+@query
+def term_overlap(spark: SparkSession, d: str) -> DataFrame:
+    pool = hits(spark, d, 25).join(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("asked")), "query_id")
+    return pool.select("query_id", *KEY, F.round(fill.overlap("asked", "text"), 6).alias("overlap"))
+
+
+@query
+def best_run(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.ranges(hits(spark, d, 10))
+    near = fill.neighbours(found, 3)
+    value = corpus(spark, d).select("collection", "document_id", "seq", ((F.col("char_end") - F.col("char_start")) % 7 - 3).cast("double").alias("value"), (F.coalesce("end_reason", F.lit("")) != "heading").alias("continues"))
+    return fill.best_runs(near.join(value, ["collection", "document_id", "seq"]))
+
+
+# --- folding
+
+
+@query
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return collapse.exact_duplicates(load(spark, d, "documents"), "doc_id", "text")
+
+
+def _items(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
+    rows = hits(spark, d, k)
+    return rows.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", F.array("text").alias("texts"), *KEY, "char_start", "char_end", "vector", F.lit(False).alias("alone"))
+
+
+@query
+def shingle_containment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(collapse.shingle_overlaps(_items(spark, d)), "into", "over", "alike")
+
+
+def _related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = _items(spark, d)
+    pairs = collapse.shingle_overlaps(items)
+    a, b = (items.select("query_id", F.col("item").alias(x), F.col("document_id").alias(f"d{x}"), F.col("collection").alias(f"c{x}"), F.col("seq").alias(f"s{x}"), F.md5(C.collapsed(F.col("texts")[0])).alias(f"t{x}"), F.size(C.words(F.col("texts")[0])).alias(f"n{x}")) for x in "ab")
+    both = pairs.join(a, ["query_id", "a"]).join(b, ["query_id", "b"])
+    both = both.withColumns({"exact": (F.col("ta") == F.col("tb")) & (F.col("na") >= collapse.LEAST_WORDS), "touching": (F.col("da") == F.col("db")) & (F.col("ca") == F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1)})
+    return items, collapse.decided(both)
+
+
+@query
+def fold_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_related(spark, d)[1].where("relation is not null").select("query_id", "a", "b", "relation", "swap", "similarity"), "similarity")
+
+
+@query
+def leader_fold(spark: SparkSession, d: str) -> DataFrame:
+    items, pairs = _related(spark, d)
+    return rounded(collapse.folded(items, pairs, 10), "score", "similarity")
+
+
+@query
+def embedding_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one collection compared by their chunks' vectors, where these documents share a heading."""
+    rows = corpus(spark, d).where("vector is not null").withColumn("query_id", F.lit(0))
+    chunks = rows.groupBy("query_id", F.col("document_id").alias("item"), "seq").agg(F.max("vector").alias("vector"))
+    titled = rows.where("size(headings) > 0").select("document_id", F.element_at("headings", 1).alias("title")).distinct()
+    pairs = titled.select("title", F.col("document_id").alias("a")).join(titled.select("title", F.col("document_id").alias("b")), "title").where("a < b").select(F.lit(0).alias("query_id"), "a", "b").distinct()
+    return rounded(collapse.vector_overlaps(pairs, chunks).drop("query_id"), "into", "over", "alike", places=5)
+
+
+# --- sections
+
+
+@query
+def section_runs(spark: SparkSession, d: str) -> DataFrame:
+    return sections.runs(corpus(spark, d)).select("collection", "document_id", "position", "depth", C.header("path").alias("path"), "seq_start", "seq_end", "char_start", "char_end")
+
+
+@query
+def section_parents(spark: SparkSession, d: str) -> DataFrame:
+    return sections.parents(sections.runs(corpus(spark, d))).select("collection", "document_id", "position", "depth", "parent")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.ranges(hits(spark, d)).select("query_id", "collection", "document_id", "name", "seq_start", "seq_end", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"), "rank", "score", F.lit(False).alias("alone"))
+    return sections.section_of(found, sections.runs(corpus(spark, d)), 12_000)
+
+
+@query
+def section_groups(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sections.grouped(_placed(spark, d), 10), "score")
+
+
+@query
+def budget_within(spark: SparkSession, d: str) -> DataFrame:
+    placed = _placed(spark, d)
+    groups = sections.grouped(placed, 10).select("query_id", "collection", "document_id", "position", F.col("rank").alias("group_rank"))
+    rows = placed.join(groups, ["query_id", "collection", "document_id", "position"])
+    cost = sections.passage_cost(F.col("p_end") - F.col("p_start"))
+    head = sections.excerpt_cost(F.col("path"), F.array().cast("array<bigint>"))
+    return sections.within_budget(rows.select("query_id", "group_rank", "rank", cost.alias("cost"), head.alias("header_cost")), 12_000)
+
+
+@query
+def section_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    placed = _placed(spark, d)
+    kept = sections.grouped(placed, 10).select("query_id", "collection", "document_id", "position")
+    rows = placed.join(kept, ["query_id", "collection", "document_id", "position"]).withColumnsRenamed({"p_start": "char_start", "p_end": "char_end", "path": "headings"})
+    return sections.excerpts(passages.quotes(rows, load(spark, d, "documents")))
+
+
+@query
+def missing_terms(spark: SparkSession, d: str) -> DataFrame:
+    return sections.missing_terms(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question"), hits(spark, d, 10).select("query_id", "text"), stemmed=False)
+
+
+@query
+def missing_stems(spark: SparkSession, d: str) -> DataFrame:
+    return sections.missing_terms(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question"), hits(spark, d, 10).select("query_id", "text"))
+
+
+# --- maps and interleaving
+
+
+@query
+def corpus_centre(spark: SparkSession, d: str) -> DataFrame:
+    centre = metadata.mean_vector(load(spark, d, "embeddings").withColumn("all", F.lit(1)), ["all"], "embedding")
+    return centre.select(F.posexplode("vector").alias("at", "x"), "rows").withColumn("x", F.round("x", 6))
+
+
+@query
+def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    found = metadata.mean_vector(load(spark, d, "embeddings"), ["label"], "embedding")
+    return found.select("label", "rows", F.posexplode("vector").alias("at", "x")).withColumn("x", F.round("x", 6))
+
+
+@query
+def nearest_documents(spark: SparkSession, d: str) -> DataFrame:
+    found = metadata.mean_vector(load(spark, d, "embeddings"), ["label"], "embedding").drop("rows")
+    pairs = found.select(F.col("label").alias("a"), F.col("vector").alias("va")).crossJoin(F.broadcast(found.select(F.col("label").alias("b"), F.col("vector").alias("vb")))).where("a <> b")
+    return retrieval.top_k(pairs.select("a", "b", F.round(C.cosine("va", "vb"), 4).alias("cosine")), 5, ["a"], F.desc("cosine"), "b")
+
+
+@query
+def facility_location_map(spark: SparkSession, d: str) -> DataFrame:
+    rows = hits(spark, d, 50).where("vector is not null")
+    return rounded(mapping.covered(rows.select("query_id", F.col("rank").cast("long").alias("item"), "document_id", "score", C.unit("vector").alias("vector")), 8), "gain")
+
+
+@query
+def related_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = hits(spark, d, 50).where("vector is not null")
+    cover = mapping.covered(rows.select("query_id", F.col("rank").cast("long").alias("item"), "document_id", "score", C.unit("vector").alias("vector")), 8)
+    return rounded(mapping.related(cover).select("query_id", "item", "lead", "n", "gain"), "gain")
+
+
+@query
+def interleave_questions(spark: SparkSession, d: str) -> DataFrame:
+    rows = hits(spark, d, 10)
+    key = F.array(F.xxhash64(*KEY))
+    parts = rows.select(F.floor(F.col("query_id") / 3).alias("request_id"), (F.col("query_id") % 3).cast("int").alias("part"), "rank", F.xxhash64(*KEY).alias("item"), key.alias("keys"))
+    return mapping.interleaved(parts, 12)
+
+
+# --- the log
+
+
+@query
+def load_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.loaded(load(spark, d, "searches"), load(spark, d, "search_questions"), since="2026-03-01").select("id", "ts", "tool", "question_id", "position", "question")
+
+
+@query
+def top_results_per_search(spark: SparkSession, d: str) -> DataFrame:
+    return log.top_results(load(spark, d, "search_results"), 3).select("search_id", "n", "position", "document", F.round("score", 6).alias("score"))
+
+
+@query
+def search_history(spark: SparkSession, d: str) -> DataFrame:
+    return log.history(load(spark, d, "searches"), load(spark, d, "search_results")).select("id", F.array_join("documents", ",").alias("documents"))
+
+
+@query
+def search_tally(spark: SparkSession, d: str) -> DataFrame:
+    return log.tally(load(spark, d, "searches"))
+
+
+@query
+def recent_questions(spark: SparkSession, d: str) -> DataFrame:
+    return log.recent_questions(load(spark, d, "search_questions").where("trim(question) <> ''"), load(spark, d, "searches"), 50)
+
+
+@query
+def searches_since(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "searches").where("ts >= timestamp'2026-05-01'").select("id", "ts", "duration_ms")
+
+
+@query
+def retention_prune(spark: SparkSession, d: str) -> DataFrame:
+    kept, children = log.pruned(load(spark, d, "searches"), load(spark, d, "search_questions"), 90, "2026-07-18")
+    return children.groupBy("search_id").agg(F.count("*").alias("questions"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").withColumn("session_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+
+
+@query
+def session_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return log.session_summaries(load(spark, d, "searches"), _events(spark, d))
+
+
+@query
+def session_history(spark: SparkSession, d: str) -> DataFrame:
+    return log.session_history(load(spark, d, "searches"), _events(spark, d), "u1", 100)
+
+
+@query
+def session_selections(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "searches").where("session_id is not null").select("session_id", F.posexplode_outer("collections").alias("position", "collection")).groupBy("session_id", "collection").agg(F.min("position").alias("position"))
+    return log.selections(rows).select("session_id", F.array_join("collections", ",").alias("collections"))
+
+
+@query
+def similarities_top(spark: SparkSession, d: str) -> DataFrame:
+    flat = load(spark, d, "search_questions").select(F.col("id").alias("question_id"), F.explode("similarities").alias("cosine"))
+    return log.similarities(flat.withColumn("cosine", F.round(F.col("cosine").cast("double"), 4))).select("question_id", F.array_join(F.transform("similarities", lambda x: F.format_number(x, 4)), ",").alias("similarities"))
+
+
+@query
+def trend_daily_top6_other(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "events").withColumn("kind", F.concat_ws("-", "event_type", (F.col("user_id") % 2).cast("string")))
+    return log.trend(rows, "ts", "kind", "day", "2024-01-01", "2024-01-31")
+
+
+@query
+def trend_hourly(spark: SparkSession, d: str) -> DataFrame:
+    return log.trend(load(spark, d, "events"), "ts", "event_type", "hour", "2024-01-10", "2024-01-11")
+
+
+@query
+def trend_searches(spark: SparkSession, d: str) -> DataFrame:
+    return log.trend(load(spark, d, "searches"), "ts", "tool", "day", "2026-01-01", "2026-08-01", F.coalesce("result_count", F.lit(0)))
+
+
+# --- gaps
+
+BARS = [("fern-64", 0.79, 0.885, 0.82), ("fern-64q", 0.75, 0.86, 0.82)]
+
+
+def _bars(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BARS, "embedding string, weak_match double, answered_match double, same_topic double")
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.signals(load(spark, d, "search_questions"), load(spark, d, "searches"), _bars(spark)).where("signal is not null and review is null")
+
+
+@query
+def gap_signals(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.signals(load(spark, d, "search_questions"), load(spark, d, "searches"), _bars(spark)).select("question_id", "signal")
+
+
+@query
+def gap_topics_words(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.word_topics(_gaps(spark, d))
+
+
+@query
+def gap_topics_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.vector_topics(_gaps(spark, d), 0.82)
+
+
+@query
+def gap_topic_summaries(spark: SparkSession, d: str) -> DataFrame:
+    own = _gaps(spark, d)
+    return gaps.topic_summaries(own, gaps.word_topics(own)).withColumn("collections", F.array_join("collections", ","))
+
+
+@query
+def gap_near_misses(spark: SparkSession, d: str) -> DataFrame:
+    wanting = _gaps(spark, d).select(F.col("search_id").alias("id"))
+    return rounded(gaps.near_misses(load(spark, d, "search_results"), wanting), "score")
+
+
+@query
+def gap_reviews(spark: SparkSession, d: str) -> DataFrame:
+    questions = load(spark, d, "search_questions")
+    return gaps.reviewed(questions, questions.where("agent_verdict = 'partial'").select("id"), "dismissed").groupBy("review").agg(F.count("*").alias("n"))
+
+
+@query
+def report_window_asof(spark: SparkSession, d: str) -> DataFrame:
+    questions, searches = load(spark, d, "search_questions"), load(spark, d, "searches")
+    own = questions.join(searches.select(F.col("id").alias("search_id"), "session_id", "ts"), "search_id").where("session_id is not null and trim(question) <> ''")
+    asked_ = own.select(F.col("id").alias("report_id"), "session_id", "question", (F.col("ts") + F.expr("interval 30 minutes")).alias("ts"))
+    return gaps.reports(asked_, questions, searches)
+
+
+# --- calibration
+
+
+@query
+def beta_fit(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "searches").join(load(spark, d, "search_questions").select("search_id", F.explode("rerank_scores").alias("s")), F.col("id") == F.col("search_id"))
+    return rounded(calibrate.beta_fit(rows.where("reranker is not null").select("reranker", F.col("s").cast("double").alias("s")), "reranker", "s"), "floor", "beta_a", "beta_b")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "search_questions").join(load(spark, d, "searches").select(F.col("id").alias("search_id"), "embedding"), "search_id").where("embedding is not null")
+    return rows.select(F.col("embedding").alias("profile"), F.round(F.array_max("similarities").cast("double"), 4).alias("best_similarity"), (F.col("uncovered") == 0).alias("answered")).where("best_similarity is not null")
+
+
+@query
+def gap_bars(spark: SparkSession, d: str) -> DataFrame:
+    return calibrate.gap_bars(_labelled(spark, d))
+
+
+@query
+def auroc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(calibrate.auroc(_labelled(spark, d), "profile", "best_similarity", "answered"), "auroc")
+
+
+@query
+def qpp_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = calibrate.predictors(load(spark, d, "search_questions").where("similarities is not null"), "similarities")
+    return rounded(rows.select("id", "best", "lead", "spread", "mean_five"), "best", "lead", "spread", "mean_five", places=5)
+
+
+@query
+def sample_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "candidates").where("rerank_score is not null").distinct().withColumnRenamed("search_id", "query_id")
+    ranked = retrieval.top_k(rows, 200, ["query_id"], F.desc("rerank_score"), "document_id", "seq")
+    return calibrate.sampled_candidates(ranked).select("query_id", "document_id", "seq", "rank")
+
+
+# --- metadata
+
+
+@query
+def members_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents").select("size", "name", "status").where("size is not null")
+    return metadata.keyset_page(rows, "size", "name", 50, (2000, "m"))
+
+
+@query
+def member_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents").withColumn("source", F.lower(F.trim("source")))
+    return metadata.counts_by(rows, "source", "status", ["imported", "failed", "queued", "deleting"])
+
+
+@query
+def leaving_union(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    members = documents.select("document_id", F.when(F.col("pages_unread") > 0, "removing").otherwise("indexed").alias("status"))
+    return metadata.leaving(members, documents)
+
+
+@query
+def searchable_exists(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    members = load(spark, d, "chunks").select("collection", "document_id", F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("cache_id")).distinct()
+    gone = documents.where("status <> 'imported'").select("document_id")
+    return metadata.searchable(load(spark, d, "search_settings").where("collection is not null").select("collection"), members, gone)
+
+
+@query
+def settings_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(load(spark, d, "search_settings"))
+
+
+@query
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "customer").select("c_custkey", "c_nationkey")
+    new = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(-1).cast(rows.schema["c_nationkey"].dataType).alias("c_nationkey"))
+    return metadata.inserted(rows.where("c_custkey % 2 = 0"), new, ["c_custkey"]).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "part").select("p_partkey", "p_size")
+    new = load(spark, d, "part").where("p_retailprice > 1500").select("p_partkey", F.lit(0).cast(rows.schema["p_size"].dataType).alias("p_size"))
+    return metadata.upserted(rows, new, ["p_partkey"]).groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@query
+def membership_transitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents").select("doc_id", "status", "pages_unread")
+    return metadata.moved(rows, "status", ["queued", "failed"], "cancelled", F.coalesce("pages_unread", F.lit(0)) == 0).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def newest_entries(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.newest(load(spark, d, "documents").select("doc_id", "lang", "updated_at"), ["lang"], "updated_at", "doc_id")
+
+
+@query
+def largest_remainder_caps(spark: SparkSession, d: str) -> DataFrame:
+    weights = load(spark, d, "documents").groupBy(F.lower(F.trim("source")).alias("stage")).agg(F.count("*").alias("weight")).where("stage is not null")
+    return metadata.stage_caps(weights, 100)
+
+
+@query
+def ntile_slices(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.slices(load(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", ["c_custkey"], 3)
+
+
+@query
+def folded_operations(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "search_results").dropDuplicates(["search_id", "position"])
+    runs = rows.select(F.concat_ws("-", "search_id", "position").alias("id"), F.concat_ws("-", "search_id", F.col("parent")).alias("_p"), "parent", F.col("collection").alias("name"), F.when(F.col("score") > 0.5, "SUCCESS").otherwise("ERROR").alias("status"))
+    return metadata.folded_operations(runs.withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.col("_p"))))
+
+
+@query
+def step_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.step_counts(load(spark, d, "events").select(F.col("user_id").alias("workflow_id"), F.col("event_type").alias("function")), "click")
+
+
+@query
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", ids.cache_key(document=F.col("document_id"), chunk_size=F.lit(1200), frame=F.lit(True)).alias("cache_id"))
+
+
+@query
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "chunks").select("document_id", "seq").distinct().select("document_id", "seq", ids.chunk_id("document_id", "seq").alias("id"))
+
+
+@query
+def identical_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents").where("status <> 'deleting' and text is not null")
+    return rows.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+
+
+# --- chunking
+
+
+@query
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunked(load(spark, d, "documents"), "document_id", "text").drop("text", "framed")
+
+
+@query
+def chunk_plain(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunked(load(spark, d, "documents"), "document_id", "text", ChunkSettings(chunker="text", chunk_size=800)).drop("text", "framed")
+
+
+@query
+def heading_contents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.contents(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def page_split(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.pages(load(spark, d, "documents"), "doc_id").select("id", "page", F.length("text").alias("chars"))
+
+
+@query
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.page_counts(load(spark, d, "documents"), "doc_id")
+
+
+@query
+def line_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.lines(load(spark, d, "documents").where("text is not null"), 3, 6).select("doc_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query
+def text_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every chunk as its document has it at the chunk's place."""
+    docs = load(spark, d, "documents").select("document_id", F.col("text").alias("whole"))
+    rows = corpus(spark, d).select(*KEY, "char_start", "char_end").join(docs, "document_id")
+    return rows.select(*KEY, F.md5(F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).alias("digest"))
+
+
+# --- descriptors and vocabulary
+
+
+@query
+def ctfidf_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = descriptors.class_terms(corpus(spark, d), ["collection"], "text")
+    weights = rounded(descriptors.ctfidf(terms, ["collection"]), "weight")
+    return retrieval.top_k(weights, 20, ["collection"], F.desc("weight"), "term")
+
+
+@query
+def widespread_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = descriptors.class_terms(corpus(spark, d), ["collection"], "text")
+    classes = terms.select("collection").distinct().count()
+    return terms.groupBy("term").agg(F.count("*").alias("classes")).where(F.col("classes") > 0.5 * classes)
+
+
+@query
+def picked_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return descriptors.picked(descriptors.ctfidf(descriptors.class_terms(corpus(spark, d), ["collection"], "text"), ["collection"]), ["collection"])
+
+
+@query
+def mmr_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings")
+    centre = metadata.mean_vector(rows, ["label"], "embedding").select("label", F.col("vector").alias("centre"))
+    near = rows.join(centre, "label").select("label", F.col("vec_id").alias("item"), C.cosine("embedding", "centre").alias("relevance"), F.col("embedding").alias("vector"))
+    return descriptors.diverse(near, "label")
+
+
+@query
+def vocabulary_variants(spark: SparkSession, d: str) -> DataFrame:
+    return descriptors.variants(corpus(spark, d), "headings").select("variant", "uses")
+
+
+def _alike(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).where("vector is not null").groupBy("id").agg(F.max("vector").alias("vector")).where(F.exists("vector", lambda x: x != 0))
+    return descriptors.pairs_to_judge(rows, "id", "vector")
+
+
+@query
+def vocabulary_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _alike(spark, d).select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+@query
+def vocabulary_preferred(spark: SparkSession, d: str) -> DataFrame:
+    uses = corpus(spark, d).groupBy(F.col("id").alias("variant")).agg(F.count("*").alias("uses"))
+    return descriptors.preferred(uses, _alike(spark, d))
+
+
+@query
+def compact_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).where("size(headings) > 0").select(F.concat_ws("/", *KEY).alias("key"), "headings")
+    first = rows.select(F.explode("headings").alias("h")).distinct().select(C.variant("h").alias("variant"), F.substring_index(C.variant("h"), " ", 1).alias("preferred")).distinct()
+    return descriptors.compacted(rows, first, "key", "headings").select("key", F.array_join("descriptors", "|").alias("descriptors"))
+
+
+# --- the flagship
+
+
+@query
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to cited passages: chunks ranked by full text, one per span, joined where they follow each other."""
+    found = retrieval.first_per(hits(spark, d, 25), SPAN, "rank")
+    best = passages.ranges(found, "sum").where("rank <= 10")
+    cited = C.citation(F.col("name"), F.col("page_start"), F.col("page_end"), F.col("line_start"), F.col("line_end"))
+    return rounded(best.select("query_id", "rank", "collection", "document_id", "seq_start", "seq_end", cited.alias("citation"), "hits", "score"), "score")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    from evidara.plans import answers
+    from evidara.streaming import live
+
+    return {**REGISTRY, **answers.queries(), **live.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from evidara.plans import oracles
+
+    return oracles.oracle_sql()
