@@ -52,7 +52,12 @@ def into_partitions(path: str, key: list[str]) -> Callable[[DataFrame, int], Non
 
 def replay(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
     """Run a streaming query over files that are there, to its end, and return what it has written."""
-    source = spark.readStream.schema(schema).parquet(path)
+    # a stream reads folders: of a single file, the one of its name in its folder
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        source = spark.readStream.schema(schema).parquet(path)
+    else:
+        source = spark.readStream.schema(schema).option("pathGlobFilter", target.getName()).parquet(str(target.getParent().toString()))
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
     def write(batch: DataFrame, n: int) -> None:
