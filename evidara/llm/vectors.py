@@ -160,9 +160,9 @@ def close_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.95
 def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, nprobes: int = 20, refine_factor: int = 10, block: int = 2048, settings: HashSettings = HashSettings()) -> DataFrame:
     """(query_id, id, cosine, rank): the k vectors most similar to each query, itself left out.
 
-    nprobes is the radius, in bits of 64, in which substrings are probed and codes retrieved; of those of each task the refine_factor * k with the nearest
+    nprobes is the radius, in bits of 64, in which substrings are probed and codes retrieved; of those of each batch the refine_factor * k with the nearest
     codes are reranked by their floats. Queries, (id, vector) under the same names, are read a block at a time, each block
-    small enough to be held by every task. A query that finds fewer than k within the radius takes the nearest codes beyond.
+    small enough to be held by every task. Where fewer than are reranked lie within the radius, the nearest codes beyond are taken as well.
     """
     rows = usable(df, id_col, vector_col)
     dims = _dims(rows)
@@ -211,7 +211,7 @@ def _searcher(shared, mean: np.ndarray, directions: np.ndarray, k: int, radius:
             ids, v = b.column("id").to_pylist(), unit(b.column("v"))
             index = _Substrings(codes(v, mean, directions)[:, 0])
             for q, (name, vector, code) in enumerate(zip(asked, wanted, their_codes)):
-                at = index.nearest(code, radius, refine_factor * k + 1, k + 1)
+                at = index.nearest(code, radius, refine_factor * k + 1)
                 cos = v[at] @ vector
                 best[q] = sorted(best[q] + [(-c, ids[i]) for c, i in zip(cos.tolist(), at.tolist()) if ids[i] != name])[:k]
         rows = [(asked[q], i, -c) for q, own in enumerate(best) for c, i in own]
@@ -228,10 +228,11 @@ class _Substrings:
         self.codes = c
         self.keys = [(c >> U64(16 * j) & U64(0xFFFF)).astype(np.uint16) for j in range(4)]
 
-    def nearest(self, code: np.uint64, radius: int, most: int, least: int) -> np.ndarray:
-        """Rows of the `most` codes nearest to code within the radius (`least` at any rate), in no order.
+    def nearest(self, code: np.uint64, radius: int, most: int) -> np.ndarray:
+        """Rows of the `most` codes nearest to code, in no order.
 
-        A code within the radius has a substring within a quarter of it, so that all are among the rows retrieved.
+        A code within the radius has a substring within a quarter of it, so that all of these are among the rows retrieved. If they are fewer,
+        every code is compared.
         """
         near = np.zeros(len(self.codes), bool)
         for j in range(4):
@@ -240,9 +241,8 @@ class _Substrings:
         at = np.flatnonzero(near)
         apart = np.bitwise_count(self.codes[at] ^ code)
         at, apart = at[apart <= radius], apart[apart <= radius]
-        if len(at) < min(least, len(self.codes)):
+        if len(at) < min(most, len(self.codes)):
             at, apart = np.arange(len(self.codes)), np.bitwise_count(self.codes ^ code)
-            most = max(least, most)
         return at[np.argpartition(apart, most - 1)[:most]] if len(at) > most else at
 
 
