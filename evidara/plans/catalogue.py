@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evidara.functions import columns as C
 from evidara.functions import ids
-from evidara.operators import calibrate, chunking, collapse, descriptors, fill, gaps, log, mapping, metadata, passages, retrieval, sections
-from evidara.session import load
+from evidara.operators import calibrate, chunking, collapse, descriptors, extras, fill, gaps, log, mapping, metadata, passages, retrieval, sections
+from evidara.session import load, scratch
 from evidara.settings import ChunkSettings, resolved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -756,6 +756,98 @@ def compact_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return descriptors.compacted(rows, first, "key", "headings").select("key", F.array_join("descriptors", "|").alias("descriptors"))
 
 
+# --- smaller ones
+
+
+@query
+def probe_gaps(spark: SparkSession, d: str) -> DataFrame:
+    best = scratch(hits(spark, d, 10), "hits")
+    missing = sections.missing_terms(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question"), best.select("query_id", "text"), stemmed=False)
+    return rounded(extras.probes(missing, corpus(spark, d), KEY, "framed", best.select("query_id", *KEY)), "score")
+
+
+@query
+def aspects_tagged(spark: SparkSession, d: str) -> DataFrame:
+    ranked = hits(spark, d, 10).select(F.floor(F.col("query_id") / 3).alias("request_id"), (F.col("query_id") % 3).cast("int").alias("part"), *KEY, "score")
+    picked = ranked.groupBy("request_id", *KEY).agg(F.max("score").alias("m")).select("request_id", F.xxhash64(*KEY).alias("item"), *KEY)
+    found = extras.aspects(picked, ranked, KEY).join(picked, ["request_id", "item"])
+    return rounded(found.select("request_id", *KEY, F.array_join(F.transform("aspects", lambda x: x.cast("string")), ",").alias("aspects"), "best"), "best")
+
+
+@query
+def framed_questions(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "search_questions").join(load(spark, d, "searches").select(F.col("id").alias("search_id"), "context"), "search_id")
+    return rows.select("id", F.md5(extras.framed_question(F.col("context"), F.col("question"))).alias("digest"))
+
+
+@query
+def unknown_references(spark: SparkSession, d: str) -> DataFrame:
+    return extras.unknown_references(load(spark, d, "chunks").select("collection"), load(spark, d, "search_settings").where("collection is not null").select("collection"), "collection")
+
+
+@query
+def first_members(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    rows = load(spark, d, "chunks").select("collection", "document_id").distinct().join(documents.select("document_id", "name"), "document_id")
+    return extras.first_members(rows, documents.where("status <> 'imported'"), 5).select("collection", "n", "name")
+
+
+@query
+def describe_if_empty(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents").select("doc_id", "description")
+    new = load(spark, d, "headings").where("level = 1 and text is not null").groupBy("doc_id").agg(F.min("text").alias("description"))
+    return extras.described_if_empty(rows, new, "doc_id")
+
+
+@query
+def backfill_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "documents")
+    computed = rows.where("text is not null").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return extras.backfilled(rows.select("doc_id", "n_chars"), computed, "doc_id", "n_chars")
+
+
+@query
+def plan_batches(spark: SparkSession, d: str) -> DataFrame:
+    return extras.plan_batches(corpus(spark, d).select(*KEY), ["collection"], ["document_id", "seq"], 32)
+
+
+@query
+def evenly_spaced(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).select(*KEY, (F.col("char_end") - F.col("char_start")).alias("chars"))
+    return extras.evenly_spaced(rows, ["collection", "document_id"], "chars", whole=2000, picks=3)
+
+
+@query
+def subsections(spark: SparkSession, d: str) -> DataFrame:
+    return extras.subsections(sections.runs(corpus(spark, d)))
+
+
+@query
+def topic_pairs_joined(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), F.col("embedding").alias("vector"))
+    return extras.topic_pairs(rows, "vector", 0.1)
+
+
+@query
+def chunk_trend(spark: SparkSession, d: str) -> DataFrame:
+    searches = load(spark, d, "searches")
+    runs = searches.select("id", F.col("ts").alias("finished_at"), F.when(F.col("error").isNull(), "SUCCESS").otherwise("ERROR").alias("status"))
+    batches = load(spark, d, "search_results").dropDuplicates(["search_id", "position"]).select(F.col("search_id").alias("run_id"), (F.col("seq_end") - F.col("seq_start") + 1).alias("outputs"))
+    return extras.batch_outputs(runs, batches).select("id", "outputs")
+
+
+@query
+def active_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "orders").select(F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("SUCCESS").alias("status"), (F.col("o_orderkey") % 10).alias("total"), (F.col("o_custkey") % 10).alias("done"))
+    return extras.activity(rows)
+
+
+@query
+def model_cache_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "searches").select("embedding").where("embedding is not null").distinct()
+    return rows.select("embedding", extras.model_cache_name(F.col("embedding"), F.lit(64), F.lit("query: "), F.lit(None)).alias("cache_name"))
+
+
 # --- the flagship
 
 

@@ -229,6 +229,28 @@ SELECT collection, term, tf, weight, rank FROM ({top('x', 20, 'collection', 'wei
         "vocabulary_pairs": f"WITH c AS (SELECT id, max(vector::FLOAT[]) AS v FROM chunks WHERE vector IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING list_max(list_transform(max(vector::FLOAT[]), lambda x: abs(x))) > 0), u AS (SELECT id, {UNIT.format('v')} AS v FROM c), p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n FROM p WHERE cosine >= 0.93) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(cosine), 5) AS cosine FROM r WHERE n <= 32 GROUP BY 1, 2",
         "flagship": f"{ranges(25, source='f0').replace('flagged AS', f'f0 AS (SELECT DISTINCT ON (query_id, {span}) * FROM hits ORDER BY query_id, {span}, rank), flagged AS')} SELECT query_id, rank, collection, document_id, seq_start, seq_end, concat_ws(' ', name, 'p.' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END, 'L' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END) AS citation, hits, round(score, 6) AS score FROM ranges WHERE rank <= 10",
     }
+    out |= {
+        "probe_gaps": f"""{hits(10)}, a AS (SELECT item_id AS query_id, unnest({terms('question')}) AS term FROM eval_items), h AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM hits), miss AS (SELECT query_id, term FROM a ANTI JOIN h USING (query_id, term)),
+{bm25(asked='miss').replace('own AS', 'own2 AS').replace('FROM own ', 'FROM own2 ').replace('flat', 'flat2').replace('post', 'post2').replace('size', 'size2').replace('met', 'met2').replace('dfs', 'dfs2').replace('part AS (', 'part2 AS (').replace('FROM part JOIN', 'FROM part2 JOIN').replace('scored', 'scored2')},
+n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {full}) AS nth FROM scored2),
+k AS (SELECT r.* FROM r LEFT JOIN n USING (query_id) ANTI JOIN hits USING (query_id, collection, document_id, seq) WHERE nth <= 20 + coalesce(n, 0))
+SELECT query_id, {full}, round(score, 6) AS score FROM ({top('k', 1, 'query_id', f'round(score, 9) DESC, {full}', 'b')})""",
+        "aspects_tagged": f"{hits(10)}, r AS (SELECT query_id // 3 AS request_id, query_id % 3 AS part, {full}, max(score) AS score FROM hits GROUP BY ALL) SELECT request_id, {full}, string_agg(part::VARCHAR, ',' ORDER BY part) AS aspects, round(max(score), 6) AS best FROM r GROUP BY request_id, {full}",
+        "framed_questions": "SELECT q.id, md5(CASE WHEN length(trim(context)) > 0 THEN trim(context) || chr(10) || chr(10) || question ELSE question END) AS digest FROM search_questions q JOIN searches s ON s.id = q.search_id",
+        "unknown_references": "SELECT DISTINCT collection FROM chunks WHERE collection IS NOT NULL AND collection NOT IN (SELECT collection FROM search_settings WHERE collection IS NOT NULL)",
+        "first_members": f"WITH m AS (SELECT DISTINCT c.collection, c.document_id, d.name FROM chunks c JOIN documents d USING (document_id) WHERE d.status = 'imported') SELECT collection, n, name FROM ({top('m', 5, 'collection', 'name, document_id', 'n')})",
+        "describe_if_empty": "WITH h AS (SELECT doc_id, min(text) AS t FROM headings WHERE level = 1 AND text IS NOT NULL GROUP BY 1) SELECT doc_id, CASE WHEN coalesce(trim(description), '') = '' THEN coalesce(t, description) ELSE description END AS description FROM documents LEFT JOIN h USING (doc_id)",
+        "backfill_sizes": "SELECT doc_id, coalesce(n_chars, length(text)) AS n_chars FROM documents",
+        "plan_batches": f"WITH {CORPUS} SELECT {full}, ((row_number() OVER (PARTITION BY collection ORDER BY document_id, seq) - 1) // 32)::INT AS batch FROM corpus",
+        "evenly_spaced": f"""WITH {CORPUS}, r AS (SELECT {full}, char_end - char_start AS chars, sum(char_end - char_start) OVER w AS al, count(*) OVER w AS n, row_number() OVER (PARTITION BY collection, document_id ORDER BY seq) - 1 AS nth FROM corpus WINDOW w AS (PARTITION BY collection, document_id))
+SELECT {full}, chars, CASE WHEN al <= 2000 THEN chars ELSE least(chars, 666) END AS share FROM r WHERE al <= 2000 OR nth IN (0, floor((n - 1) / 2 + 0.5)::INT, n - 1)""",
+        "subsections": f"{RUNS} SELECT a.collection, a.document_id, a.position, b.position AS sub FROM runs a JOIN runs b ON a.collection = b.collection AND a.document_id = b.document_id AND b.depth > a.depth AND b.seq_start >= a.seq_start AND b.seq_end <= a.seq_end AND b.path[1 : a.depth] = a.path",
+        "topic_pairs_joined": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
+        "chunk_trend": "WITH r AS (SELECT DISTINCT ON (search_id, position) * FROM search_results), b AS (SELECT search_id AS id, sum(seq_end - seq_start + 1)::BIGINT AS n FROM r GROUP BY 1) SELECT id, coalesce(n, 0) AS outputs FROM searches LEFT JOIN b USING (id) WHERE error IS NULL",
+        "active_runs": "SELECT o_orderpriority AS name, count(*) AS running, sum(greatest(0, o_orderkey % 10 - o_custkey % 10))::BIGINT AS \"left\" FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
+        "model_cache_names": "SELECT DISTINCT embedding, embedding || '@64:' || substring(sha256('query: ;'), 1, 12) AS cache_name FROM searches WHERE embedding IS NOT NULL",
+    }
     out["streaming_trend"] = "SELECT date_trunc('day', ts::TIMESTAMP) AS bucket, event_type AS series, count(*) AS n FROM events GROUP BY 1, 2"
     out["streaming_sessions"] = """WITH g AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS isle FROM g)
