@@ -19,7 +19,7 @@ from evidara.session import few_rows
 #: Constants of BM25.
 K1, B = 1.2, 0.75
 #: Queries that a task holds at a time.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
 
 
 def top_k(df: DataFrame, k: int, by: list[str], *order: Column | str, rank: str = "rank") -> DataFrame:
@@ -39,9 +39,12 @@ def bm25(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int
     """(query_id, index, key, score [, rank]): the full-text scores of the rows that hold a term of a query.
 
     queries(query_id, question). Statistics are those of each index, or of all rows. Queries are the small side: where
-    their terms are few they are broadcast, so that only rows that hold one are shuffled.
+    their terms are few they are broadcast, so that only rows that hold one are shuffled. With k and one index, rows are
+    scored in blocks and only each task's best k are shuffled, which many questions of common words need.
     """
     index = index or []
+    if k is not None and not index:
+        return _bm25_in_blocks(queries, rows, key, text, k, query_text)
     asked = queries.select("query_id", F.explode(F.array_distinct(words(query_text))).alias("term"))
     own = rows.select(*index, *key, words(text).alias("w")).where(F.size("w") > 0)
     size = own.groupBy(*index).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
@@ -57,6 +60,78 @@ def bm25(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int
     return scored if k is None else top_k(scored, k, ["query_id", *index], F.round("score", 9).desc(), *key)
 
 
+def _bm25_in_blocks(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int, query_text: str) -> DataFrame:
+    """bm25 over all rows as one index: each task scores its rows for a block of queries and passes on the best k of each."""
+    spark = rows.sparkSession
+    asked = queries.select("query_id", F.array_distinct(words(query_text)).alias("terms")).where(F.size("terms") > 0)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = ", ".join([f"query_id {kind}", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key), "score double"])
+    own = rows.select(*key, words(text).alias("w")).where(F.size("w") > 0)
+    # rows are taken as they come: the caller sees to it that a key is there once
+    n, avgdl = own.agg(F.count("*"), F.avg(F.size("w"))).first()
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    held = own.select(F.explode(F.array_distinct("w")).alias("term"))
+    counts = held.join(F.broadcast(terms) if few_rows(terms, 200_000) else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    result = None
+    block: list = []
+
+    def scored(block: list) -> DataFrame:
+        mine = spark.createDataFrame([(t,) for t in {t for r in block for t in r.terms}], "term string")
+        df = {r.term: r.df for r in counts.join(F.broadcast(mine), "term").collect()}  # at most the terms of a block
+        shared = spark.sparkContext.broadcast(([r.query_id for r in block], [[t for t in r.terms if t in df] for r in block], df))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, wanted, df = shared.value
+            for b in it:
+                rows_of, tfs = {}, {}
+                m = b.num_rows
+                lengths = np.zeros(m)
+                for i, w in enumerate(b.column("w").to_pylist()):
+                    lengths[i] = len(w)
+                    own: dict[str, int] = {}
+                    for t in w:
+                        if t in df:
+                            own[t] = own.get(t, 0) + 1
+                    for t, c in own.items():
+                        rows_of.setdefault(t, []).append(i)
+                        tfs.setdefault(t, []).append(c)
+                part = {}
+                for t, at in rows_of.items():
+                    at, tf = np.array(at), np.array(tfs[t], float)
+                    idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+                    part[t] = (at, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / avgdl)))
+                q_at, r_at, scores = [], [], []
+                for q, terms in enumerate(wanted):
+                    there = [part[t] for t in terms if t in part]
+                    if not there:
+                        continue
+                    total = np.bincount(np.concatenate([at for at, _ in there]), weights=np.concatenate([x for _, x in there]), minlength=m)
+                    hit = np.flatnonzero(total > 0)
+                    if len(hit) > k:
+                        # ties at the cut are kept, so that the last word on them is the window's
+                        edge = np.partition(total[hit], len(hit) - k)[len(hit) - k]
+                        hit = hit[total[hit] >= edge - 2e-9]
+                    q_at.append(np.full(len(hit), q))
+                    r_at.append(hit)
+                    scores.append(total[hit])
+                if q_at:
+                    at = pa.array(np.concatenate(r_at))
+                    yield pa.record_batch([pa.array(names).take(pa.array(np.concatenate(q_at))), *(b.column(c).take(at) for c in key), pa.array(np.concatenate(scores))], names=["query_id", *key, "score"])
+
+        return own.mapInArrow(run, schema)
+
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            result = scored(block) if result is None else result.unionByName(scored(block))
+            block = []
+    if block:
+        result = scored(block) if result is None else result.unionByName(scored(block))
+    if result is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    return top_k(result, k, ["query_id"], F.round("score", 9).desc(), *key)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, query_vector: str = "vector") -> DataFrame:
     """(query_id, id, distance, rank): the k rows of least squared distance to each query, exact.
 

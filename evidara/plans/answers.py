@@ -46,8 +46,7 @@ def ranked(library: Library, questions: DataFrame, settings: SearchSettings, kin
         own = library.chunks.where("vector is not null").groupBy("id").agg(F.max("vector").alias("vector"))
         halves.append(retrieval.nearest(questions.where("vector is not null"), own, "id", "vector", deep))
     if settings.mode != "vector" or not halves:
-        found = retrieval.bm25(asked, library.chunks, ["id"], "framed")
-        halves.append(retrieval.top_k(found, deep, ["query_id"], F.round("score", 9).desc(), "id"))
+        halves.append(retrieval.bm25(asked, library.chunks.groupBy("id").agg(F.min("framed").alias("framed")), ["id"], "framed", deep))
     if len(halves) == 1:
         only = halves[0] if "score" in halves[0].columns else halves[0].withColumn("score", C.nearness("distance"))
         fused = only.select("query_id", "id", "score", "rank")

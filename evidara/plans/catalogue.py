@@ -87,9 +87,8 @@ def knn_l2_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows, queries = corpus(spark, d), asked_vectors(spark, d)
-    lexical = retrieval.bm25(queries, rows, ["id"], "framed", None)
-    # one document may lie in two collections under one id: its best row counts
-    lexical = retrieval.top_k(lexical, 50, ["query_id"], F.round("score", 9).desc(), "id")
+    # one document may lie in two collections under one id
+    lexical = retrieval.bm25(queries, rows.groupBy("id").agg(F.min("framed").alias("framed")), ["id"], "framed", 50)
     usable = rows.where("vector is not null").groupBy("id").agg(F.max("vector").alias("vector"))
     return retrieval.nearest(queries, usable, "id", "vector", 50), lexical
 

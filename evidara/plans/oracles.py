@@ -64,7 +64,7 @@ SHOW_RANGES = "SELECT query_id, rank, collection, document_id, name, seq_start,
 
 VASKED = f"vq AS (SELECT id AS query_id, question, query_vector AS v FROM search_questions WHERE query_vector IS NOT NULL AND trim(question) <> ''), vasked AS (SELECT query_id, unnest({terms('question')}) AS term FROM vq)"
 L2 = "list_sum(list_transform(list_zip({0}, {1}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
-HALVES = f"""WITH {CORPUS}, {VASKED}, {bm25(key='id', asked='vasked')},
+HALVES = f"""WITH {CORPUS}, {VASKED}, ids AS (SELECT id, min(framed) AS framed FROM corpus GROUP BY id), {bm25(rows='ids', key='id', asked='vasked')},
 lex AS ({top('scored', 50, 'query_id', 'round(score, 9) DESC, id')}),
 vecs AS (SELECT id, max(vector::FLOAT[]) AS vector FROM corpus WHERE vector IS NOT NULL GROUP BY id),
 dist AS (SELECT query_id, id, {L2.format('v', 'vector')} AS distance FROM vq CROSS JOIN vecs),
