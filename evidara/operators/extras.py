@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.functions.columns import cosine
 from evidara.operators.retrieval import bm25, top_k
 
 DOC = ["collection", "document_id"]
+#: Rows that every task holds at a time when all pairs are counted.
+PAIR_BLOCK = 512
 
 
 def probes(missing: DataFrame, rows: DataFrame, key: list[str], text: str, held: DataFrame, depth: int = 20) -> DataFrame:
@@ -95,11 +101,62 @@ def subsections(sections: DataFrame) -> DataFrame:
 def topic_pairs(topics: DataFrame, vector: str, bar: float) -> DataFrame:
     """(same, pairs, joined): pairs of phrasings of one topic and of different topics, and how many of each a bar joins.
 
-    topics(id, topic, vector): a labelled evaluation set of bounded size.
+    topics(id, topic, vector), of any size: all pairs are counted. Rows are read in blocks that every task holds and multiplied with all
+    rows, so that only counts are shuffled; the work is quadratic in the rows. Null vectors are joined with nothing; all-zero ones
+    have cosine 0.
     """
-    a, b = (topics.select(F.col("id").alias(f"i{x}"), F.col("topic").alias(f"t{x}"), F.col(vector).alias(f"v{x}")) for x in "ab")
-    pairs = a.join(F.broadcast(b), F.col("ia") < F.col("ib"))
-    return pairs.groupBy((F.col("ta") == F.col("tb")).alias("same")).agg(F.count("*").alias("pairs"), F.sum((cosine("va", "vb") > bar).cast("int")).alias("joined"))
+    spark = topics.sparkSession
+    own = topics.select("id", F.col("topic").cast("string").alias("topic"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    schema = "same boolean, pairs long, joined long"
+    parts: list[DataFrame] = []
+
+    def counted(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in block]), [r.topic for r in block], [r.v for r in block]))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, names, vectors = shared.value
+            known: dict[str | None, int] = {None: -1}
+            of = np.array([known.setdefault(x, len(known)) for x in names])
+            by_length = _unit_by_length(vectors)
+            for b in it:
+                if not b.num_rows:
+                    continue
+                later = ids[:, None] < np.array(b.column("id").to_pylist())[None, :]
+                theirs = np.array([known.get(x, -2) for x in b.column("topic").to_pylist()])
+                near = np.zeros(later.shape, bool)
+                for n, (at, v) in _unit_by_length(b.column("v").to_pylist()).items():
+                    if n in by_length:
+                        near[np.ix_(by_length[n][0], at)] = by_length[n][1] @ v.T > bar
+                unknown = (of == -1)[:, None] | (theirs == -1)[None, :]
+                alike = of[:, None] == theirs[None, :]
+                groups = [(same, later & m) for same, m in ((True, alike & ~unknown), (False, ~alike & ~unknown), (None, unknown))]
+                found = [(same, int(m.sum()), int((m & near).sum())) for same, m in groups]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), (pa.bool_(), pa.int64(), pa.int64()))], names=["same", "pairs", "joined"])
+
+        return own.mapInArrow(run, schema)
+
+    block: list = []
+    for r in own.toLocalIterator():
+        block.append(r)
+        if len(block) == PAIR_BLOCK:
+            parts.append(counted(block))
+            block = []
+    if block:
+        parts.append(counted(block))
+    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return every.groupBy("same").agg(F.sum("pairs").alias("pairs"), F.sum("joined").alias("joined")).where("pairs > 0")
+
+
+def _unit_by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of the vectors of each length; nulls are left out, all-zero vectors stay as they are."""
+    lengths = np.array([len(v) if v is not None and None not in v else 0 for v in vectors])
+    out = {}
+    for n in set(lengths.tolist()) - {0}:
+        at = np.flatnonzero(lengths == n)
+        v = np.array([vectors[i] for i in at], dtype=np.float64)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        out[n] = at, v / np.where(norm > 0, norm, 1)
+    return out
 
 
 def batch_outputs(runs: DataFrame, batches: DataFrame) -> DataFrame:

@@ -827,6 +827,13 @@ def topic_pairs_joined(spark: SparkSession, d: str) -> DataFrame:
     return extras.topic_pairs(rows, "vector", 0.1)
 
 
+@query
+def topic_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the table; topic_pairs_joined keeps to the rows that its SQL names."""
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), F.col("embedding").alias("vector"))
+    return extras.topic_pairs(rows, "vector", 0.1)
+
+
 @query
 def chunk_trend(spark: SparkSession, d: str) -> DataFrame:
     searches = load(spark, d, "searches")

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidara.operators import chunking, collapse, descriptors, fill, gaps, mapping, metadata, passages, retrieval, sections
+from evidara.operators import chunking, collapse, descriptors, extras, fill, gaps, mapping, metadata, passages, retrieval, sections
 from evidara.settings import ChunkSettings, SearchSettings
 
 HIT = "query_id long, collection string, document_id string, name string, seq int, score double, end_reason string, char_start int, char_end int, line_start int, line_end int, page_start int, page_end int"
@@ -251,3 +251,24 @@ def test_shingle_overlaps_against_sets(spark):
     want = {(i + 1, j + 1): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(range(4), 2) if sets[i] & sets[j]}
     got = {(r.a, r.b): r.alike for r in collapse.shingle_overlaps(df).collect()}
     assert got == pytest.approx(want)
+
+
+def test_topic_pairs_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(extras, "PAIR_BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, f"t{i % 4}", r.standard_normal(5).tolist()) for i in range(75)] + [(75, None, [1.0] * 5), (76, "t1", [0.0] * 5), (77, "t2", None), (None, "t0", [1.0] * 5)]
+    want: dict = {}
+    for (_, ta, va), (_, tb, vb) in combinations(rows[:-1], 2):
+        same = None if ta is None or tb is None else ta == tb
+        near = va is not None and vb is not None and any(va) and any(vb) and np.dot(va, vb) / np.linalg.norm(va) / np.linalg.norm(vb) > 0.1
+        n = want.setdefault(same, [0, 0])
+        n[0], n[1] = n[0] + 1, n[1] + int(near)
+    df = spark.createDataFrame(rows, "id long, topic string, vector array<double>")
+    assert {x.same: [x.pairs, x.joined] for x in extras.topic_pairs(df, "vector", 0.1).collect()} == want
+
+
+def test_whole_topic_pairs_count_every_pair(spark, small):
+    from evidara.plans import catalogue
+
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    assert sum(x.pairs for x in catalogue.queries()["topic_pairs_whole"](spark, small).collect()) == n * (n - 1) // 2
