@@ -3,7 +3,8 @@
 Codes are learned by iterative quantisation: on a bounded sample, principal directions and a rotation that brings
 the projected vectors closest to their signs. Several rotations, each from another start, give as many bits as are asked for. A code is
 cut into substrings, each an index of its own: codes that differ in fewer bits than there are substrings agree in
-one of them (pigeonhole). Retrieved pairs are kept within a Hamming radius, then judged by the floats.
+one of them (pigeonhole). Retrieved pairs are kept within a Hamming radius, then judged by the floats. How many substrings are
+needed is measured on the sample; where it takes too many, as with vectors that all lie close to their mean, all pairs are compared.
 
 `close_pairs` joins all vectors with all; `search` takes stated queries, in blocks, against all vectors.
 Null vectors, all-zero vectors and vectors of another length or with values that are no finite numbers are left out. Of rows with one id, the
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import acos, ceil, log, log1p, pi
 
 import numpy as np
@@ -28,7 +30,7 @@ from evidara.session import scratch, spread
 @dataclass(frozen=True)
 class HashSettings:
     """sample: rows that the rotations are learned from, at most; miss: chance at most that a pair just at the
-    threshold is not retrieved; load: vectors that a bucket should hold on average; seed: of the starts."""
+    threshold is not retrieved, as measured on pairs made from the sample; load: vectors that a bucket should hold on average; seed: of the starts."""
 
     sample: int = 4096
     miss: float = 5e-4
@@ -97,12 +99,41 @@ def _sample(rows: DataFrame, settings: HashSettings) -> np.ndarray:
     return unit(few.column("v").combine_chunks())
 
 
-def plan(n: int, least: float, settings: HashSettings) -> tuple[int, int]:
-    """(bits of a substring, substrings): buckets of about settings.load of n vectors, and as many
-    substrings as a pair of cosine `least` needs, whose bits differ with chance angle / pi."""
+#: Rotations that flips are measured on, and the part of the sample's rows, those with the most flips, that miss holds for.
+MEASURED, WORST = 8, 0.01
+#: Beyond so many substrings, and one for each 400 rows, comparing all pairs is the lesser work.
+MANY = 256
+
+
+def _partners(v: np.ndarray, least: float, r: np.random.Generator) -> Iterator[np.ndarray]:
+    """Vectors of cosine `least` to v's rows: towards other rows, as pairs of one data set lie, and in any direction."""
+    for towards in (1.0, 0.0) * 4:
+        w = towards * v[r.integers(0, len(v), len(v))] + (1e-3 if towards else 1.0) * r.standard_normal(v.shape)
+        w -= np.einsum("ij,ij->i", w, v)[:, None] * v
+        yield least * v + (1 - least**2) ** 0.5 * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+
+
+def plan(n: int, least: float, sample: np.ndarray, settings: HashSettings) -> tuple[int, int, int]:
+    """(bits of a substring, substrings, radius): buckets of about settings.load of n vectors; as many substrings as a pair of cosine
+    `least` needs, and the radius in bits of 128 that such a pair stays within.
+
+    For directions free of the data bits differ with chance angle / pi, which is the least that is planned for. Codes are cut about the
+    mean, which widens angles, so the bits that differ are counted on pairs made at the threshold; the chance to miss
+    one holds for the rows whose pairs fare worst as well.
+    """
     bits = int(np.clip(ceil(np.log2(max(2, n) / settings.load)), 6, 30))
-    same = (1 - acos(min(1.0, least)) / pi) ** bits
-    return bits, max(1, ceil(log(settings.miss) / log1p(-min(same, 1 - 1e-12))))
+    flip = acos(min(1.0, least)) / pi
+    parts = max(1, ceil(log(settings.miss) / log1p(-min((1 - flip) ** bits, 1 - 1e-12))))
+    mean, directions = learn(sample, MEASURED, settings)
+    own, r = codes(sample, mean, directions), np.random.default_rng(settings.seed)
+    apart = np.array([np.bitwise_count(own ^ codes(v, mean, directions)) for v in _partners(sample, min(1.0, least), r)])
+    met = (1 - apart.sum(2) / (64 * MEASURED)) ** bits
+    worst = met[:, np.argsort(met.mean(0))[: max(1, int(len(sample) * WORST))]]
+    while parts < n and ((1 - worst) ** parts).mean() > settings.miss:
+        parts = ceil(parts * 1.05)
+    judged = apart[:, :, :2].sum(2)
+    wide = max(128 * flip + 5 * (128 * flip * (1 - flip)) ** 0.5, judged.mean() + 5 * judged.std(), judged.max())
+    return bits, parts, int(wide)
 
 
 def close_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.95, k: int = 10, settings: HashSettings = HashSettings()) -> DataFrame:
@@ -119,11 +150,13 @@ def close_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.95
     rows = rows.where(F.size("v") == dims).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
     # ids become hashes until the end; equal hashes of different ids only cost a comparison
     rows = scratch(rows.withColumn("h", F.xxhash64("id")), "vectors")
-    bits, parts = plan(rows.count(), least, settings)
-    mean, directions = learn(_sample(rows, settings), ceil(bits * parts / 64) + 2, settings)
-    # the first two words only judge: bits that differ at the threshold, and five deviations more
-    flip = acos(least) / pi
-    radius = int(128 * flip + 5 * (128 * flip * (1 - flip)) ** 0.5)
+    kind = rows.schema["id"].dataType.simpleString()
+    n, sample = rows.count(), _sample(rows, settings)
+    bits, parts, radius = plan(n, least, sample, settings) if n > 1 else (6, 1, 128)
+    if parts > max(MANY, n // 400):
+        return _mutual(_all_ends(rows, least, k, kind), k)
+    # the first two words only judge
+    mean, directions = learn(sample, ceil(bits * parts / 64) + 2, settings)
 
     def entries(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
@@ -149,14 +182,46 @@ def close_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.95
             cos = np.einsum("ij,ij->i", unit(x.column("va")), unit(x.column("vb")))
             yield pa.record_batch([x.column("id_a"), x.column("id_b"), pa.array(cos)], names=["id_a", "id_b", "cosine"]).filter(pa.array(cos >= least))
 
-    kind = rows.schema["id"].dataType.simpleString()
     near = arrow_map(both, cosines, f"id_a {kind}, id_b {kind}, cosine double")
     ends = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "cosine"))
+    return _mutual(ends, k)
+
+
+def _mutual(ends: DataFrame, k: int) -> DataFrame:
+    """Pairs of which each is among the other's k most similar, from pairs listed in both directions."""
     best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b"))).where(F.col("rank") <= k)
     pairs = best.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "cosine")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("sides"), F.max("cosine").alias("cosine")).where("sides = 2").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "cosine")
 
 
+def _all_ends(rows: DataFrame, least: float, k: int, kind: str, block: int = 1024) -> DataFrame:
+    """(id_a, id_b, cosine): pairs of cosine at least `least` in both directions, each task's best k of each id_a: all rows are compared with all, a
+    block at a time."""
+
+    def ends_of(ids: list, vectors: np.ndarray) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if not b.num_rows:
+                return
+            asked, q = shared.value
+            v, place = unit(b.column("v")), {x: i for i, x in enumerate(b.column("id").to_pylist())}
+            cos = q @ v.T
+            for i, x in enumerate(asked):
+                if x in place:
+                    cos[i, place[x]] = -2
+            # ties at the cut are kept, so that the last word on them is the window's
+            edge = np.partition(cos, -min(k, b.num_rows), axis=1)[:, -min(k, b.num_rows)]
+            at_q, at_v = np.nonzero(cos >= np.maximum(edge, least)[:, None] - 1e-12)
+            near = np.einsum("ij,ij->i", q[at_q], v[at_v])
+            found = pa.record_batch([pa.array(asked, b.column("id").type).take(pa.array(at_q)), b.column("id").take(pa.array(at_v)), pa.array(near)], names=["id_a", "id_b", "cosine"])
+            yield found.filter(pa.array((near >= least) & (cos[at_q, at_v] > -2)))
+
+        return arrow_map(rows.select("id", "v"), run, f"id_a {kind}, id_b {kind}, cosine double")
+
+    return reduce(DataFrame.unionByName, (ends_of(*x) for x in _query_blocks(rows.select("id", "v"), block)))
+
+
 def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, nprobes: int = 20, refine_factor: int = 10, block: int = 2048, settings: HashSettings = HashSettings()) -> DataFrame:
     """(query_id, id, cosine, rank): the k vectors most similar to each query, itself left out.
 

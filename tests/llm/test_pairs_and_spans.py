@@ -186,6 +186,38 @@ def test_close_pairs_match_brute_force(spark):
     assert got == brute_close(rows, 0.95, 5) and len(got) > 60
 
 
+@pytest.mark.parametrize("strength, many", [(1.1, 10**6), (2.0, 10**6), (2.0, 0)])
+def test_close_pairs_with_a_strong_common_mean(spark, monkeypatch, strength, many):
+    monkeypatch.setattr(vectors, "MANY", many, raising=False)
+    r = np.random.default_rng(6)
+    base = r.standard_normal((300, 64)) / 8 + strength * np.eye(64)[0]
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = r.standard_normal(base.shape)
+    near -= (near * base).sum(1, keepdims=True) * base
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    near = 0.951 * base + (1 - 0.951**2) ** 0.5 * near
+    rows = {f"a{i:03}": v.tolist() for i, v in enumerate(base)} | {f"b{i:03}": v.tolist() for i, v in enumerate(near)} | {f"c{i:03}": base[7].tolist() for i in range(9)}
+    df = spark.createDataFrame(list(rows.items()), "id string, vector array<float>")
+    got = {(x.id_a, x.id_b) for x in vectors.close_pairs(df, "id", "vector", 0.95, 5, vectors.HashSettings(load=1)).collect()}
+    assert got == brute_close(rows, 0.95, 5) and len(got) > 250
+
+
+def test_planned_substrings_meet_pairs_about_a_strong_mean():
+    r = np.random.default_rng(9)
+    x = r.standard_normal((4000, 64)) / 8 + 1.1 * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    settings = vectors.HashSettings()
+    bits, parts, radius = vectors.plan(91_000, 0.95, x[:2000], settings)
+    mean, directions = vectors.learn(x[:2000], -(-bits * parts // 64) + 2, settings)
+    w = r.standard_normal((2000, 64))
+    w -= (w * x[2000:]).sum(1, keepdims=True) * x[2000:]
+    y = 0.95 * x[2000:] + (1 - 0.95**2) ** 0.5 * w / np.linalg.norm(w, axis=1, keepdims=True)
+    one, two = (vectors.codes(v, mean, directions) for v in (x[2000:], y))
+    same = np.unpackbits((one ^ two)[:, 2:].copy().view(np.uint8), axis=1, bitorder="little")[:, : bits * parts].reshape(-1, parts, bits).sum(2) == 0
+    lost = ~same.any(1) | (np.bitwise_count((one ^ two)[:, :2]).sum(1) > radius)
+    assert lost.sum() <= 5  # of 2,000; 0.05 % are promised
+
+
 def test_search_recall_and_rank(spark):
     r = np.random.default_rng(3)
     topics = unit_rows(60, 64, 4)
