@@ -8,7 +8,8 @@ their Jaccard similarity. Bands of registers give candidates, the joint likeliho
 are verified with the exact sets.
 
 Nulls, and texts with fewer words than a shingle has, have no shingles and are in no pair; as groups they stand alone.
-Records with equal shingle sets are one class: one representative (the least id) is compared, the others follow it.
+Records with equal shingle sets are one class: one representative (the least id) is compared, the others follow it. Within it, records
+of equal text are copies.
 Repeated ids count once for each different text. Other columns of the input are ignored, whatever their names.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from math import ceil, log, log1p
 
 import numpy as np
@@ -31,8 +33,8 @@ from evidara.session import keep_keys, scratch, spread
 class SketchSettings:
     """width: words of a shingle; threshold: least similarity of a pair; rows: registers of a band;
     miss: the most that a pair just at the threshold may be missed by banding; base: spacing of the registers.
-    expand_copies: classes of equal sets up to this size are listed as all their pairs, larger ones as pairs
-    with their representative."""
+    expand_copies: groups of equal texts up to this size are listed as all their pairs, larger ones as pairs
+    with their first record."""
 
     width: int = 5
     threshold: float = 0.8
@@ -67,28 +69,33 @@ def registers_of(minima: np.ndarray, base: float) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, settings: SketchSettings) -> DataFrame:
-    """(id, set_a, set_b, n, registers) of each record with a shingle; set_a and set_b identify its set."""
+    """(id, set_a, set_b, n, registers, digest) of each record with a shingle; set_a and set_b identify its set, digest its text."""
     m, width, base = settings.registers, settings.width, settings.base
     mult, add = _draws(m)
 
     def sketch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, sets, digests, held = [], [], [], 0
         out = []
+
+        def flush() -> None:
+            out.append(_sketched(ids, sets, mult, add, base).append_column("digest", pa.array(digests, pa.binary())))
+
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             s = np.unique(shingles(hashed_words(text), width))
             if not len(s):
                 continue
             ids.append(i)
             sets.append(s)
+            digests.append(md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
             held += len(s)
             if held >= AT_ONCE:
-                out.append(_sketched(ids, sets, mult, add, base))
-                ids, sets, held = [], [], 0
+                flush()
+                ids, sets, digests, held = [], [], [], 0
         if ids:
-            out.append(_sketched(ids, sets, mult, add, base))
+            flush()
         yield from out
 
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), sketch, SKETCH)
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), sketch, SKETCH + ", digest binary")
 
 
 def _sketched(ids: list[int], sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray, base: float) -> pa.RecordBatch:
@@ -137,14 +144,16 @@ def candidates(reps: DataFrame, settings: SketchSettings) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, settings: SketchSettings = SketchSettings()) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes): pairs(a, b, similarity) between representatives, and classes(id, rep, size).
+    """(pairs, classes): pairs(a, b, similarity) between representatives, and classes(id, rep, size, copy_of, copies).
 
-    No link between different sets is lost but by banding's stated chance. A class is of equal sets.
+    No link between different sets is lost but by banding's stated chance. A class is of equal sets; copy_of is the least
+    id of an equal text, copies the number of ids that have it.
     """
     df = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     sk = scratch(sketches(df, "id", "text", settings), "sketches")
     heads = sk.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"))
-    classes = sk.select("id", "set_a", "set_b").distinct().join(heads, ["set_a", "set_b"]).select("id", "rep", "size")
+    texts = sk.groupBy("set_a", "set_b", "digest").agg(F.min("id").alias("copy_of"), F.count_distinct("id").alias("copies"))
+    classes = sk.select("id", "set_a", "set_b", "digest").distinct().join(texts, ["set_a", "set_b", "digest"]).join(heads, ["set_a", "set_b"]).select("id", "rep", "size", "copy_of", "copies")
     reps = sk.join(heads.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"], "left_semi")
     near = scratch(_estimated(candidates(reps, settings), sk, settings), "near")
     return _verified(near, df, settings), classes
@@ -186,26 +195,28 @@ def _verified(near: DataFrame, df: DataFrame, settings: SketchSettings) -> DataF
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, settings: SketchSettings = SketchSettings()) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: all similar records.
 
-    Classes of equal sets larger than settings.expand_copies stand in pairs by their representative only,
-    and each of their members is paired with that representative.
+    Equal texts of more than settings.expand_copies records stand in pairs with other texts by the least id only,
+    and each other record of theirs is paired with it. Different texts are listed in full, equal sets or not.
     """
     pairs, classes = similar_pairs(df, id_col, text_col, settings)
     pairs, classes = scratch(pairs, "pairs"), scratch(classes, "classes")
-    shown = classes.where((F.col("size") <= settings.expand_copies) | (F.col("id") == F.col("rep"))).select("rep", "id")
+    alone = F.col("id") == F.col("copy_of")
+    shown = classes.where((F.col("copies") <= settings.expand_copies) | alone).select("rep", "id", "size").distinct()
     a, b = shown.select(F.col("rep").alias("a"), F.col("id").alias("x")), shown.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y", "similarity")
-    small = classes.where((F.col("size") > 1) & (F.col("size") <= settings.expand_copies)).select("rep", "id")
-    within = small.select("rep", F.col("id").alias("x")).join(small.select("rep", F.col("id").alias("y")), "rep").where("x < y")
-    large = classes.where((F.col("size") > settings.expand_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    several = shown.where("size > 1")
+    within = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").where("x < y")
+    large = classes.where((F.col("copies") > settings.expand_copies) & ~alone).select(F.col("copy_of").alias("x"), F.col("id").alias("y"))
     copies = within.select("x", "y").unionByName(large).withColumn("similarity", F.lit(1.0))
     every = across.unionByName(copies).where("x <> y")
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, settings: SketchSettings = SketchSettings()) -> DataFrame:
-    """(id, group_id, links): every record with its group, the least id linked with it, and its number of similar records.
+    """(id, group_id, links, class_id): every record with its group, the least id linked with it, its number of similar records, and
+    the least id of an equal text, with which pairs of copies that are not listed can be restored.
 
-    Records without shingles, null or short, are groups of their own with no links.
+    Records without shingles, null or short, are groups and classes of their own with no links.
     """
     pairs, classes = similar_pairs(df, id_col, text_col, settings)
     pairs, classes = scratch(pairs, "pairs"), scratch(classes, "classes")
@@ -216,9 +227,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, settings: S
     known = (
         classes.join(group.withColumnRenamed("node", "rep"), "rep", "left")
         .join(links.withColumnRenamed("a", "rep"), "rep", "left")
-        .select("id", F.coalesce("group", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"))
+        .select("id", F.coalesce("group", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"), "copy_of")
         .groupBy("id")
-        .agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
+        .agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"), F.min("copy_of").alias("class_id"))
     )
     ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    return ids.join(known, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return ids.join(known, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "id").alias("class_id"))

@@ -65,6 +65,21 @@ def test_large_copy_groups_are_listed_by_their_head(spark):
     assert got == {(0, i) for i in range(1, 6)}
 
 
+def test_variants_of_one_set_are_listed_in_full(spark):
+    few = neardup.SketchSettings(width=3, threshold=0.6, expand_copies=4)
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    variants = [(i, text + "." * i) for i in range(8)]
+    copies = [(i, text.upper()) for i in range(20, 26)]
+    near = [(40, text + " lambda")]
+    df = spark.createDataFrame(variants + copies + near, "doc_id long, text string")
+    got = sorted((r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df, "doc_id", "text", few).collect())
+    shown = [*range(8), 20, 40]
+    assert got == sorted([*combinations(shown, 2), *((20, i) for i in range(21, 26))])
+    groups = {r.id: r for r in neardup.near_duplicate_groups(df, "doc_id", "text", few).collect()}
+    assert {r.group_id for r in groups.values()} == {0} and all(r.links == 14 for r in groups.values())
+    assert {i: r.class_id for i, r in groups.items()} == {**{i: i for i in (*range(8), 40)}, **dict.fromkeys(range(20, 26), 20)}
+
+
 def test_estimate_is_near_the_similarity():
     r = np.random.default_rng(1)
     s = neardup.SketchSettings(width=3, threshold=0.6)
