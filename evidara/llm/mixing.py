@@ -108,6 +108,19 @@ def route(sizes: dict[tuple[str, ...], int], targets: list[tuple[str, float, int
     return {k: flow.room[e ^ 1] for k, e in arcs.items()}
 
 
+def filled(used: dict[tuple[tuple[str, ...], str], float], own: dict[str, int], targets: list[tuple[str, float, int]], total: int) -> dict[str, bool]:
+    """Whether the flow routed to each source fills its quota. That a source's caps alone allow as much is compared as a check."""
+    out = {}
+    for s, share, most in targets:
+        quota = share * total
+        slack = 1e-9 * max(1.0, quota)
+        out[s] = sum(v for (_, to), v in used.items() if to == s) >= quota - slack
+        spare = max(0, most) * own[s] - quota
+        if abs(spare) > slack and out[s] != (spare > 0):
+            raise RuntimeError(f"the flow and the caps of source {s!r} disagree on whether its quota is reachable")
+    return out
+
+
 def normal(source: Column) -> Column:
     return F.lower(F.trim(source))
 
@@ -143,7 +156,8 @@ def mixed(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: D
     plan = spark.createDataFrame(passes, "held array<string>, to string, begin double, passes double")
     drawn = _drawn(sized, F.broadcast(plan))
     actual = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("used"))
-    terms = spark.createDataFrame([(s, t, m, own[s], t * whole, m * own[s] >= t * whole) for s, t, m in wanted], "source string, target_share double, max_repeats int, available long, quota double, reachable boolean")
+    reachable = filled(used, own, wanted, whole)
+    terms = spark.createDataFrame([(s, t, m, own[s], t * whole, reachable[s]) for s, t, m in wanted], "source string, target_share double, max_repeats int, available long, quota double, reachable boolean")
     report = terms.join(actual, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     report = report.withColumn("actual_share", F.coalesce(F.col("used") / F.when(F.sum("used").over(Window.partitionBy()) > 0, F.sum("used").over(Window.partitionBy())), F.lit(0.0)))
     return Mix(drawn, report)

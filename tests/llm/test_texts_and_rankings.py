@@ -317,3 +317,14 @@ def test_stuffed_pages_are_told_from_prose(spark):
 
 def test_stuffed_pages_of_an_empty_table(spark):
     assert spam.stuffed(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_reachable_follows_the_flow(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "one two three"), (2, "b", "four")], "id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("c", 0.0, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.mixed(docs, "id", "source", "text", targets, share_texts=False)
+    assert {r.source: r.reachable for r in mix.report.collect()} == {"a": True, "b": False, "c": True}
+    assert mixing.filled({(("a",), "a"): 2.0}, {"a": 2}, [("a", 0.5, 1)], 4) == {"a": True}
+    monkeypatch.setattr(mixing, "route", lambda sizes, wanted, total: {(g, s): 0.0 for g in sizes for s in g})
+    with pytest.raises(RuntimeError, match="disagree"):
+        mixing.mixed(docs, "id", "source", "text", targets, share_texts=False)
