@@ -131,15 +131,16 @@ def groups(batches_in: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, group) of every node in links(a, b): group is the least node that it is linked with.
 
     Alternating large-star and small-star rounds, each written to the shared folder; no component is ever
-    gathered. Links of a node with itself count as a node without links.
+    gathered. Links of a node with itself count as a node without links. Rounds go on until one changes nothing; their number grows
+    with the square of the logarithm of the nodes at most.
     """
     edges = scratch(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").union(edges.where("a = b").select("a", "b"))

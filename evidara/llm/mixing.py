@@ -1,12 +1,14 @@
-"""Mixing sources to target shares: a min-cost flow from groups of documents to the sources' quotas.
+"""Mixing sources to target shares: a min-cost flow from groups of texts to the sources' quotas.
 
-Documents are grouped by the set of listed sources that hold them (one source each, or several where texts repeat across sources). A group can
-send each source of its set its whole size once for free, and again at a cost that rises with each repetition, up to the source's cap. The flow that
-fills the quotas at the least cost says how often each group is used for each source; documents are then drawn by a seeded hash, which cuts the
-last, partial repetition.
+The unit of the mix is a text. What several listed sources hold is one unit, which belongs to all of them; further copies of a text
+within one source are units of that source alone. Units are grouped by the set of sources that hold them. A group's
+first use, by whichever source, is free, and each further one costs more than the one before; a source takes each unit at most as often as
+its cap says. The flow that fills the quotas at the least cost says how often each group is used for each source; units are then
+drawn by a seeded hash, which cuts the last, partial repetition, and come out as the document that the source has of the text.
 
 Sources are compared trimmed and in lower case. Null sources and those not listed take no part. Null texts have size 0.
-Rows of one id in one source count once (the largest). Quotas are shares of `total`, by default the size of all documents of listed sources, each once.
+Rows of one id in one source count once (the largest). Quotas are shares of `total`, by default the size of all documents of
+listed sources, each document once.
 """
 
 from __future__ import annotations
@@ -126,35 +128,32 @@ def normal(source: Column) -> Column:
 
 
 def mixed(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: DataFrame, size: str = "words", share_texts: bool = True, total: int | None = None, seed: int = 13, tokenizer: str | None = None) -> Mix:
-    """size: 'words' or 'tokens'; share_texts: whether a text found in several listed sources may serve any of them."""
-    wanted = [(r.s, r.t, r.m) for r in targets.groupBy(normal(F.col("source")).alias("s")).agg(F.sum("target_share").alias("t"), F.max("max_repeats").alias("m")).where("s is not null").orderBy("s").limit(GROUPS).collect()]
+    """size: 'words' or 'tokens'; share_texts: whether a text found in several listed sources is one unit of them all."""
+    terms = targets.groupBy(normal(F.col("source")).alias("s")).agg(F.sum("target_share").alias("t"), F.max("max_repeats").alias("m")).where("s is not null")
+    if not few_rows(terms, GROUPS):
+        raise ValueError(f"more than {GROUPS} target sources")
+    wanted = [(r.s, r.t or 0.0, r.m or 0) for r in terms.orderBy("s").collect()]
     names = [s for s, _, _ in wanted]
     spark = df.sparkSession
     listed = spark.createDataFrame([(s,) for s in names], "source string")
     docs = spread(df.select(F.col(id_col).cast("long").alias("id"), normal(F.col(source_col)).alias("source"), F.col(text_col).alias("text")))
     docs = docs.where("id is not null").join(F.broadcast(listed) if len(names) < 10_000 else listed, "source")
-    sized = _sized(docs, size, tokenizer).groupBy("id", "source").agg(F.max("size").alias("size"), F.max("digest").alias("digest"))
-    if share_texts:
-        sized = scratch(sized, "sized")
-        sets = sized.groupBy("digest").agg(F.sort_array(F.collect_set("source")).alias("held"))
-        sized = sized.join(sets, "digest")
-        # a text that several sources hold is one unit, drawn by its digest; copies of it in one source are units of their own
-    else:
-        sized = sized.withColumn("held", F.array("source"))
-    sized = sized.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30))
-    sizes = sized.groupBy("held").agg(F.sum("size").alias("size"))
+    sized = scratch(_sized(docs, size, tokenizer).groupBy("id", "source").agg(F.max_by(F.struct("size", "digest"), "size").alias("x")).select("id", "source", "x.*"), "sized")
+    units = scratch(_units(sized, share_texts, seed), "units")
+    sizes = units.groupBy("held").agg(F.sum("size").alias("size"))
     if not few_rows(sizes, GROUPS):
         raise ValueError(f"more than {GROUPS} sets of sources overlap")
     by = {tuple(r.held): int(r["size"] or 0) for r in sizes.collect()}
-    whole = total if total is not None else sum(by.values())
+    whole = total if total is not None else sum(n * len(g) for g, n in by.items())
     used = route(by, wanted, whole)
     own = {s: sum(n for g, n in by.items() if s in g) for s in names}
+    most = {s: max(0, m) for s, _, m in wanted}
     passes, start = [], dict.fromkeys(by, 0.0)
     for (g, s), v in used.items():
-        passes.append((list(g), s, start[g], v / by[g] if by[g] else 0.0))
-        start[g] += passes[-1][-1]
-    plan = spark.createDataFrame(passes, "held array<string>, to string, begin double, passes double")
-    drawn = _drawn(sized, F.broadcast(plan))
+        passes.append((list(g), s, start[g], v / by[g] if by[g] else 0.0, most[s]))
+        start[g] += passes[-1][3]
+    plan = spark.createDataFrame(passes, "held array<string>, to string, begin double, passes double, most int")
+    drawn = _drawn(units, F.broadcast(plan))
     actual = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("used"))
     reachable = filled(used, own, wanted, whole)
     terms = spark.createDataFrame([(s, t, m, own[s], t * whole, reachable[s]) for s, t, m in wanted], "source string, target_share double, max_repeats int, available long, quota double, reachable boolean")
@@ -163,6 +162,24 @@ def mixed(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: D
     return Mix(drawn, report)
 
 
+def _units(sized: DataFrame, share_texts: bool, seed: int) -> DataFrame:
+    """(held, size, u, docs): the sources that hold a unit, its place in the draw, and each source's document of it.
+
+    The first document of a text in each source is part of the text's unit; no group of copies is gathered, however large.
+    """
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+
+    alone = sized.select(F.array("source").alias("held"), "size", place(F.col("id")).alias("u"), F.array(F.struct("source", "id")).alias("docs"), "id", "source")
+    if not share_texts:
+        return alone.drop("id", "source")
+    first = sized.groupBy("digest", "source").agg(F.min("id").alias("id"), F.max("size").alias("size"))
+    shared = first.groupBy("digest").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("source", "id"))).alias("docs")).where("size(docs) > 1")
+    shared = shared.select(F.transform("docs", lambda x: x["source"]).alias("held"), "size", place(F.col("digest")).alias("u"), "docs")
+    of_shared = shared.select(F.explode("docs").alias("d")).select("d.id", "d.source")
+    return shared.unionByName(alone.join(of_shared, ["id", "source"], "left_anti").drop("id", "source"))
+
+
 def _sized(docs: DataFrame, size: str, tokenizer: str | None) -> DataFrame:
     if size == "words":
         return docs.select("id", "source", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -176,15 +193,15 @@ def _sized(docs: DataFrame, size: str, tokenizer: str | None) -> DataFrame:
     return arrow_map(docs, run, "id long, source string, size long, digest string")
 
 
-def _drawn(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, source, copies, size): documents lie in the order of their hash, by size, on a ring of length 1 for each group;
+def _drawn(units: DataFrame, plan: DataFrame) -> DataFrame:
+    """(id, source, copies, size): units lie in the order of their hash, by size, on a ring of length 1 for each group;
     each source takes its passes round the ring from where the one before it stopped."""
-    rows = sized.withColumn("slice", F.floor(F.col("u") * SLICES))
+    rows = units.withColumn("slice", F.floor(F.col("u") * SLICES))
     sums = rows.groupBy("held", "slice").agg(F.sum("size").alias("sum"))
     w = Window.partitionBy("held").orderBy("slice")
     sums = sums.select("held", "slice", "sum", (F.sum("sum").over(w) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy("held")).alias("all"))
     place = (F.col("before") + (F.col("u") * SLICES - F.col("slice")) * F.col("sum")) / F.when(F.col("all") > 0, F.col("all"))
-    placed = rows.join(sums, ["held", "slice"]).select("id", "held", "size", F.coalesce(place, F.lit(0.0)).alias("place"))
-    copies = F.ceil(F.col("begin") + F.col("passes") - F.col("place")) - F.ceil(F.col("begin") - F.col("place"))
-    taken = placed.join(plan, "held")
-    return taken.select("id", F.col("to").alias("source"), copies.cast("int").alias("copies"), "size").where("copies > 0")
+    placed = rows.join(sums, ["held", "slice"]).select("docs", "held", "size", F.coalesce(place, F.lit(0.0)).alias("place"))
+    copies = F.least(F.ceil(F.col("begin") + F.col("passes") - F.col("place")) - F.ceil(F.col("begin") - F.col("place")), "most")
+    taken = placed.join(plan, "held").withColumn("copies", copies.cast("int")).where("copies > 0")
+    return taken.select(F.filter("docs", lambda x: x["source"] == F.col("to"))[0]["id"].alias("id"), F.col("to").alias("source"), "copies", "size")

@@ -124,7 +124,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(load(spark, sf_dir, "documents"), "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"), size="words", share_texts=False)
+    mix = mixing.mixed(load(spark, sf_dir, "documents"), "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"), size="words")
     return mix.report.where("not reachable").select("source")
 
 

@@ -281,6 +281,28 @@ def test_texts_in_several_sources_serve_either(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     mix = mixing.mixed(docs, "doc_id", "source", "text", spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS))
     assert sorted(r.used for r in mix.report.collect()) == pytest.approx([160, 160], abs=16)
+    assert all(r.id < 100 if r.source == "a" else r.id >= 100 for r in mix.documents.collect())
+
+
+def test_a_shared_text_is_one_unit_of_its_sources(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "b", " ".join(f"v{i}" for i in range(300)))], "doc_id long, source string, text string")
+    mix = mixing.mixed(docs, "doc_id", "source", "text", spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS))
+    report = {r.source: r for r in mix.report.collect()}
+    assert (report["a"].available, report["b"].available) == (100, 400)
+    assert (report["a"].quota, report["b"].quota) == (250, 250) and not report["a"].reachable and report["b"].reachable
+    assert [(r.id, r.copies) for r in mix.documents.where("source = 'a'").collect()] == [(1, 1)]
+    copies = spark.createDataFrame([(i, s, text) for s, own in (("a", range(3)), ("b", range(10, 12))) for i in own], "doc_id long, source string, text string")
+    mix = mixing.mixed(copies, "doc_id", "source", "text", spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 1)], TARGETS))
+    assert {r.source: (r.available, r.used) for r in mix.report.collect()} == {"a": (300, 300), "b": (200, 200)}
+    assert sorted((r.id, r.copies) for r in mix.documents.collect()) == [(0, 1), (1, 1), (2, 1), (10, 1), (11, 1)]
+
+
+def test_more_targets_than_the_flow_takes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 2)
+    docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string")
+    with pytest.raises(ValueError, match="target sources"):
+        mixing.mixed(docs, "doc_id", "source", "text", spark.createDataFrame([(s, 0.3, 1) for s in "abc"], TARGETS))
 
 
 def test_mix_of_nothing(spark):
