@@ -52,7 +52,7 @@ THREE = [("bm25_score", True, "bm25_weight"), ("vector_distance", False, "vector
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["document_id", "seq"]
     order = ranking.ideal_points(load(spark, sf_dir, "candidates"), "search_id", key, [ranking.Score(c, more) for c, more, _ in THREE])
-    return ranking.majority_winner(order, "search_id", key, 3)
+    return ranking.majority_winner(order, "search_id", key, 3).select("search_id", *key)
 
 
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +108,8 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = terms.term_scores(load(spark, sf_dir, "documents"), "doc_id", ["text", "description"], shortest=5, least=3)
-    return scores.where("df <= 6").select(F.col("id").alias("doc_id"), "term")
+    scores = terms.term_scores(load(spark, sf_dir, "documents"), "doc_id", ["text", "description"], shortest=5, least=3, most=6)
+    return scores.select(F.col("id").alias("doc_id"), "term")
 
 
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
