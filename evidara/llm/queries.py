@@ -103,7 +103,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten chunks most similar to every chunk whose id's checksum is divisible by 100, among all chunks."""
     chunks = load(spark, sf_dir, "chunks")
-    found = vectors.search(chunks, "id", "vector", chunks.where(F.crc32("id") % 100 == 0), k=10, nprobes=24, refine_factor=40)
+    found = vectors.search(chunks, "id", "vector", chunks.where(F.crc32("id") % 100 == 0), k=10)
     return found.select("query_id", "id", "rank", F.round("cosine", 6).alias("cosine"))
 
 

@@ -6,7 +6,8 @@ cut into substrings, each an index of its own: codes that differ in fewer bits t
 one of them (pigeonhole). Retrieved pairs are kept within a Hamming radius, then judged by the floats. How many substrings are
 needed is measured on the sample; where it takes too many, as with vectors that all lie close to their mean, all pairs are compared.
 
-`close_pairs` joins all vectors with all; `search` takes stated queries, in blocks, against all vectors.
+`close_pairs` joins all vectors with all under substrings that agree; `search` takes stated queries, in blocks, and probes an index of all
+vectors by substrings within a Hamming radius.
 Null vectors, all-zero vectors and vectors of another length or with values that are no finite numbers are left out. Of rows with one id, the
 greatest vector counts. Similarity is cosine; ties are broken by the smaller id. Other columns are ignored.
 """
@@ -20,6 +21,7 @@ from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,12 +224,39 @@ def _all_ends(rows: DataFrame, least: float, k: int, kind: str, block: int = 102
     return reduce(DataFrame.unionByName, (ends_of(*x) for x in _query_blocks(rows.select("id", "v"), block)))
 
 
-def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, nprobes: int = 20, refine_factor: int = 10, block: int = 2048, settings: HashSettings = HashSettings()) -> DataFrame:
+#: Substrings of an indexed code, of 16 bits each; words of 64 bits that a row's whole code has.
+PARTS, WORDS = 4, 4
+#: Rows of the index that are met with a block of queries at a time.
+MET = 2048
+
+
+def index(rows: DataFrame, mean: np.ndarray, directions: np.ndarray) -> DataFrame:
+    """(part, key, h, code0 ...): rows(h, v) under each substring of their code's first word, a bucket's rows side by side.
+
+    The other words of the code only measure how far apart codes are.
+    """
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not b.num_rows:
+            return
+        c = codes(unit(b.column("v")), mean, directions)
+        for j in range(PARTS):
+            key = (c[:, 0] >> U64(16 * j) & U64(0xFFFF)).astype(np.int32)
+            yield pa.record_batch([pa.array(np.full(len(c), j, np.int32)), pa.array(key), b.column("h"), *(pa.array(as_long(np.ascontiguousarray(c[:, w]))) for w in range(WORDS))], names=["part", "key", "h", *(f"code{w}" for w in range(WORDS))])
+
+    entries = arrow_map(rows.select("h", "v"), run, "part int, key int, h long, " + ", ".join(f"code{w} long" for w in range(WORDS)))
+    return entries.repartition("part", "key").sortWithinPartitions("part", "key")
+
+
+def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, nprobes: int = 24, refine_factor: int = 20, block: int = 2048, settings: HashSettings = HashSettings()) -> DataFrame:
     """(query_id, id, cosine, rank): the k vectors most similar to each query, itself left out.
 
-    nprobes is the radius, in bits of 64, in which substrings are probed and codes retrieved; of those of each batch the refine_factor * k with the nearest
-    codes are reranked by their floats. Queries, (id, vector) under the same names, are read a block at a time, each block
-    small enough to be held by every task. Where fewer than are reranked lie within the radius, the nearest codes beyond are taken as well.
+    nprobes is a radius in bits of 64. A code within it differs from the query's by at most a quarter of it in one of four substrings
+    (pigeonhole), so all buckets within that distance are probed, and of the codes met there, those within the radius are kept. The refine_factor * k nearest of
+    these by their whole codes, over all rows, are reranked by their floats. A query that finds fewer is asked again with twice the radius, in
+    the end with all. Queries, (id, vector) under the same names, are read a block at a time, each block small enough to be held by every task.
+
+    Of equal vectors only the k + 1 of the least ids are indexed, as ties go to the smaller id.
     """
     rows = usable(df, id_col, vector_col)
     dims = _dims(rows)
@@ -235,13 +264,16 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: i
     schema = f"query_id {kind}, id {kind}, cosine double"
     if dims is None:
         return df.sparkSession.createDataFrame([], schema + ", rank int")
-    rows = scratch(rows.where(F.size("v") == dims), "vectors")
-    mean, directions = learn(_sample(rows, settings), 1, settings)
-    asked = usable(queries, id_col, vector_col, dims)
+    first = Window.partitionBy("v").orderBy("id")
+    rows = rows.where(F.size("v") == dims).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
+    rows = scratch(rows.withColumn("h", F.xxhash64("id")), "vectors")
+    mean, directions = learn(_sample(rows, settings), WORDS, settings)
+    entries, size, most = scratch(index(rows, mean, directions), "index"), rows.count(), refine_factor * k + 1
     result = None
-    for ids, vectors in _query_blocks(asked, block):
-        shared = df.sparkSession.sparkContext.broadcast((ids, vectors, codes(vectors, mean, directions)[:, 0]))
-        found = rows.mapInArrow(_searcher(shared, mean, directions, k, nprobes, refine_factor), schema)
+    for ids, vectors in _query_blocks(usable(queries, id_col, vector_col, dims), block):
+        near = _nearest_codes(entries, codes(vectors, mean, directions), nprobes, most, size)
+        shared = df.sparkSession.sparkContext.broadcast((ids, vectors))
+        found = near.join(rows, "h").select("query", "id", "v").mapInArrow(_reranked(shared, kind), schema)
         result = found if result is None else result.unionByName(found)
     if result is None:
         return df.sparkSession.createDataFrame([], schema + ", rank int")
@@ -249,6 +281,106 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: i
     return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nearest_codes(entries: DataFrame, asked: np.ndarray, radius: int, most: int, size: int) -> DataFrame:
+    """(query, h): the `most` entries nearest to each asked code, from the buckets within a radius that is doubled where they are too few."""
+    spark, left, result = entries.sparkSession, np.arange(len(asked)), None
+    order = Window.partitionBy("query").orderBy("apart", "h")
+    while len(left):
+        shared = spark.sparkContext.broadcast((left, asked[left]))
+        found = entries.mapInArrow(_prober(shared, radius, most), "query int, h long, apart int")
+        found = scratch(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most), "met")
+        # one row for each query of a block
+        n = {r.query: r["count"] for r in found.groupBy("query").count().collect()}
+        short = np.array([q for q in left if n.get(q, 0) < min(most, size)], int) if radius < 64 else left[:0]
+        done = found.where(~F.col("query").isin([int(q) for q in short])) if len(short) else found
+        result = done if result is None else result.unionByName(done)
+        left, radius = short, min(64, 2 * radius)
+    return result.select("query", "h")
+
+
+def _prober(shared, radius: int, most: int):
+    reach = radius // PARTS
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
+        subs = [(asked[:, 0] >> U64(16 * j) & U64(0xFFFF)).astype(np.uint16) for j in range(PARTS)]
+        best = _Best(len(names), most)
+        for b in it:
+            part, keys, h = (b.column(c).to_numpy() for c in ("part", "key", "h"))
+            own = np.stack([b.column(f"code{w}").to_numpy().view(U64) for w in range(WORDS)], axis=1)
+            for j in np.unique(part):
+                lines = np.flatnonzero(part == j)
+                for at in (lines[i : i + MET] for i in range(0, len(lines), MET)):
+                    bucket, which, n = np.unique(keys[at].astype(np.uint16), return_inverse=True, return_counts=True)
+                    probed, q = np.nonzero(np.bitwise_count(bucket[:, None] ^ subs[j][None, :]) <= reach)
+                    # the rows of each probed bucket
+                    by_bucket, start = np.argsort(which, kind="stable"), np.concatenate(([0], np.cumsum(n)[:-1]))
+                    times = n[probed]
+                    if not times.sum():
+                        continue
+                    place = np.repeat(start[probed] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+                    x, q = at[by_bucket[place]], np.repeat(q, times)
+                    differ = own[x, 0] ^ asked[q, 0]
+                    apart = np.bitwise_count(differ)
+                    ok = apart <= radius
+                    for i in range(j):  # met under an earlier substring already
+                        ok &= np.bitwise_count(differ >> U64(16 * i) & U64(0xFFFF)) > reach
+                    x, q, apart = x[ok], q[ok], apart[ok].astype(np.int32)
+                    for w in range(1, WORDS):
+                        apart += np.bitwise_count(own[x, w] ^ asked[q, w])
+                    best.add(q, h[x], apart)
+        q, found, apart = best.all()
+        if len(q):
+            yield from pa.table([pa.array(names[q].astype(np.int32)), pa.array(found), pa.array(apart)], names=["query", "h", "apart"]).to_batches(max_chunksize=100_000)
+
+    return run
+
+
+class _Best:
+    """The `most` nearest of what each query has met so far."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.limit = most, max(1 << 20, 2 * queries * most)
+        self.bound = np.full(queries, 1 << 30, np.int32)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, q: np.ndarray, h: np.ndarray, apart: np.ndarray) -> None:
+        ok = apart <= self.bound[q]
+        self.held.append((q[ok], h[ok], apart[ok]))
+        self.size += int(ok.sum())
+        if self.size > self.limit:
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.int32)
+        q, h, apart = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((h, apart, q))
+        q, h, apart = q[order], h[order], apart[order]
+        first = np.searchsorted(q, q)
+        kept = np.arange(len(q)) - first < self.most
+        last = np.arange(len(q)) - first == self.most - 1
+        self.bound[q[last]] = apart[last]
+        self.held = [(q[kept], h[kept], apart[kept])]
+        self.size = int(kept.sum())
+        return self.held[0]
+
+
+def _reranked(shared, kind: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, wanted = shared.value
+        for b in it:
+            if b.num_rows:
+                q = b.column("query").to_numpy()
+                names = pa.array(asked, b.column("id").type).take(pa.array(q))
+                cos = np.einsum("ij,ij->i", unit(b.column("v")), wanted[q])
+                found = pa.record_batch([names, b.column("id"), pa.array(cos)], names=["query_id", "id", "cosine"])
+                yield found.filter(pa.compute.not_equal(names, b.column("id")))
+
+    return run
+
+
 def _query_blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
     ids, vectors = [], []
     for r in asked.toLocalIterator():
@@ -264,51 +396,3 @@ def _query_blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarr
 def _unit_rows(vectors: list) -> np.ndarray:
     v = np.asarray(vectors, dtype=np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
-def _searcher(shared, mean: np.ndarray, directions: np.ndarray, k: int, radius: int, refine_factor: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, wanted, their_codes = shared.value
-        best: list[list] = [[] for _ in asked]
-        for b in it:
-            if not b.num_rows:
-                continue
-            ids, v = b.column("id").to_pylist(), unit(b.column("v"))
-            index = _Substrings(codes(v, mean, directions)[:, 0])
-            for q, (name, vector, code) in enumerate(zip(asked, wanted, their_codes)):
-                at = index.nearest(code, radius, refine_factor * k + 1)
-                cos = v[at] @ vector
-                best[q] = sorted(best[q] + [(-c, ids[i]) for c, i in zip(cos.tolist(), at.tolist()) if ids[i] != name])[:k]
-        rows = [(asked[q], i, -c) for q, own in enumerate(best) for c, i in own]
-        if rows:
-            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["query_id", "id", "cosine"])
-
-    return run
-
-
-class _Substrings:
-    """Codes of 64 bits indexed by their four substrings of 16 bits."""
-
-    def __init__(self, c: np.ndarray):
-        self.codes = c
-        self.keys = [(c >> U64(16 * j) & U64(0xFFFF)).astype(np.uint16) for j in range(4)]
-
-    def nearest(self, code: np.uint64, radius: int, most: int) -> np.ndarray:
-        """Rows of the `most` codes nearest to code, in no order.
-
-        A code within the radius has a substring within a quarter of it, so that all of these are among the rows retrieved. If they are fewer,
-        every code is compared.
-        """
-        near = np.zeros(len(self.codes), bool)
-        for j in range(4):
-            probed = np.bitwise_count(_ALL ^ np.uint16(int(code) >> 16 * j & 0xFFFF)) <= radius // 4
-            near |= probed[self.keys[j]]
-        at = np.flatnonzero(near)
-        apart = np.bitwise_count(self.codes[at] ^ code)
-        at, apart = at[apart <= radius], apart[apart <= radius]
-        if len(at) < min(most, len(self.codes)):
-            at, apart = np.arange(len(self.codes)), np.bitwise_count(self.codes ^ code)
-        return at[np.argpartition(apart, most - 1)[:most]] if len(at) > most else at
-
-
-_ALL = np.arange(1 << 16, dtype=np.uint16)

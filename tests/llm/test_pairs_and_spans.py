@@ -239,7 +239,7 @@ def test_search_recall_and_rank(spark):
     rows = {f"v{i:04}": (topics[i % 60] + 0.12 * r.standard_normal(64)).tolist() for i in range(3000)}
     df = spark.createDataFrame(list(rows.items()), "id string, vector array<float>")
     asked = df.where("id like '%00'")
-    found = vectors.search(df, "id", "vector", asked, k=10, nprobes=24, refine_factor=40).collect()
+    found = vectors.search(df, "id", "vector", asked, k=10).collect()
     ids = sorted(rows)
     v = np.array([rows[i] for i in ids])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -251,6 +251,39 @@ def test_search_recall_and_rank(spark):
     assert hits >= 0.9 * 10 * 30 and all(x.query_id != x.id for x in found)
 
 
+def test_probing_retrieves_all_codes_within_the_radius(spark):
+    r = np.random.default_rng(5)
+    own = r.integers(0, 1 << 63, (4000, vectors.WORDS), dtype=np.uint64)
+    asked = own[:7].copy()
+    asked[:, 0] ^= np.uint64(0x0001_0000_8000_0101)
+    rows = [(j, int(c[0] >> np.uint64(16 * j) & np.uint64(0xFFFF)), i, *(int(w) for w in c)) for i, c in enumerate(own) for j in range(vectors.PARTS)]
+    entries = spark.createDataFrame(rows, "part int, key int, h long, " + ", ".join(f"code{w} long" for w in range(vectors.WORDS))).repartition(3, "part", "key").sortWithinPartitions("part", "key")
+    near = np.bitwise_count(asked[:, None, 0] ^ own[None, :, 0])
+    for most, radius in ((4000, 20), (30, 20), (40, 4)):
+        got: dict = {}
+        for x in vectors._nearest_codes(entries, asked, radius, most, min(most, 10)).collect():
+            got.setdefault(x.query, []).append(x.h)
+        for q in range(len(asked)):
+            within = radius
+            while (near[q] <= within).sum() < 10:
+                within *= 2
+            whole = sorted((int(np.bitwise_count(asked[q] ^ own[i]).sum()), i) for i in np.flatnonzero(near[q] <= within))
+            assert sorted(got[q]) == sorted(i for _, i in whole[:most])
+
+
+def test_search_is_not_misled_by_copies(spark):
+    r = np.random.default_rng(9)
+    rows = {f"v{i:03}": [float(x) for x in np.float32(r.standard_normal(16))] for i in range(60)} | {f"w{i:03}": [1.0] * 16 for i in range(200)}
+    df = spark.createDataFrame(list(rows.items()), "id string, vector array<float>")
+    found = vectors.search(df, "id", "vector", df.where("id in ('w150', 'v001')"), k=5).collect()
+    assert [x.id for x in sorted(found, key=lambda x: x["rank"]) if x.query_id == "w150"] == [f"w{i:03}" for i in range(5)]
+    v = np.array(list(rows.values()))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = (v @ v[1]).round(9)
+    want = sorted(range(len(v)), key=lambda j: (-c[j], list(rows)[j]))[1:6]
+    assert [x.id for x in sorted(found, key=lambda x: x["rank"]) if x.query_id == "v001"] == [list(rows)[j] for j in want]
+
+
 @pytest.mark.parametrize("schema", ["id string, vector array<float>"])
 def test_vectors_of_empty_tables(spark, schema):
     empty = spark.createDataFrame([], schema)
