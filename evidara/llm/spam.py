@@ -1,19 +1,22 @@
 """Pages of repeated keywords, link lists and product tags, told from pages of sentences.
 
 The order of neighbouring words is judged by pointwise mutual information from counts over the whole corpus. Words of one subject
-attract each other in any order, which makes the plain mean large for word salad too; the mean is therefore taken of
-PMI(a, b) - PMI(b, a), in which what a subject's words have in common cancels out and what sentences put in order remains. A
-block of text is incoherent where that mean is low. It is overused where its collocations come back again and again,
-while its order is weak. Blocks that consist of links are flagged as such. Code and tables never count.
-
-Counts leave out the document that is judged. Pairs rarer than `rare` of all pairs are taken as that rare, which
-bounds the table of counts (at most 1 / rare pairs, however large the corpus) that every task holds.
+attract each other in any order, which makes the plain mean large for word salad too; what is summed up is therefore
+PMI(a, b) - PMI(b, a), in which what a subject's words have in common cancels out and what sentences put in order remains. It is
+set against the most that the block's pairs could reach, had each been seen in its more frequent order only, and a prior for pairs that were
+hardly seen at all, so that coherence lies between -1 and 1 in corpora of any size. A block of text is word salad where it is incoherent, or less than coherent while it runs on
+without ends of sentences. It is overused where it is less than coherent and its collocations come back within few words.
+Blocks that consist of links are flagged as such. Code and tables never count.
+
+Pairs count as seen where two texts hold them or more; counts leave out the text that is judged. Up to `held` of them are broadcast, more
+are joined with each text's own pairs; the result is the same.
 Null and empty texts have a share of 0. Other columns are ignored; a repeated id with several texts counts with the largest share.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,24 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import _HASHES, CACHED_WORDS, U64, arrow_map, as_long, mix
-from evidara.session import scratch, spread
+from evidara.session import few_rows, scratch, spread
 
 
 @dataclass(frozen=True)
 class SpamSettings:
-    """incoherent: mean order below which any block is stuff; weak: mean order below which a block is stuff if its
-    words are as few as `variety` (distinct words among `window` words at a time) or run on for more than `breath`
-    words without the end of a sentence; links: share of a block's characters
-    that makes it a list of links; least_pairs: pairs that a block needs to be judged by order; rare: see above."""
-
-    incoherent: float = 0.2
-    weak: float = 1.9
-    variety: float = 0.5
+    """incoherent: coherence below which any block is stuff; weak: coherence below which a block is stuff if it
+    runs on for more than `breath` words without the end of a sentence, or if the share `repeated` of its collocations come again within `window`
+    of them; links: share of a block's characters that makes it a list of links; least_pairs: pairs that a block needs to be judged by order;
+    held: pairs whose counts are broadcast, 12 bytes each, at most; share: of a text's characters in stuff that makes it a case."""
+
+    incoherent: float = 0.02
+    weak: float = 0.52
+    repeated: float = 0.3
     breath: float = 40
     window: int = 60
     links: float = 0.5
     least_pairs: int = 8
-    rare: float = 2e-7
+    held: int = 5_000_000
     share: float = 0.5
 
 
@@ -123,12 +126,11 @@ class Read:
 
 
 class Counts:
-    """Counts of pairs by key; 0 for pairs that are rarer than the floor."""
+    """Counts of pairs by key; 0 for pairs that are not seen."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float, rare: float):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order].astype(np.float32)
-        self.floor = max(0.5, rare * total)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -139,11 +141,11 @@ class Counts:
 
 
 def judge(texts: list[str], counts: Counts, settings: SpamSettings) -> list[list[tuple[str, int, float]]]:
-    """For each text (kind, characters, order) of its blocks: kind is '', 'links', 'salad' or 'repeated'."""
+    """For each text (kind, characters, coherence) of its blocks: kind is '', 'links', 'salad' or 'repeated'."""
     r = Read(texts)
     ahead, back = r.pairs(), r.pairs(True)
-    n = len(ahead)
-    salt = mix(np.asarray(r.text_of, U64))[r.block[r.at]] if n else np.empty(0, U64)
+    n, blocks_of = len(ahead), r.block[r.at]
+    salt = mix(np.asarray(r.text_of, U64))[blocks_of] if n else np.empty(0, U64)
     own, inverse, times = np.unique(ahead ^ salt, return_inverse=True, return_counts=True)
     mine = times[inverse] if n else np.empty(0)
     there = np.searchsorted(own, back ^ salt)
@@ -151,33 +153,41 @@ def judge(texts: list[str], counts: Counts, settings: SpamSettings) -> list[list
     mine_back = np.where(own[there] == back ^ salt, times[there], 0) if n else np.empty(0)
     kinds, which = np.unique(np.concatenate([ahead, back]), return_inverse=True)
     every = counts.of(kinds)[which]
-    ordered = np.log((np.maximum(0, every[:n] - mine) + counts.floor) / (np.maximum(0, every[n:] - mine_back) + counts.floor))
-    k = np.bincount(r.block[r.at], minlength=len(r.blocks))
-    order = np.bincount(r.block[r.at], weights=ordered, minlength=len(r.blocks)) / np.maximum(1, k)
+    one, other = np.maximum(0, every[:n] - mine) + 0.5, np.maximum(0, every[n:] - mine_back) + 0.5
+    k = np.bincount(blocks_of, minlength=len(r.blocks))
+    order = np.bincount(blocks_of, weights=np.log(one / other), minlength=len(r.blocks))
+    most = np.bincount(blocks_of, weights=np.log(np.maximum(one, other) / 0.5), minlength=len(r.blocks))
+    coherence = order / np.maximum(most + PRIOR * k, 1e-9)
+    again = _again(ahead, blocks_of, k, settings.window)
     out: list[list[tuple[str, int, float]]] = [[] for _ in texts]
     for i, (b, judged) in enumerate(zip(r.blocks, r.judged)):
         kind = ""
         if judged:
             if ("//" in b or "](" in b or "<" in b) and sum(len(m.group()) for m in LINK.finditer(b)) >= settings.links * max(1, len(b.strip())):
                 kind = "links"
-            elif k[i] >= settings.least_pairs and order[i] < settings.weak:
+            elif k[i] >= settings.least_pairs and coherence[i] < settings.weak:
                 w, sentences = r.words(i)
-                if order[i] < (settings.weak if len(w) > settings.breath * sentences else settings.incoherent):
+                if coherence[i] < settings.incoherent or len(w) > settings.breath * sentences:
                     kind = "salad"
-                elif _variety(w, settings.window) < settings.variety:
+                elif again[i] >= settings.repeated:
                     kind = "repeated"
-        out[r.text_of[i]].append((kind, len(b), float(order[i])))
+        out[r.text_of[i]].append((kind, len(b), float(coherence[i])))
     return out
 
 
-def _variety(w: np.ndarray, window: int) -> float:
-    """Distinct words among those of a window, on average over the windows of w; 1 for shorter blocks."""
-    if len(w) < window:
-        return 1.0
-    starts = range(0, len(w) - window + 1, window)
-    return float(np.mean([len(np.unique(w[i : i + window])) for i in starts])) / window
+def _again(pairs: np.ndarray, block: np.ndarray, k: np.ndarray, window: int) -> np.ndarray:
+    """The share of each block's collocations that come more than once among the `window` that they stand with."""
+    if not len(pairs):
+        return np.zeros(len(k))
+    span = (np.arange(len(pairs)) - np.searchsorted(block, block)) // window
+    with np.errstate(over="ignore"):
+        place = mix(block.astype(U64) * U64(0x9E3779B97F4A7C15) + span.astype(U64))
+    _, which, times = np.unique(pairs ^ place, return_inverse=True, return_counts=True)
+    return np.bincount(block, weights=times[which] > 1, minlength=len(k)) / np.maximum(1, k)
 
 
+#: What a pair weighs beside its counts: as much as four sightings.
+PRIOR = float(np.log(9))
 _COUNTS: dict = {}
 
 
@@ -198,50 +208,105 @@ def _batches(texts: list[str]) -> Iterator[list[str]]:
 
 
 def _pairs_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    """(key, n, texts): how often a batch has each pair, and in how many texts."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for texts in _batches(b.column(0).to_pylist()):
-        held.append(Read(texts).pairs())
-        size += len(held[-1])
+        held.append(_counted(Read(texts)))
+        size += len(held[-1][0])
         if size > 2_000_000:
-            yield _counted(held)
+            yield _added(held)
             held, size = [], 0
     if held:
-        yield _counted(held)
+        yield _added(held)
+
+
+def _counted(r: Read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, text = r.pairs(), np.asarray(r.text_of, np.int64)[r.block[r.at]]
+    # pairs stand in the order of their texts, which a stable sort keeps
+    order = np.argsort(keys, kind="stable")
+    keys, text = keys[order], text[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    first = np.flatnonzero(new)
+    texts = np.add.reduceat((new | np.append(True, text[1:] != text[:-1])[: len(keys)]).astype(np.int64), first) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))), texts
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    keys, n, texts = (np.concatenate(c) for c in zip(*held))
+    keys, which = np.unique(keys, return_inverse=True)
+    sums = (np.bincount(which, weights=c, minlength=len(keys)).astype(np.int64) for c in (n, texts))
+    return pa.record_batch([pa.array(as_long(keys)), *map(pa.array, sums)], names=["key", "n", "texts"])
+
+
+def _asked(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(id, digest, key): the pairs of each text, either way round."""
+    for i, digest, text in zip(*(b.column(c).to_pylist() for c in ("id", "digest", "text"))):
+        r = Read([text])
+        keys = np.unique(np.concatenate([r.pairs(), r.pairs(True)]))
+        if len(keys):
+            yield pa.record_batch([pa.array(np.full(len(keys), i)), pa.array([digest]).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(as_long(keys))], names=["id", "digest", "key"])
+
+
+def _shares(ids: list, texts: list[str], counts: Counts, settings: SpamSettings) -> list[tuple]:
+    rows = []
+    for i, text, found in zip(ids, texts, judge(texts, counts, settings)):
+        by = dict.fromkeys(("links", "salad", "repeated"), 0)
+        for kind, size, _ in found:
+            if kind:
+                by[kind] += size
+        whole = max(1, len(text))
+        rows.append((i, sum(by.values()) / whole, *(v / whole for v in by.values())))
+    return rows
+
 
+SHARES = "id long, share double, links double, salad double, repeated double"
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.record_batch([pa.array(as_long(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in zip(*rows)], names=["id", "share", "links", "salad", "repeated"])
 
 
 def stuffed(df: DataFrame, id_col: str, text_col: str, settings: SpamSettings = SpamSettings()) -> DataFrame:
     """(id, share, links, salad, repeated): the share of each text's characters in stuff, and of each kind of it."""
     docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
     texts = docs.where("text is not null and text <> ''")
-    counts = scratch(arrow_map(texts.select("text"), _pairs_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / rare pairs reach this count
-    table = counts.where(F.col("n") >= max(1, settings.rare * total)).toPandas()
-    keys, n = table["key"].to_numpy(np.int64).view(U64), table["n"].to_numpy(np.float32)
-    name = f"{np.bitwise_xor.reduce(keys) if len(keys) else 0}-{len(keys)}-{total}"
-    shared = df.sparkSession.sparkContext.broadcast((name, keys, n, total))
+    pairs = arrow_map(texts.select("text"), _pairs_of, "key long, n long, texts long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    counts = scratch(pairs.where("texts > 1").select("key", "n"), "pairs")
+    judged = _by_broadcast(docs, counts, settings) if few_rows(counts, settings.held) else _by_join(docs, counts, settings)
+    return judged.groupBy("id").agg(*(F.max(c).alias(c) for c in ("share", "links", "salad", "repeated")))
+
+
+def _by_broadcast(docs: DataFrame, counts: DataFrame, settings: SpamSettings) -> DataFrame:
+    # at most settings.held rows
+    table = counts.toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, table["key"].to_numpy(np.int64).view(U64), table["n"].to_numpy(np.float32)))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        name, keys, n, total = shared.value
+        name, keys, n = shared.value
         if name not in _COUNTS:
             _COUNTS.clear()
-            _COUNTS[name] = Counts(keys, n, total, settings.rare)
+            _COUNTS[name] = Counts(keys, n)
         rows, ids = [], iter(b.column("id").to_pylist())
         for texts in _batches([t or "" for t in b.column("text").to_pylist()]):
-            for text, found in zip(texts, judge(texts, _COUNTS[name], settings)):
-                by = dict.fromkeys(("links", "salad", "repeated"), 0)
-                for kind, size, _ in found:
-                    if kind:
-                        by[kind] += size
-                whole = max(1, len(text))
-                rows.append((next(ids), sum(by.values()) / whole, *(v / whole for v in by.values())))
+            rows += _shares([next(ids) for _ in texts], texts, _COUNTS[name], settings)
         if rows:
-            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["id", "share", "links", "salad", "repeated"])
+            yield _record(rows)
 
-    judged = arrow_map(docs, run, "id long, share double, links double, salad double, repeated double")
-    return judged.groupBy("id").agg(*(F.max(c).alias(c) for c in ("share", "links", "salad", "repeated")))
+    return arrow_map(docs, run, SHARES)
+
+
+def _by_join(docs: DataFrame, counts: DataFrame, settings: SpamSettings) -> DataFrame:
+    """Each text with the counts of its own pairs, which are at most twice as many as its words."""
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    met = arrow_map(docs, _asked, "id long, digest string, key long").distinct().join(counts, "key")
+    own = met.groupBy("id", "digest").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("n"))
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for i, text, keys, n in zip(*(b.column(c).to_pylist() for c in ("id", "text", "keys", "n"))):
+            rows += _shares([i], [text], Counts(np.array(keys or [], np.int64).view(U64), np.array(n or [], np.float32)), settings)
+        if rows:
+            yield _record(rows)
+
+    return arrow_map(docs.join(own, ["id", "digest"], "left").select("id", "text", "keys", "n"), run, SHARES)
