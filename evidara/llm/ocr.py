@@ -93,16 +93,23 @@ def _number(m: re.Match) -> int | None:
 
 
 def _chain(marks: list[tuple[int, int]]) -> list[int]:
-    """The lines, of (line, number), whose numbers count on from one to the next; a page may be left out between."""
-    best: list[int] = []
-    for k in range(len(marks)):
-        own, last = [marks[k][0]], marks[k][1]
-        for line, n in marks[k + 1 :]:
-            if 0 < n - last <= 3:
-                own.append(line)
-                last = n
-        best = max(best, own, key=len)
-    return best if len(best) > 1 else []
+    """The lines of the longest run, of (line, number), whose numbers count on from one to the next; up to two pages may be left out between."""
+    #: For each number the longest run so far that ends with it, as (length, mark), and of each mark the one before it.
+    last: dict[int, tuple[int, int]] = {}
+    before: list[int] = []
+    best = (0, -1)
+    for k, (_, n) in enumerate(marks):
+        length, prior = max((last.get(n - step, (0, -1)) for step in (1, 2, 3)), key=lambda x: x[0])
+        before.append(prior)
+        if length + 1 > last.get(n, (0, -1))[0]:
+            last[n] = (length + 1, k)
+        if length + 1 > best[0]:
+            best = (length + 1, k)
+    own, k = [], best[1]
+    while k >= 0:
+        own.append(marks[k][0])
+        k = before[k]
+    return own[::-1] if len(own) > 1 else []
 
 
 def pages_of(lines: list[str]) -> list[tuple[int, list[int]]]:
@@ -160,10 +167,11 @@ def furniture(lines: list[str]) -> set[int]:
             found.add(i)
     numbered = Counter(s for _, _, s in tops.values() if s is not None)
     sure: set[int] = set()
+    held = Counter(t.lower() for _, t, _ in tops.values())
     for n, (_, title, step) in tops.items():
         if step is not None and (title or numbered[step] > 1):
             sure.add(n)
-        elif step is None and any(k != n and _alike(title, t) for k, (_, t, _) in tops.items()):
+        elif step is None and (held[title.lower()] > 1 or any(t != title.lower() and _alike(title, t) for t in held)):
             sure.add(n)
     width = max((len(x.rstrip()) for i, x in enumerate(lines) if i not in found), default=0)
     left: list[int] = []
@@ -377,7 +385,7 @@ TOKENS = pa.schema([("id", pa.int64()), ("line", pa.int64()), *((c, pa.string())
 def _picked(tokens: DataFrame, options: DataFrame, docs: DataFrame, settings: RepairSettings) -> DataFrame:
     """The misread words: the best option, or of several close ones the one whose neighbours are most common."""
     best = Window.partitionBy("read").orderBy(F.desc("score"), "right")
-    ordered = options.withColumn("place", F.row_number().over(best)).withColumn("top", F.first("score").over(best)).where((F.col("top") - F.col("score") < settings.margin) & (F.col("place") <= 4))
+    ordered = options.withColumn("place", F.row_number().over(best)).withColumn("top", F.first("score").over(best)).where(F.col("top") - F.col("score") < settings.margin)
     ordered = scratch(ordered.withColumn("several", F.count("*").over(Window.partitionBy("read"))).select("read", "right", "score", "several"), "picked")
     words = tokens.where("kind = 'word'").withColumnRenamed("word", "read")
     one = words.join(ordered.where("several = 1"), "read").select("id", "line", "read", "right")
