@@ -82,6 +82,11 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).alias("spans"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
 
 
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that are near copies of others, in clusters, and which of them to remove."""
+    return spans.paragraph_clusters(load(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 #: Documents with pages read by OCR.
 SCANNED = "pages_ocr > 0"
 
@@ -123,6 +128,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked: into how many documents, in how many of their windows."""
+    found = leaks.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "passage", width=10)
+    return leaks.by_item(found).withColumnsRenamed({"item": "item_id", "texts": "documents"})
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with 30 words that are much alike 30 words of an item: fingerprints within 6 bits, 0.8 of the weight of word pairs in common."""
+    found = leaks.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "passage", width=30, radius=6, similarity=0.8, stride=5)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(load(spark, sf_dir, "documents"), "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"), size="words")
     return mix.report.where("not reachable").select("source")

@@ -6,6 +6,9 @@ hash is its anchor, the same wherever the run stands. Runs that two records shar
 that several records hold, the context is compared exactly: the characters to the left and right that complete runs of `least`.
 Anchors of many occurrences are compared window by window instead, with an aggregation, so that no group is gathered.
 
+`paragraph_clusters` is the banding of paragraphs, for what it can tell: which paragraphs are near copies of each other and
+which of them to remove.
+
 Nulls and texts under `least` characters share nothing. Records of one and the same text (one class) share it all; one of
 them, that of the least id, stands for the class in comparisons. A repeated id counts as one record;
 other columns are ignored.
@@ -13,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import U64, arrow_map, as_long, code_points, groups, mix, rolling
+from evidara.llm import neardup
+from evidara.llm.common import U64, arrow_map, as_long, code_points, components, groups, mix, rolling
 from evidara.session import few_rows, keep_keys, scratch, spread
 
 #: Characters of a gram.
@@ -239,3 +244,45 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = 300, gr
     n = texts.groupBy("id").agg(F.max("n").alias("n"))
     total = spans.groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("held")).join(n, "id").select("id", (F.col("held") / F.col("n")).alias("share"))
     return spans.join(total, "id").select("id", F.col("s").alias("span_start"), F.col("e").alias("span_end"), "share")
+
+
+GAP = re.compile(r"\r?\n[ \t\r]*\n\s*")
+
+
+def paragraphs(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, start, end, text): the paragraphs, parted by blank lines, of at least `least` characters."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+            last = 0
+            for a, z in [m.span() for m in GAP.finditer(text)] + [(len(text), len(text))]:
+                if a - last >= least:
+                    rows.append((i, last, a, text[last:a]))
+                last = z
+            if len(rows) > 20_000:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], schema=PARAGRAPH)
+                rows = []
+        if rows:
+            yield pa.record_batch([pa.array(c) for c in zip(*rows)], schema=PARAGRAPH)
+
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return arrow_map(spread(own), run, "id long, start int, end int, text string")
+
+
+PARAGRAPH = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+
+
+def paragraph_clusters(df: DataFrame, id_col: str, text_col: str, least: int = 100, settings: neardup.SketchSettings = neardup.SketchSettings()) -> DataFrame:
+    """(id, start, end, cluster, removed) of each paragraph of at least `least` characters that has a near copy, in another place or record.
+
+    Minima of word shingles are banded for a recall of 1 - settings.miss at the threshold, colliding paragraphs verified by their exact Jaccard
+    similarity, and components of what remains are clusters. The first place of each cluster, by the hash of its place, is kept.
+    """
+    own = scratch(paragraphs(df, id_col, text_col, least).distinct().withColumn("place", F.xxhash64("id", "start")), "paragraphs")
+    pairs, classes = neardup.similar_pairs(own, "place", "text", settings)
+    classes = scratch(classes.select("id", "rep", "size").distinct(), "classes")
+    group = components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    known = classes.join(group, "rep", "left").where("size > 1 or group is not null").select(F.col("id").alias("place"), F.coalesce("group", "rep").alias("cluster"))
+    known = known.groupBy("place").agg(F.min("cluster").alias("cluster"))
+    return own.join(known, "place").select("id", "start", "end", "cluster", (F.col("place") != F.col("cluster")).alias("removed"))

@@ -163,6 +163,53 @@ def test_looser_leaks_bear_a_change(spark):
     assert leaks.leaks(docs, "doc_id", "text", item, "item_id", "passage", radius=30, similarity=0.5).count() == 1
 
 
+def test_near_leaks_match_brute_force(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(50))) for i in range(6)]
+    texts = []
+    for i, p in items:
+        w = p.split()[3:42]
+        for at in range(7, 39, 11 + 5 * i):
+            w[at] = "changed"
+        texts.append((i, "lead " * 9 + " ".join(w) + " tail" * 9))
+    width, radius, similarity, stride = 20, 6, 0.7, 3
+    want = {}
+    for i, t in texts:
+        w = common.hashed_words(t)
+        p, f = common.shingles(w, 2), leaks.fingerprints(common.shingles(w, 2), width - 1)
+        for k, passage in items:
+            q = common.shingles(common.hashed_words(passage), 2)
+            g = leaks.fingerprints(q, width - 1)
+            for x in range(len(f)):
+                for y in sorted({*range(0, len(g), stride), len(g) - 1}):
+                    a, b = set(p[x : x + width - 1].tolist()), set(q[y : y + width - 1].tolist())
+                    weight = lambda s: sum((v & 3) + 1 for v in s)
+                    if np.bitwise_count(f[x] ^ g[y]) <= radius and weight(a & b) >= similarity * weight(a | b):
+                        want.setdefault((i, k), set()).add(x)
+    found = leaks.leaks(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, passage string"), "item_id", "passage", width=width, radius=radius, similarity=similarity, stride=stride)
+    assert {(x.id, x.item): x.windows for x in found.collect()} == {k: len(v) for k, v in want.items()} and want
+    assert {x.item: x.texts for x in leaks.by_item(found).collect()} == {k: sum(j == k for _, j in want) for _, k in want}
+
+
+def test_paragraph_clusters_match_brute_force(spark):
+    r = random.Random(2)
+    long = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(6)]
+    near = [p.split() for p in long[:3]]
+    for w in near:
+        w[30] = "changed"
+    near = [" ".join(w) for w in near]
+    rows = [(1, long[0] + "\n\n" + long[1] + "\n \n\nshort one"), (2, near[0] + "\r\n\r\n" + long[3]), (3, long[1] + "\n\n" + near[1]), (4, long[4]), (5, long[2] + "\n\n" + long[2]), (6, None), (7, ""), (None, long[4])]
+    df = spark.createDataFrame([(*x, 3) for x in rows], "doc_id long, text string, place int")
+    found = spans.paragraph_clusters(df, "doc_id", "text").collect()
+    of = {i: t for i, t in rows if i is not None}
+    clusters: dict = {}
+    for x in found:
+        clusters.setdefault(x.cluster, []).append((x.id, x.start, of[x.id][x.start : x.end]))
+    got = sorted(sorted((i, t) for i, _, t in c) for c in clusters.values())
+    assert got == sorted(sorted(c) for c in ([(1, long[0]), (2, near[0])], [(1, long[1]), (3, long[1]), (3, near[1])], [(5, long[2]), (5, long[2])]))
+    assert all(sum(not x.removed for x in found if x.cluster == c) == 1 for c in clusters)
+
+
 def test_hamming_blocks_retrieve_all_within_the_radius():
     r = np.random.default_rng(3)
     index = leaks.Index([(1, text_of(random.Random(1), 200))], 10, 3, 1.0)

@@ -335,6 +335,15 @@ def test_stuffed_pages_are_told_from_prose(spark):
     found = {x.id: x.share for x in spam.stuffed(df, "doc_id", "text").collect()}
     assert {i for i, s in found.items() if s > 0.5} == {100, 101, 102, 110, 111, 120}
     assert set(found) == {i for i, _ in rows} and found[300] == found[301] == 0 and 0 < found[203] < 0.5
+    joined = {x.id: x.share for x in spam.stuffed(df, "doc_id", "text", spam.SpamSettings(held=0)).collect()}
+    assert joined == pytest.approx(found)
+
+
+def test_coherence_holds_at_any_size():
+    texts = [sentences(random.Random(i), 12) for i in range(40)]
+    keys, n, m = spam._counted(spam.Read(texts))
+    one, many = (spam.judge(texts[:5], spam.Counts(keys[m > 1], times * n[m > 1]), spam.SpamSettings()) for times in (1, 100))
+    assert all(a[0][2] == pytest.approx(b[0][2], abs=0.4) and b[0][2] > a[0][2] > 0.3 for a, b in zip(one, many))
 
 
 def test_stuffed_pages_of_an_empty_table(spark):
