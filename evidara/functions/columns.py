@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Runs of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
-# Words that say nothing about what a question asks.
-STOPWORDS = ["about", "and", "any", "are", "but", "can", "does", "each", "for", "from", "had", "has", "have", "her", "his", "how", "its", "may", "nor", "not", "off", "one", "our", "out", "over", "own", "per", "see", "she", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "was", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your"]
+# Words of three letters or more that say nothing about what a question asks.
+STOPWORDS = "the and for are was were has have had how what when where which who why whom whose does did should would could can may might must shall will not but with from into onto that this these those than then there their them they its about over under between each any all some one two more most other such only own same very just also".split()
 
 
 def _c(x: Column | str) -> Column:

@@ -5,17 +5,32 @@ Pairs are of results of one query, at most MAX_SCAN of them; the greedy part is
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.columns import collapsed, cosine, shingles, words
+from evidara.functions.columns import collapsed, cosine, words
 from evidara.settings import MAX_SCAN
 
 #: Over these, strictly, two results are alike, or one holds the other.
 ALIKE, CONTAINED = 0.5, 0.8
 #: Fewer words say too little to be called a copy; fewer shingles too little to be compared.
 LEAST_WORDS, LEAST_SHINGLES = 7, 5
+WORDS = re.compile(r"[^\W_]+")
+
+
+@dataclass(frozen=True)
+class Spaces:
+    """What results are compared in: vectors where every chunk has one and the model's bars are known, chunk for how much of a result
+    another holds and passage for wholes; then words, but for a search that ranks by vectors alone."""
+
+    chunk: float | None = None
+    passage: float = 1.0
+    mode: str = "hybrid"
 
 
 def exact_duplicates(rows: DataFrame, key: str, text: str, group: list[str] | None = None) -> DataFrame:
@@ -27,24 +42,25 @@ def exact_duplicates(rows: DataFrame, key: str, text: str, group: list[str] | No
 
 
 def shingle_overlaps(items: DataFrame, width: int = 3) -> DataFrame:
-    """(query_id, a, b, into, over, alike): shares of shingles in common of each two results of a query, a ranked before b.
+    """(query_id, a, b, into, over, alike) of each two results of a query that share a word, a ranked before b.
 
     items(query_id, item, rank, texts): the shingles of a result are those of each of its chunks, none across two. into is the share of b's that a
-    holds, over the share of a's that b holds, alike the share of both. Results under LEAST_SHINGLES have 0 throughout.
+    holds, over the share of a's that b holds, alike the share of their words that both have. Results under LEAST_SHINGLES have 0 throughout.
+    One bounded group a query: at most MAX_SCAN results, whose sets never leave the task.
     """
-    each = items.where(F.col("rank") <= MAX_SCAN).select("query_id", "item", "rank", F.array_distinct(F.flatten(F.transform("texts", lambda t: shingles(words(t), width)))).alias("s"))
-    # the shared ones are counted by a join on shingles, so that results with none in common are no pair
-    sizes = each.select("query_id", "item", "rank", F.size("s").alias("n"))
-    flat = each.select("query_id", "item", "rank", F.explode("s").alias("s"))
-    a, b = (flat.select("query_id", "s", F.col("item").alias(x), F.col("rank").alias(f"{x}_rank")) for x in "ab")
-    common = a.join(b, ["query_id", "s"]).where("a_rank < b_rank").groupBy("query_id", "a", "b").agg(F.count("*").alias("c"))
-    na, nb = (sizes.select("query_id", F.col("item").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    rows = common.join(na, ["query_id", "a"]).join(nb, ["query_id", "b"])
-    fine = (F.col("n_a") >= LEAST_SHINGLES) & (F.col("n_b") >= LEAST_SHINGLES)
-    zero = F.lit(0.0)
-    return rows.select("query_id", "a", "b", F.when(F.col("n_b") >= LEAST_SHINGLES, F.col("c") / F.col("n_b")).otherwise(zero).alias("into"),
-                       F.when(F.col("n_a") >= LEAST_SHINGLES, F.col("c") / F.col("n_a")).otherwise(zero).alias("over"),
-                       F.when(fine, F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).otherwise(zero).alias("alike"))
+    listed = items.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item", F.transform("texts", lambda t: F.struct(t.alias("text"))).alias("chunks")))).alias("own"))
+
+    def run(it):
+        for batch in it:
+            found = []
+            for q, own in zip(batch.query_id, batch["own"]):
+                m, names = Measured.by_words(list(own), width), np.array([r["item"] for r in own])
+                a, b = np.nonzero(np.triu(m.met > 0, 1))
+                found.append(pd.DataFrame({"query_id": q, "a": names[a], "b": names[b], "into": m.into[b, a], "over": m.into[a, b], "alike": m.alike[a, b]}))
+            if found:
+                yield pd.concat(found)
+
+    return listed.mapInPandas(run, "query_id long, a long, b long, into double, over double, alike double")
 
 
 def vector_overlaps(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -69,66 +85,171 @@ def vector_overlaps(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
 def decided(pairs: DataFrame, alike: float = ALIKE, contained: float = CONTAINED) -> DataFrame:
     """pairs with relation (null for none), swap and similarity.
 
-    Equal texts are duplicates. If only the better holds the other, that is contained; if only the other holds the better, it is contained
-    the other way round and the two swap places; if both, or if they are alike, they are equivalent.
+    Touching pairs are one passage cut in two. Equal texts are duplicates. Spans of one document of which one holds the other (nested: -1 where the worse
+    is inside, 1 where it holds the better) are contained. If only the better holds the other, that is contained as much as it is held; if only the
+    other holds the better, it is contained the other way round and the two swap places; if both, or if they are alike, they are equivalent.
     """
-    into, over = F.col("into"), F.col("over")
-    same = F.coalesce(F.col("exact"), F.lit(False)) if "exact" in pairs.columns else F.lit(False)
-    touching = F.coalesce(F.col("touching"), F.lit(False)) if "touching" in pairs.columns else F.lit(False)
-    relation = (
-        F.when(touching, F.lit(None).cast("string"))
-        .when(same, "duplicate")
-        .when((over > contained) & (into <= contained), "contained")
-        .when((into > contained) & (over <= contained), "contained")
-        .when((into > contained) & (over > contained) | (F.col("alike") > alike), "equivalent")
-    )
-    swap = ~touching & ~same & (over > contained) & (into <= contained)
-    similarity = F.when(same, 1.0).when(F.col("alike") > alike, F.greatest(F.least(into, over), "alike")).otherwise(F.greatest(into, over))
-    return pairs.withColumns({"relation": relation, "swap": swap, "similarity": F.when(relation.isNotNull(), similarity)})
-
-
-FOLDED = "query_id long, item long, slot int, lead long, relation string, similarity double, score double"
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False)) if name in pairs.columns else F.lit(False)
 
-
-def folded(items: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """(query_id, item, slot, lead, relation, similarity, score): results best first, each either a leader with a slot or folded under one.
-
-    items(query_id, item, rank, score, alone); pairs of decided(). A result is folded under the closest leader that it repeats. One that holds a
-    leader takes its slot and the slot's score, and the old leader goes under it. What is marked alone leads nothing. Once there are
-    `limit` leaders, only folding goes on.
+    into, over = F.col("into"), F.col("over")
+    nested = F.coalesce(F.col("nested"), F.lit(0)) if "nested" in pairs.columns else F.lit(0)
+    inside, holds = (into > contained) & (over <= contained), (over > contained) & (into <= contained)
+    both = ((into > contained) & (over > contained)) | (F.col("alike") > alike)
+    kinds = [(flag("touching"), None, False, None), (flag("exact"), "duplicate", False, F.lit(1.0)), (nested < 0, "contained", False, F.lit(1.0)), (nested > 0, "contained", True, F.lit(1.0)),
+             (holds, "contained", True, over), (inside, "contained", False, into), (both, "equivalent", False, F.greatest(F.least(into, over), "alike"))]
+    relation, swap, similarity = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("double")
+    for when, name, turned, strength in reversed(kinds):
+        relation = F.when(when, F.lit(name).cast("string")).otherwise(relation)
+        swap = F.when(when, F.lit(turned)).otherwise(swap)
+        similarity = F.when(when, strength if strength is not None else F.lit(None).cast("double")).otherwise(similarity)
+    return pairs.withColumns({"relation": relation, "swap": swap, "similarity": similarity})
+
+
+def folded_results(items: DataFrame, limit: int | None = None, spaces: Spaces = Spaces()) -> DataFrame:
+    """(query_id, item, slot, lead, root, relation, similarity, score, words, embedding, chars): results best first, each with a slot of its own or under
+    another.
+
+    items(query_id, item, rank, score, alone, collection, document_id, seq_start, seq_end, char_start, char_end, chunks): chunks are structs of a text and
+    a vector, in order. lead is the result that one was folded under, root the one whose slot it is in; words, embedding and chars say how much of it lead holds.
+    A result is folded under the closest kept one that it repeats. One that holds kept ones and repeats none takes the best of
+    their slots, score and all, and they go under it with what is under them. What is marked alone leads nothing. Once there are `limit` slots, only folding
+    goes on. A query's results are at most MAX_SCAN.
     """
-    listed = items.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item", "score", "alone"))).alias("items"))
-    met = pairs.where("relation is not null").groupBy("query_id").agg(F.collect_list(F.struct("a", "b", "relation", "swap", "similarity")).alias("pairs"))
-
-    def fold(it):
-        for own in it:
-            rows = []
-            for q, items, pairs in zip(own.query_id, own["items"], own.pairs):
-                related = {(p["a"], p["b"]): p for p in (pairs if pairs is not None else ())}
-                rows += [(q, *r) for r in leaders(items, related, limit)]
-            yield pd.DataFrame(rows, columns=["query_id", "item", "slot", "lead", "relation", "similarity", "score"]).astype({"lead": "Int64", "slot": "Int64"})
-
-    return listed.join(met, "query_id", "left").mapInPandas(fold, FOLDED)
-
-
-def leaders(items: list, related: dict, limit: int) -> list[tuple]:
-    """The fold of one query; related maps (better, worse) item pairs to their decision."""
-    slots: list[dict] = []
-    under: dict = {}
-    for x in items:
-        options = [(s, p) for s in slots if (p := related.get((s["item"], x["item"])) or related.get((x["item"], s["item"])))]
-        if options:
-            slot, p = max(options, key=lambda o: o[1]["similarity"])
-            if p["swap"] and not x["alone"]:
-                under[slot["item"]] = (x["item"], p["relation"], p["similarity"])
-                for other, (lead, r, s) in list(under.items()):
-                    if lead == slot["item"]:
-                        under[other] = (x["item"], r, s)
-                slot["item"] = x["item"]
-            else:
-                under[x["item"]] = (slot["item"], p["relation"], p["similarity"])
-        elif not x["alone"] and len(slots) < limit:
-            slots.append({"item": x["item"], "score": x["score"]})
-    out = [(s["item"], n, None, None, None, float(s["score"])) for n, s in enumerate(slots, 1)]
-    scores = {x["item"]: float(x["score"]) for x in items}
-    return out + [(i, None, lead, r, float(s), scores[i]) for i, (lead, r, s) in under.items()]
+    fields = ["rank", "item", "score", "alone", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "chunks"]
+    listed = items.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("own"))
+
+    def run(it):
+        for batch in it:
+            rows: list[tuple] = []
+            for q, own in zip(batch.query_id, batch["own"]):
+                rows += [(q, *r) for r in fold(list(own), limit, spaces)]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FOLDED.split(", ")]).astype({"lead": "Int64", "root": "Int64", "slot": "Int64"})
+
+    return listed.mapInPandas(run, FOLDED)
+
+
+FOLDED = "query_id long, item long, slot int, lead long, root long, relation string, similarity double, score double, words double, embedding double, chars double"
+
+
+class Measured:
+    """How much of each result every other one holds: into[i, j] is the part of i that j holds, alike[i, j] how alike they are as wholes."""
+
+    def __init__(self, into: np.ndarray, alike: np.ndarray, contained: float, whole: float, met: np.ndarray | None = None):
+        self.into, self.alike, self.contained, self.whole, self.met = into, alike, contained, whole, met
+
+    @classmethod
+    def by_words(cls, results: list, width: int = 3) -> Measured:
+        texts = [[WORDS.findall((c["text"] or "").lower()) for c in r["chunks"]] for r in results]
+        shingled = [{tuple(w[i : i + width]) for w in own for i in range(len(w) - width + 1)} for own in texts]
+        common, n = _common(shingled)
+        met, size = _common([{x for w in own for x in w} for own in texts])
+        speaks = n >= LEAST_SHINGLES
+        into = np.where(speaks[:, None], common / np.maximum(n, 1)[:, None], 0.0)
+        alike = np.where(speaks[:, None] & speaks[None, :], met / np.maximum(size[:, None] + size[None, :] - met, 1), 0.0)
+        return cls(into, alike, CONTAINED, ALIKE, met)
+
+    @classmethod
+    def by_vectors(cls, results: list, contained: float, whole: float) -> Measured:
+        owner = np.repeat(np.arange(len(results)), [len(r["chunks"]) for r in results])
+        v = np.array([np.asarray(c["vector"], float) for r in results for c in r["chunks"]])
+        v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1)
+        cosines, first = v @ v.T, np.searchsorted(owner, np.arange(len(results)))
+        best = np.maximum.reduceat(cosines, first, axis=1)
+        into = np.add.reduceat(best, first, axis=0) / np.bincount(owner)[:, None]
+        sums = np.add.reduceat(np.add.reduceat(cosines, first, axis=0), first, axis=1)
+        within = np.outer(sums.diagonal(), sums.diagonal())
+        return cls(into, np.where(within > 0, sums / np.sqrt(np.where(within > 0, within, 1)), 0.0), contained, whole)
+
+    def decide(self, i: int, kept: int) -> tuple[str, float, bool] | None:
+        into, over, alike = self.into[i, kept], self.into[kept, i], self.alike[i, kept]
+        inside, holds = into > self.contained, over > self.contained
+        if inside != holds:
+            return "contained", float(over if holds else into), bool(holds)
+        return ("equivalent", float(max(min(into, over), alike)), False) if inside or alike > self.whole else None
+
+
+def _common(sets: list[set]) -> tuple[np.ndarray, np.ndarray]:
+    """(members in common of each two sets, sizes), from the sets' places in one table."""
+    place: dict = {}
+    at = [[place.setdefault(x, len(place)) for x in s] for s in sets]
+    table = np.zeros((len(sets), len(place)), np.float32)
+    for row, own in zip(table, at):
+        row[own] = 1
+    return (table @ table.T).astype(float), np.array([len(s) for s in sets], float)
+
+
+def _label(result) -> str | None:
+    """What equal results are told by; none for texts of a few words, which are labels."""
+    text = " ".join(" ".join(c["text"] or "" for c in result["chunks"]).split())
+    return text if len(WORDS.findall(text)) >= LEAST_WORDS else None
+
+
+def related(results: list, deciding: list[Measured]):
+    """A function of (i, kept) that says how result i repeats a kept one: (relation, similarity, whether i takes its place), or None."""
+    labels = [_label(r) for r in results]
+
+    def decide(i: int, kept: int) -> tuple[str, float, bool] | None:
+        a, b = results[i], results[kept]
+        if a["document_id"] == b["document_id"]:
+            if a["collection"] == b["collection"] and a["seq_start"] <= b["seq_end"] + 1 and b["seq_start"] <= a["seq_end"] + 1:
+                return None  # one passage cut in two
+        if labels[i] is not None and labels[i] == labels[kept]:
+            return "duplicate", 1.0, False
+        if a["document_id"] == b["document_id"] and a["collection"] != b["collection"]:
+            if b["char_start"] <= a["char_start"] and a["char_end"] <= b["char_end"]:
+                return "contained", 1.0, False
+            if a["char_start"] <= b["char_start"] and b["char_end"] <= a["char_end"]:
+                return "contained", 1.0, True
+        return next((d for m in deciding if (d := m.decide(i, kept))), None)
+
+    return decide
+
+
+def leaders(alone: list[bool], scores: list[float], decide, limit: int | None) -> tuple[list[tuple[int, float]], dict[int, tuple[int, str, float]]]:
+    """(slots, under): the leader and score of each slot, and for each folded result what it is under, how, and how strongly."""
+    slots: list[tuple[int, float]] = []
+    under: dict[int, tuple[int, str, float]] = {}
+    for i in range(len(scores)):
+        met = [(n, lead, d) for n, (lead, _) in enumerate(slots) if (d := decide(i, lead)) and not alone[i if d[2] else lead]]
+        repeats = [(d[1], -n, lead, d) for n, lead, d in met if not d[2]]
+        if repeats:
+            _, _, lead, d = max(repeats)
+            under[i] = (lead, d[0], d[1])
+        elif met:
+            under.update((lead, (i, d[0], d[1])) for _, lead, d in met)
+            slots[met[0][0]] = (i, slots[met[0][0]][1])
+            gone = {n for n, _, _ in met[1:]}
+            slots = [s for n, s in enumerate(slots) if n not in gone]
+        elif limit is None or len(slots) < limit:
+            slots.append((i, scores[i]))
+    return slots, under
+
+
+def fold(results: list, limit: int | None, spaces: Spaces) -> list[tuple]:
+    """Rows as of FOLDED, but for the query, of one query's results, best first."""
+    if not len(results):
+        return []
+    words, vectors = Measured.by_words(results), None
+    if spaces.chunk is not None and all(c["vector"] is not None for r in results for c in r["chunks"]):
+        vectors = Measured.by_vectors(results, spaces.chunk, spaces.passage)
+    deciding = [m for m in (vectors, words) if m is not None and not (m is words and vectors is not None and spaces.mode == "vector")]
+    slots, under = leaders([bool(r["alone"]) for r in results], [r["score"] for r in results], related(results, deciding), limit)
+    out = [(results[i]["item"], n, None, None, None, None, float(s), None, None, None) for n, (i, s) in enumerate(slots, 1)]
+    for i, (lead, relation, similarity) in under.items():
+        root = lead
+        while root in under:
+            root = under[root][0]
+        chars = None
+        a, b = results[i], results[lead]
+        if a["document_id"] == b["document_id"]:
+            shorter = min(r["char_end"] - r["char_start"] for r in (a, b))
+            chars = max(0, min(a["char_end"], b["char_end"]) - max(a["char_start"], b["char_start"])) / shorter if shorter > 0 else 0.0
+        out.append((a["item"], None, b["item"], results[root]["item"], relation, float(similarity), float(a["score"]), float(words.into[i, lead]), None if vectors is None else float(vectors.into[i, lead]), chars))
+    return out
+
+
+def places(folded: DataFrame) -> DataFrame:
+    """(query_id, slot, item, places): how many results each slot's leader stands for, at every depth."""
+    n = folded.where("lead is not null").groupBy("query_id", F.col("root").alias("item")).agg(F.count("*").alias("places"))
+    return folded.where("slot is not null").select("query_id", "slot", "item").join(n, ["query_id", "item"], "left").select("query_id", "slot", "item", F.coalesce("places", F.lit(0)).alias("places"))

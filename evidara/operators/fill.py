@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,33 +59,10 @@ def best_runs(walk: DataFrame) -> DataFrame:
     return sums.groupBy(*key).agg(F.max_by("steps", F.struct("total", -F.col("steps"))).alias("steps"), F.max("total").alias("total")).where("total > 0")
 
 
-def chosen(options: DataFrame) -> DataFrame:
-    """options with taken: by value per character, each of new chunks only, while they fit into the room of their query.
-
-    options(query_id, option, chars, value, seqs, room); a query's options are at most two for each of its passages.
-    """
-
-    def choose(it):
-        for own in it:
-            rows = []
-            for q, options in zip(own.query_id, own.options):
-                room, held = options[0]["room"], set()
-                for o in sorted(options, key=lambda o: (-o["value"] / max(1, o["chars"]), o["option"])):
-                    taken = o["value"] > 0 and o["chars"] <= room and not held & set(o["seqs"])
-                    if taken:
-                        room -= o["chars"]
-                        held |= set(o["seqs"])
-                    rows.append((q, o["option"], taken))
-            yield pd.DataFrame(rows, columns=["query_id", "option", "taken"])
-
-    listed = options.groupBy("query_id").agg(F.collect_list(F.struct("option", "chars", "value", "seqs", "room")).alias("options"))
-    return listed.mapInPandas(choose, "query_id long, option long, taken boolean")
-
-
-def settled(ranges: DataFrame) -> DataFrame:
-    """ranges with alone: an owed range that no other range of its query touches stands alone; the best of a query never does."""
-    others = ranges.select("query_id", "collection", "document_id", F.col("seq_start").alias("o_start"), F.col("seq_end").alias("o_end"), F.col("rank").alias("o_rank"))
-    touching = ranges.join(others, ["query_id", "collection", "document_id"]).where("rank <> o_rank and (o_end = seq_start - 1 or o_start = seq_end + 1)")
-    near = touching.select("query_id", "rank").distinct().withColumn("_near", F.lit(True))
-    rows = ranges.join(near, ["query_id", "rank"], "left")
-    return rows.withColumn("alone", (F.col("rank") > 1) & (F.col("alone") | F.col("owed") & F.col("_near").isNull())).drop("_near")
+def valued(candidates: DataFrame, reference: DataFrame, score: str, bias: float = 0.0) -> DataFrame:
+    """candidates with value: where their score lies from the middle of the query's reference rows (0) to the best of them (1), within -1 and 1."""
+    ends = reference.groupBy("query_id").agg(F.median(score).alias("_mid"), F.max(score).alias("_top"))
+    rows = candidates.join(ends, "query_id")
+    scaled = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(score) - F.col("_mid")) / (F.col("_top") - F.col("_mid"))))
+    value = F.when(F.col("_top") > F.col("_mid"), scaled).when(F.col(score) >= F.col("_mid"), 1.0).otherwise(-1.0)
+    return rows.withColumn("value", value + bias).drop("_mid", "_top")

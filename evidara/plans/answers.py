@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import columns as C
-from evidara.operators import collapse, mapping, metadata, passages, retrieval, sections
+from evidara.operators import collapse, extras, growth, mapping, metadata, passages, retrieval, sections
 from evidara.session import load, scratch
 from evidara.settings import SearchSettings
 
@@ -60,35 +60,98 @@ def ranked(library: Library, questions: DataFrame, settings: SearchSettings, kin
     return retrieval.top_k(retrieval.first_per(rows, SPAN, "rank").drop("rank"), scan, ["query_id"], F.round("score", 12).desc(), "id")
 
 
-def explore(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings(), kind: str = "chunk") -> DataFrame:
-    """Chunks or passages, best first, near copies folded under the better one."""
+def _ranges_as_items(spans: DataFrame) -> DataFrame:
+    return spans.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", "alone", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "chunks")
+
+
+def _led(spans: DataFrame, limit: int | None, settings: SearchSettings, spaces: collapse.Spaces) -> DataFrame:
+    """spans, those that lead a slot only, with the slot's score and place and how many places it stands for."""
+    fold = scratch(collapse.folded_results(_ranges_as_items(spans), limit, spaces), "fold")
+    n = collapse.places(fold).select("query_id", F.col("item").cast("int").alias("rank"), "places")
+    lead = fold.where("slot is not null").select("query_id", F.col("item").cast("int").alias("rank"), "slot", F.col("score").alias("_score"))
+    return spans.drop("score").join(lead, ["query_id", "rank"]).join(n, ["query_id", "rank"]).drop("rank").withColumnsRenamed({"slot": "rank", "_score": "score"})
+
+
+def explore(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings(), kind: str = "chunk", spaces: collapse.Spaces = collapse.Spaces()) -> DataFrame:
+    """Chunks or passages, best first, near copies folded under the better one; passages too short to stand alone are grown or left out."""
     rows = scratch(ranked(library, questions, settings, kind), "ranked")
     if kind == "passage":
-        found = passages.ranges(rows, settings.score_fold).where(F.col("rank") <= settings.limit)
+        grown = scratch(growth.judged(rows, library.chunks, questions, settings, grows=True), "spans")
+        found = _led(grown.where("not alone"), settings.limit, settings, spaces)
         cited = C.citation(F.col("name"), F.col("page_start"), F.col("page_end"), F.col("line_start"), F.col("line_end"))
-        return passages.quotes(found.withColumn("citation", cited), library.documents.select("document_id", "text"))
-    items = rows.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", F.array("text").alias("texts"), F.lit(False).alias("alone"))
-    fold = collapse.folded(items, collapse.decided(collapse.shingle_overlaps(items)), settings.limit).drop("score")
+        return passages.quotes(found.withColumn("citation", cited).drop("chunks"), library.documents.select("document_id", "text"))
+    items = rows.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", F.lit(False).alias("alone"), "collection", "document_id", F.col("seq").alias("seq_start"), F.col("seq").alias("seq_end"), "char_start", "char_end", F.array(F.struct("text", "vector")).alias("chunks"))
+    fold = collapse.folded_results(items, settings.limit, spaces).drop("score")
     return rows.join(fold, (rows.query_id == fold.query_id) & (rows["rank"] == fold["item"])).drop(fold.query_id)
 
 
-def excerpts(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
-    """(query_id, collection, document_id, position, text, missing_terms): sections' passages written out within the budget."""
+PASSAGE = ["query_id", "collection", "document_id", "position"]
+
+
+def _costs(rows: DataFrame) -> DataFrame:
+    """rows with what a passage costs, and what its section costs with the first one of it."""
+    cost = sections.passage_cost(F.col("char_end") - F.col("char_start"))
+    return rows.withColumns({"cost": cost, "header_cost": sections.excerpt_cost(F.array().cast("array<string>"), F.array().cast("array<bigint>"))})
+
+
+def _within(rows: DataFrame, settings: SearchSettings) -> DataFrame:
+    kept = sections.within_budget(_costs(rows).select("query_id", "group_rank", "rank", "cost", "header_cost", "alone", "first"), settings.answer_budget_chars)
+    return rows.join(kept.where("kept").drop("kept"), ["query_id", "group_rank", "rank"])
+
+
+def _with_probe(library: Library, questions: DataFrame, kept: DataFrame, runs: DataFrame, settings: SearchSettings) -> DataFrame:
+    """What is kept of each section, and where a question has words that none of it holds, the best chunk that full text finds for them: it takes its
+    room first, as the only evidence there is."""
+    seqs = kept.select("query_id", "collection", "document_id", F.explode(F.sequence("seq_start", "seq_end")).alias("seq"))
+    held = scratch(seqs.join(library.chunks.select(*KEY, "text", "headings"), KEY), "held")
+    texts = held.select("query_id", F.concat_ws(" ", "text", F.array_join("headings", " ")).alias("text"))
+    missing = sections.missing_terms(questions.join(kept.select("query_id").distinct(), "query_id"), texts)
+    best = scratch(extras.probes(missing, library.chunks, KEY, "framed", held.select("query_id", *KEY)).select("query_id", *KEY), "probes")
+    spans = best.join(library.chunks.select(*KEY, "char_start", "char_end"), KEY).select("query_id", "collection", "document_id", F.col("seq").alias("seq_start"), F.col("seq").alias("seq_end"), "char_start", "char_end")
+    placed = sections.section_of(spans, runs, settings.max_section_chars).select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end")
+    groups = kept.groupBy(*PASSAGE).agg(F.first("group_rank").alias("_own"))
+    last = kept.groupBy("query_id").agg(F.max("group_rank").alias("_last"), F.max("rank").alias("_rank"))
+    found = placed.join(groups, PASSAGE, "left").join(last, "query_id")
+    found = found.select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end", F.coalesce("_own", F.col("_last") + 1).alias("group_rank"), (F.col("_rank") + 1).alias("rank"),
+                         F.lit(0.0).alias("score"), F.lit(False).alias("alone"), F.lit(False).alias("owed"), F.lit(True).alias("first"))
+    return kept.unionByName(found)
+
+
+def excerpts(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings(), spaces: collapse.Spaces = collapse.Spaces()) -> DataFrame:
+    """(query_id, collection, document_id, position, group_rank, text, score, spans, missing_terms): what the best sections say on each question.
+
+    Hits become passages; short ones are judged by what is around them; near copies are folded; what is left falls into sections, of which the first `limit`
+    are kept, as far as the budget has room; words that none of it holds are looked for; the text around and between passages is filled in where it answers
+    too and fits; sections of which nothing stands are dropped. missing_terms are the words of the question that no excerpt holds in the end.
+    """
     rows = scratch(ranked(library, questions, settings, "section"), "ranked")
-    found = passages.ranges(rows, settings.score_fold).select(
-        "query_id", "collection", "document_id", "name", "seq_start", "seq_end", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"), "rank", "score", F.lit(False).alias("alone")
-    )
-    placed = scratch(sections.section_of(found, sections.runs(library.chunks), settings.max_section_chars), "placed")
-    place = ["query_id", "collection", "document_id", "position"]
-    groups = sections.grouped(placed, settings.limit).select(*place, F.col("rank").alias("group_rank"))
-    own = placed.join(groups, place)
-    cost = sections.passage_cost(F.col("p_end") - F.col("p_start"))
-    head = sections.excerpt_cost(F.col("path"), F.array().cast("array<bigint>"))
-    kept = sections.within_budget(own.select("query_id", "group_rank", "rank", cost.alias("cost"), head.alias("header_cost")), settings.answer_budget_chars)
-    shown = own.join(kept.where("kept"), ["query_id", "group_rank", "rank"]).withColumnsRenamed({"p_start": "char_start", "p_end": "char_end", "path": "headings"})
-    texts = scratch(sections.excerpts(passages.quotes(shown, library.documents.select("document_id", "text"))), "excerpts")
-    missing = sections.missing_terms(questions, texts.select("query_id", "text")).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("missing_terms"))
-    return texts.join(missing, "query_id", "left").withColumn("missing_terms", F.coalesce("missing_terms", F.array().cast("array<string>")))
+    spans = scratch(growth.judged(rows, library.chunks, questions, settings, grows=False), "spans")
+    found = _led(spans, None, settings, spaces).select("query_id", "rank", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "score", "alone", "owed")
+    runs = scratch(sections.runs(library.chunks), "runs")
+    placed = scratch(sections.section_of(found, runs, settings.max_section_chars), "placed")
+    groups = sections.grouped(placed, settings.limit).select(*PASSAGE, F.col("rank").alias("group_rank"))
+    own = placed.join(groups, PASSAGE).select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end", "group_rank", "rank", "score", "alone", "owed", F.lit(False).alias("first"))
+    kept = scratch(_within(own, settings), "kept")
+    kept = scratch(_within(_with_probe(library, questions, kept, runs, settings), settings), "kept")
+    spent = _costs(kept).groupBy(*PASSAGE).agg((F.sum("cost") + F.first("header_cost")).alias("c")).groupBy("query_id").agg(F.sum("c").alias("cost"))
+    full = scratch(growth.filled(kept.join(spent, "query_id"), library.chunks, questions, settings), "filled")
+    first = library.chunks.select("collection", "document_id", F.col("seq").alias("seq_start"), "headings")
+    heads = kept.select(*PASSAGE, "path").distinct()
+    shown = full.join(heads, PASSAGE).join(first, ["collection", "document_id", "seq_start"])
+    quoted = scratch(passages.quotes(shown, library.documents.select("document_id", "text")), "quoted")
+    texts = sections.excerpts(quoted, under="path")
+    by = quoted.groupBy(*PASSAGE).agg(F.min("group_rank").alias("group_rank"), F.max("score").alias("score"), F.count("*").cast("int").alias("spans"), F.array_join(F.flatten(F.collect_list("headings")), " ").alias("_heads"))
+    texts = scratch(texts.join(by, PASSAGE), "excerpts")
+    missing = sections.missing_terms(questions, texts.select("query_id", F.concat_ws(" ", "text", "_heads").alias("text"))).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("missing_terms"))
+    return texts.drop("_heads").join(missing, "query_id", "left").withColumn("missing_terms", F.coalesce("missing_terms", F.array().cast("array<string>")))
+
+
+def report(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """(query_id, excerpts, missing_terms, uncovered): one row for every question, answered or not."""
+    by = answered.groupBy("query_id").agg(F.count("*").alias("excerpts"), F.first("missing_terms").alias("_missing"))
+    rows = questions.join(by, "query_id", "left")
+    every = C.question_terms("question")
+    return rows.select("query_id", F.coalesce("excerpts", F.lit(0)).alias("excerpts"), F.coalesce("_missing", F.sort_array(every)).alias("missing_terms"), F.col("excerpts").isNull().alias("uncovered"))
 
 
 def section_map(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings(limit=15)) -> DataFrame:
@@ -131,7 +194,13 @@ def answer_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return excerpts(Library.of(spark, d), _questions(spark, d))
+    return excerpts(Library.of(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def answer_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each question's excerpts leave out."""
+    asked = _questions(spark, d)
+    return report(asked, excerpts(Library.of(spark, d), asked))
 
 
 def answer_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -140,4 +209,4 @@ def answer_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (answer_chunks, answer_passages, answer_excerpts, answer_sections)}
+    return {f.__name__: f for f in (answer_chunks, answer_passages, answer_excerpts, answer_report, answer_sections)}

@@ -235,12 +235,23 @@ def term_overlap(spark: SparkSession, d: str) -> DataFrame:
     return pool.select("query_id", *KEY, F.round(fill.overlap("asked", "text"), 6).alias("overlap"))
 
 
+def _valued(spark: SparkSession, d: str) -> DataFrame:
+    """What lies around each passage, worth what its share of the question's words says."""
+    questions = load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("asked"))
+    own = hits(spark, d, 10)
+    near = fill.neighbours(passages.ranges(own), 3).join(corpus(spark, d).select(*KEY, "text", "end_reason"), KEY).join(questions, "query_id")
+    scored = near.withColumns({"overlap": fill.overlap("asked", "text"), "continues": F.coalesce("end_reason", F.lit("")) != "heading"}).drop("text", "asked", "end_reason")
+    return fill.valued(scored, own.join(questions, "query_id").select("query_id", fill.overlap("asked", "text").alias("overlap")), "overlap")
+
+
+@query
+def neighbour_values(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_valued(spark, d).select("query_id", *KEY, "seq_start", "side", "steps", "value"), "value")
+
+
 @query
 def best_run(spark: SparkSession, d: str) -> DataFrame:
-    found = passages.ranges(hits(spark, d, 10))
-    near = fill.neighbours(found, 3)
-    value = corpus(spark, d).select("collection", "document_id", "seq", ((F.col("char_end") - F.col("char_start")) % 7 - 3).cast("double").alias("value"), (F.coalesce("end_reason", F.lit("")) != "heading").alias("continues"))
-    return fill.best_runs(near.join(value, ["collection", "document_id", "seq"]))
+    return rounded(fill.best_runs(_valued(spark, d)), "total")
 
 
 # --- folding
@@ -253,7 +264,7 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def _items(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
     rows = hits(spark, d, k)
-    return rows.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", F.array("text").alias("texts"), *KEY, "char_start", "char_end", "vector", F.lit(False).alias("alone"))
+    return rows.select("query_id", F.col("rank").cast("long").alias("item"), "rank", "score", F.array("text").alias("texts"), F.array(F.struct("text", "vector")).alias("chunks"), *KEY, F.col("seq").alias("seq_start"), F.col("seq").alias("seq_end"), "char_start", "char_end", "vector", F.lit(False).alias("alone"))
 
 
 @query
@@ -261,24 +272,45 @@ def shingle_containment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(collapse.shingle_overlaps(_items(spark, d)), "into", "over", "alike")
 
 
-def _related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _related(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    pairs = collapse.shingle_overlaps(items)
-    a, b = (items.select("query_id", F.col("item").alias(x), F.col("document_id").alias(f"d{x}"), F.col("collection").alias(f"c{x}"), F.col("seq").alias(f"s{x}"), F.md5(C.collapsed(F.col("texts")[0])).alias(f"t{x}"), F.size(C.words(F.col("texts")[0])).alias(f"n{x}")) for x in "ab")
-    both = pairs.join(a, ["query_id", "a"]).join(b, ["query_id", "b"])
-    both = both.withColumns({"exact": (F.col("ta") == F.col("tb")) & (F.col("na") >= collapse.LEAST_WORDS), "touching": (F.col("da") == F.col("db")) & (F.col("ca") == F.col("cb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1)})
-    return items, collapse.decided(both)
+    sides = ["document_id", "collection", "seq", "char_start", "char_end"]
+    a, b = (items.select("query_id", F.col("item").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in sides), C.collapsed(F.col("texts")[0]).alias(f"{x}_text"), F.size(C.words(F.col("texts")[0])).alias(f"{x}_n")) for x in "ab")
+    both = collapse.shingle_overlaps(items).join(a, ["query_id", "a"]).join(b, ["query_id", "b"])
+    one = F.col("a_document_id") == F.col("b_document_id")
+    apart = one & (F.col("a_collection") != F.col("b_collection"))
+    inside = (F.col("a_char_start") <= F.col("b_char_start")) & (F.col("b_char_end") <= F.col("a_char_end"))
+    holds = (F.col("b_char_start") <= F.col("a_char_start")) & (F.col("a_char_end") <= F.col("b_char_end"))
+    return both.select("query_id", "a", "b", "into", "over", "alike", ((F.col("a_text") == F.col("b_text")) & (F.col("a_n") >= collapse.LEAST_WORDS)).alias("exact"),
+                       (one & (F.col("a_collection") == F.col("b_collection")) & (F.abs(F.col("a_seq") - F.col("b_seq")) <= 1)).alias("touching"),
+                       F.when(apart & inside, -1).when(apart & holds, 1).otherwise(0).alias("nested"))
 
 
 @query
 def fold_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_related(spark, d)[1].where("relation is not null").select("query_id", "a", "b", "relation", "swap", "similarity"), "similarity")
+    decided = collapse.decided(_related(spark, d))
+    return rounded(decided.where("relation is not null").select("query_id", "a", "b", "relation", "swap", "similarity"), "similarity")
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return collapse.folded_results(_items(spark, d), 10)
 
 
 @query
 def leader_fold(spark: SparkSession, d: str) -> DataFrame:
-    items, pairs = _related(spark, d)
-    return rounded(collapse.folded(items, pairs, 10), "score", "similarity")
+    return rounded(_folded(spark, d).select("query_id", "item", "slot", "lead", "relation", "similarity", "score"), "score", "similarity")
+
+
+@query
+def fold_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every folded result with the slot it is in and how much of it the one above it holds."""
+    tree = _folded(spark, d).where("lead is not null")
+    return rounded(tree.select("query_id", "item", "lead", "root", "words", "chars"), "words", "chars")
+
+
+@query
+def fold_places(spark: SparkSession, d: str) -> DataFrame:
+    return collapse.places(_folded(spark, d))
 
 
 @query
@@ -305,7 +337,7 @@ def section_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    found = passages.ranges(hits(spark, d)).select("query_id", "collection", "document_id", "name", "seq_start", "seq_end", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"), "rank", "score", F.lit(False).alias("alone"))
+    found = passages.ranges(hits(spark, d)).select("query_id", "collection", "document_id", "name", "seq_start", "seq_end", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"), "rank", "score", ((F.col("rank") > 1) & (F.col("char_end") - F.col("char_start") < 300)).alias("alone"))
     return sections.section_of(found, sections.runs(corpus(spark, d)), 12_000)
 
 
@@ -314,14 +346,21 @@ def section_groups(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sections.grouped(_placed(spark, d), 10), "score")
 
 
+@query
+def documents_needed(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.ranges(hits(spark, d)).withColumn("alone", (F.col("rank") > 1) & (F.col("char_end") - F.col("char_start") < 300))
+    return sections.documents_needed(found, 5)
+
+
 @query
 def budget_within(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of ten sections within 12,000 characters, the twentieth passage first, as a probe's would be."""
     placed = _placed(spark, d)
     groups = sections.grouped(placed, 10).select("query_id", "collection", "document_id", "position", F.col("rank").alias("group_rank"))
     rows = placed.join(groups, ["query_id", "collection", "document_id", "position"])
     cost = sections.passage_cost(F.col("p_end") - F.col("p_start"))
-    head = sections.excerpt_cost(F.col("path"), F.array().cast("array<bigint>"))
-    return sections.within_budget(rows.select("query_id", "group_rank", "rank", cost.alias("cost"), head.alias("header_cost")), 12_000)
+    head = sections.excerpt_cost(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return sections.within_budget(rows.select("query_id", "group_rank", "rank", cost.alias("cost"), head.alias("header_cost"), "alone", (F.col("rank") == 20).alias("first")), 12_000)
 
 
 @query

@@ -72,10 +72,47 @@ vec AS ({top('dist', 50, 'query_id', 'round(distance, 9), id')})"""
 
 SHINGLES = f"""{hits(15)},
 w AS (SELECT query_id, rank AS item, {words('text')} AS w FROM hits),
-s AS (SELECT query_id, item, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS s FROM w WHERE len(w) >= 3),
+v AS (SELECT query_id, item, list_distinct(w) AS v FROM w),
+vf AS (SELECT query_id, item, len(v) AS n, unnest(v) AS v FROM v),
+both_have AS (SELECT x.query_id, x.item AS a, y.item AS b, any_value(x.n) AS va, any_value(y.n) AS vb, count(*) AS m FROM vf x JOIN vf y ON x.query_id = y.query_id AND x.v = y.v AND x.item < y.item GROUP BY 1, 2, 3),
+s AS (SELECT query_id, item, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS s FROM w),
 f AS (SELECT query_id, item, len(s) AS n, unnest(s) AS s FROM s),
-common AS (SELECT x.query_id, x.item AS a, y.item AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM f x JOIN f y ON x.query_id = y.query_id AND x.s = y.s AND x.item < y.item GROUP BY 1, 2, 3),
-overlap AS (SELECT query_id, a, b, CASE WHEN nb >= 5 THEN c / nb ELSE 0 END AS "into", CASE WHEN na >= 5 THEN c / na ELSE 0 END AS "over", CASE WHEN na >= 5 AND nb >= 5 THEN c / (na + nb - c) ELSE 0 END AS alike FROM common)"""
+common AS (SELECT x.query_id, x.item AS a, y.item AS b, count(*) AS c FROM f x JOIN f y ON x.query_id = y.query_id AND x.s = y.s AND x.item < y.item GROUP BY 1, 2, 3),
+overlap AS (SELECT query_id, a, b, CASE WHEN len(y.s) >= 5 THEN coalesce(c, 0) / len(y.s) ELSE 0 END AS "into", CASE WHEN len(x.s) >= 5 THEN coalesce(c, 0) / len(x.s) ELSE 0 END AS "over",
+  CASE WHEN len(x.s) >= 5 AND len(y.s) >= 5 THEN m / (va + vb - m) ELSE 0 END AS alike
+  FROM both_have o LEFT JOIN common USING (query_id, a, b) JOIN s x ON x.query_id = o.query_id AND x.item = o.a JOIN s y ON y.query_id = o.query_id AND y.item = o.b)"""
+DECISIONS = f"""{SHINGLES}, h AS (SELECT query_id, rank AS item, collection, document_id, seq, char_start, char_end, score, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS g, len({words('text')}) AS n FROM hits),
+pairs AS (SELECT o.*, x.document_id = y.document_id AND x.collection = y.collection AND abs(x.seq - y.seq) <= 1 AS touching, x.g = y.g AND x.n >= 7 AS exact,
+  CASE WHEN x.document_id = y.document_id AND x.collection <> y.collection THEN
+    CASE WHEN x.char_start <= y.char_start AND y.char_end <= x.char_end THEN -1 WHEN y.char_start <= x.char_start AND x.char_end <= y.char_end THEN 1 ELSE 0 END ELSE 0 END AS nested
+  FROM overlap o JOIN h x ON x.query_id = o.query_id AND x.item = o.a JOIN h y ON y.query_id = o.query_id AND y.item = o.b),
+kind AS (SELECT *, CASE WHEN touching THEN 0 WHEN exact THEN 1 WHEN nested < 0 THEN 2 WHEN nested > 0 THEN 3 WHEN "over" > 0.8 AND "into" <= 0.8 THEN 4 WHEN "into" > 0.8 AND "over" <= 0.8 THEN 5
+  WHEN ("into" > 0.8 AND "over" > 0.8) OR alike > 0.5 THEN 6 ELSE 0 END AS k FROM pairs),
+decided AS (SELECT query_id, a, b, CASE k WHEN 1 THEN 'duplicate' WHEN 6 THEN 'equivalent' ELSE 'contained' END AS relation, k IN (3, 4) AS swap,
+  CASE WHEN k <= 3 THEN 1.0 WHEN k = 4 THEN "over" WHEN k = 5 THEN "into" ELSE greatest(least("into", "over"), alike) END AS similarity FROM kind WHERE k > 0)"""
+# the fold, one result a step: lead holds the slots' leaders, under what has been folded
+FOLD = f"""{DECISIONS.replace('WITH ', 'WITH RECURSIVE ', 1)},
+d AS (SELECT query_id, b, list({{'a': a, 'relation': relation, 'swap': swap, 'similarity': similarity}}) AS met FROM decided GROUP BY 1, 2),
+steps AS (SELECT h.query_id, item, score, coalesce(met, []) AS met FROM h LEFT JOIN d ON d.query_id = h.query_id AND d.b = h.item),
+fold(query_id, item, lead, score, under) AS (
+  SELECT query_id, 0::BIGINT, []::BIGINT[], []::DOUBLE[], []::STRUCT(item BIGINT, lead BIGINT, relation VARCHAR, similarity DOUBLE)[] FROM h GROUP BY query_id
+  UNION ALL
+  SELECT query_id, item,
+    CASE WHEN mode = 'new' THEN list_append(lead, item) WHEN mode = 'swap' THEN list_filter(list_transform(lead, lambda l: CASE WHEN l = held[1].a THEN item ELSE l END), lambda l: l = item OR NOT list_contains(list_transform(held, lambda x: x.a), l)) ELSE lead END,
+    CASE WHEN mode = 'new' THEN list_append(score, own) WHEN mode = 'swap' THEN list_transform(list_filter(list_zip(lead, score), lambda z: z[1] = held[1].a OR NOT list_contains(list_transform(held, lambda x: x.a), z[1])), lambda z: z[2]) ELSE score END,
+    CASE WHEN mode = 'under' THEN list_append(under, {{'item': item, 'lead': best.a, 'relation': best.relation, 'similarity': best.similarity}})
+      WHEN mode = 'swap' THEN under || list_transform(held, lambda x: {{'item': x.a, 'lead': item, 'relation': x.relation, 'similarity': x.similarity}}) ELSE under END
+  FROM (SELECT *, CASE WHEN len(repeats) > 0 THEN 'under' WHEN len(held) > 0 THEN 'swap' WHEN len(lead) < 10 THEN 'new' ELSE 'none' END AS mode,
+      list_filter(repeats, lambda x: x.similarity = list_max(list_transform(repeats, lambda y: y.similarity)))[1] AS best
+    FROM (SELECT *, list_filter(held, lambda x: NOT x.swap) AS repeats
+      FROM (SELECT f.query_id, s.item, s.score AS own, f.lead, f.score, f.under,
+          list_transform(list_filter(list_transform(f.lead, lambda l: list_filter(s.met, lambda m: m.a = l)), lambda z: len(z) > 0), lambda z: z[1]) AS held
+        FROM fold f JOIN steps s ON s.query_id = f.query_id AND s.item = f.item + 1)))),
+last AS (SELECT DISTINCT ON (query_id) * FROM fold ORDER BY query_id, item DESC),
+slots AS (SELECT query_id, unnest(lead) AS item, generate_subscripts(lead, 1) AS slot, unnest(score) AS score FROM last),
+folded AS (SELECT query_id, unnest(under, recursive := true) FROM last),
+root(query_id, item, lead, root) AS (SELECT query_id, item, lead, lead FROM folded UNION ALL SELECT r.query_id, r.item, r.lead, f.lead FROM root r JOIN folded f ON f.query_id = r.query_id AND f.item = r.root),
+top AS (SELECT r.* FROM root r JOIN slots s ON s.query_id = r.query_id AND s.item = r.root)"""
 
 
 def trend(table: str, series: str, unit: str, start: str, end: str, value: str = "1", ts: str = "ts") -> str:
@@ -120,6 +157,41 @@ g AS (SELECT collection, document_id, depth, isle, any_value(path) AS path, min(
 runs AS (SELECT *, row_number() OVER (PARTITION BY collection, document_id ORDER BY seq_start, depth) - 1 AS position FROM g)"""
 
 
+VALUED = f"""{ranges(10)}, x AS (SELECT *, unnest([1, 2, 3]) AS steps FROM ranges),
+d AS (SELECT query_id, collection, document_id, seq_start, 'before' AS side, steps, seq_start - steps AS seq FROM x WHERE seq_start - steps >= 1
+UNION ALL SELECT query_id, collection, document_id, seq_start, 'after', steps, seq_end + steps FROM x WHERE coalesce(end_reason, '') <> 'heading'),
+words_of AS (SELECT item_id AS query_id, {terms('question')} AS ts FROM eval_items WHERE question IS NOT NULL),
+ref AS (SELECT query_id, CASE WHEN len(ts) > 0 THEN len(list_intersect(ts, {words('text')})) / len(ts) ELSE 0 END AS s FROM hits JOIN words_of USING (query_id)),
+mid AS (SELECT query_id, median(s) AS m, max(s) AS t FROM ref GROUP BY 1),
+near AS (SELECT d.*, CASE WHEN len(ts) > 0 THEN len(list_intersect(ts, {words('c.text')})) / len(ts) ELSE 0 END AS s, (coalesce(c.end_reason, '') <> 'heading')::INT AS goes
+  FROM d JOIN corpus c USING (collection, document_id, seq) JOIN words_of USING (query_id)),
+v AS (SELECT near.*, CASE WHEN t > m THEN greatest(-1, least(1, (s - m) / (t - m))) WHEN s >= m THEN 1.0 ELSE -1.0 END AS value FROM near JOIN mid USING (query_id))"""
+PLACED = f"""{RUNS}, {ranges(50).split('WITH ', 1)[1].replace(CORPUS + ',', '', 1)},
+ends AS (SELECT collection, document_id, min(seq_start) AS d_start, max(seq_end) AS d_end FROM runs GROUP BY 1, 2),
+asked_at AS (SELECT r.query_id, r.rank, r.score, r.rank > 1 AND r.char_end - r.char_start < 300 AS alone, r.char_end - r.char_start AS chars, r.collection, r.document_id, s.position, s.depth, s.path,
+  max(s.depth) OVER (PARTITION BY r.query_id, r.collection, r.document_id, r.seq_start) AS deepest, s.char_end - s.char_start <= 12000 AND s.depth > 0 AND NOT (s.seq_start = d_start AND s.seq_end = d_end) AS fits
+  FROM ranges r JOIN runs s ON s.collection = r.collection AND s.document_id = r.document_id AND r.seq_start BETWEEN s.seq_start AND s.seq_end
+  JOIN ends e ON e.collection = r.collection AND e.document_id = r.document_id),
+placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY CASE WHEN fits AND depth < deepest THEN 0 ELSE 1 END, CASE WHEN fits AND depth < deepest THEN depth ELSE -depth END) AS nth FROM asked_at) WHERE nth = 1),
+grouped AS (SELECT query_id, collection, document_id, position, min(rank) AS best, max(score) AS score, count(*) AS ranges, count(*) FILTER (NOT alone) AS standing FROM placed GROUP BY ALL),
+groups AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, collection, document_id, position) AS rank FROM grouped WHERE standing > 0) WHERE rank <= 10)"""
+BUDGET = f"""{PLACED.replace('WITH ', 'WITH RECURSIVE ', 1)},
+held AS (SELECT p.query_id, g.rank AS g, p.rank AS r, 300 + chars AS cost, alone FROM placed p JOIN groups g USING (query_id, collection, document_id, position)),
+bests AS (SELECT query_id, g, min(r) AS r FROM held WHERE NOT alone GROUP BY 1, 2),
+turns AS (SELECT query_id, g, r, cost, 0 AS phase, r AS place, false AS always FROM held WHERE r = 20
+  UNION ALL SELECT o.query_id, o.g, o.r, o.cost, 1, o.g, o.g = min(o.g) OVER (PARTITION BY o.query_id) FROM held o JOIN bests USING (query_id, g, r)
+  UNION ALL SELECT query_id, g, r, cost, 2, r, false FROM held),
+steps AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, place) AS n FROM turns),
+walk(query_id, n, spent, kept, opened) AS (
+  SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM held
+  UNION ALL
+  SELECT w.query_id, s.n, CASE WHEN t THEN spent + c ELSE spent END, CASE WHEN t THEN list_append(kept, s.r) ELSE kept END, CASE WHEN t THEN list_append(opened, s.g) ELSE opened END
+  FROM walk w JOIN steps s ON s.query_id = w.query_id AND s.n = w.n + 1,
+    LATERAL (SELECT s.cost + CASE WHEN list_contains(opened, s.g) THEN 0 ELSE 600 END AS c) x,
+    LATERAL (SELECT NOT list_contains(kept, s.r) AND (s.phase < 2 OR list_contains(opened, s.g)) AND (s.always OR spent + x.c <= 12000) AS t) y),
+last AS (SELECT DISTINCT ON (query_id) * FROM walk ORDER BY query_id, n DESC)"""
+
+
 def oracle_sql() -> dict[str, str]:
     full = "collection, document_id, seq"
     span = "document_id, char_start, char_end"
@@ -157,20 +229,28 @@ SELECT query_id, collection, document_id, seq_start, 'before' AS side, steps, se
 UNION ALL SELECT query_id, collection, document_id, seq_start, 'after', steps, seq_end + steps FROM x WHERE coalesce(end_reason, '') <> 'heading'""",
         "fill_value": "WITH c AS (SELECT DISTINCT * FROM candidates WHERE bm25_score IS NOT NULL), m AS (SELECT *, median(bm25_score) OVER w AS mid, max(bm25_score) OVER w AS best FROM c WINDOW w AS (PARTITION BY search_id)) SELECT search_id AS query_id, document_id, seq, round(bm25_score, 6) AS bm25_score, round(CASE WHEN best > mid THEN greatest(-1, least(1, (bm25_score - mid) / (best - mid))) WHEN bm25_score >= 1.0 THEN 1 ELSE -1 END, 6) AS value FROM m",
         "term_overlap": f"{hits(25)}, t AS (SELECT h.query_id, {full}, {terms('e.question')} AS t, {words('h.text')} AS w FROM hits h JOIN eval_items e ON e.item_id = h.query_id) SELECT query_id, {full}, round(CASE WHEN len(t) > 0 THEN len(list_intersect(t, w)) / len(t) ELSE 0 END, 6) AS overlap FROM t",
-        "best_run": f"""{ranges(10)}, x AS (SELECT *, unnest([1, 2, 3]) AS steps FROM ranges),
-d AS (SELECT query_id, collection, document_id, seq_start, 'before' AS side, steps, seq_start - steps AS seq FROM x WHERE seq_start - steps >= 1
-UNION ALL SELECT query_id, collection, document_id, seq_start, 'after', steps, seq_end + steps FROM x WHERE coalesce(end_reason, '') <> 'heading'),
-v AS (SELECT d.*, ((c.char_end - c.char_start) % 7 - 3)::DOUBLE AS value, (coalesce(c.end_reason, '') <> 'heading')::INT AS goes FROM d JOIN corpus c USING ({full})),
-o AS (SELECT *, min(goes) OVER w AS open, row_number() OVER w AS n, sum(value) OVER w AS total FROM v WINDOW w AS (PARTITION BY query_id, collection, document_id, seq_start, side ORDER BY steps)),
-k AS (SELECT *, sum(CASE WHEN open = 1 AND n = steps THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, collection, document_id, seq_start, side) AS ok FROM o WHERE open = 1 AND n = steps)
-SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total * 1000 - steps) AS steps, max(total) AS total FROM k GROUP BY 1, 2, 3, 4, 5 HAVING max(total) > 0""",
+        "neighbour_values": f"{VALUED} SELECT query_id, collection, document_id, seq, seq_start, side, steps, round(value, 6) AS value FROM v",
+        "best_run": f"""{VALUED},
+o AS (SELECT *, min(goes) OVER w AS open, row_number() OVER w AS n, round(sum(value) OVER w, 9) AS total FROM v WINDOW w AS (PARTITION BY query_id, collection, document_id, seq_start, side ORDER BY steps)),
+k AS (SELECT * FROM o WHERE open = 1 AND n = steps)
+SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total * 1000 - steps) AS steps, round(max(total), 6) AS total FROM k GROUP BY 1, 2, 3, 4, 5 HAVING max(total) > 0""",
         "exact_duplicates": f"WITH o AS (SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS g FROM documents WHERE len({words('text')}) >= 7), k AS (SELECT g, min(doc_id) AS first, count(DISTINCT doc_id) AS copies FROM o GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) SELECT DISTINCT doc_id, first, copies FROM o JOIN k USING (g)",
         "shingle_containment": f'{SHINGLES} SELECT query_id, a, b, round("into", 6) AS "into", round("over", 6) AS "over", round(alike, 6) AS alike FROM overlap',
-        "fold_decisions": f"""{SHINGLES}, h AS (SELECT query_id, rank AS item, {full}, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS g, len({words('text')}) AS n FROM hits),
-j AS (SELECT o.*, x.g = y.g AND x.n >= 7 AS same, x.document_id = y.document_id AND x.collection = y.collection AND abs(x.seq - y.seq) <= 1 AS touching FROM overlap o JOIN h x ON x.query_id = o.query_id AND x.item = a JOIN h y ON y.query_id = o.query_id AND y.item = b),
-r AS (SELECT *, CASE WHEN touching THEN NULL WHEN same THEN 'duplicate' WHEN ("over" > 0.8) <> ("into" > 0.8) THEN 'contained' WHEN "over" > 0.8 OR alike > 0.5 THEN 'equivalent' END AS relation FROM j)
-SELECT query_id, a, b, relation, NOT same AND "over" > 0.8 AND "into" <= 0.8 AS swap, round(CASE WHEN same THEN 1.0 WHEN alike > 0.5 THEN greatest(least("into", "over"), alike) ELSE greatest("into", "over") END, 6) AS similarity FROM r WHERE relation IS NOT NULL""",
+        "fold_decisions": f"{DECISIONS} SELECT query_id, a, b, relation, swap, round(similarity, 6) AS similarity FROM decided",
+        "leader_fold": f"""{FOLD} SELECT query_id, item, slot, NULL AS lead, NULL AS relation, NULL AS similarity, round(score, 6) AS score FROM slots
+          UNION ALL SELECT query_id, item, NULL, lead, relation, round(similarity, 6), round(h.score, 6) FROM folded JOIN h USING (query_id, item)""",
+        "fold_tree": f"""{FOLD} SELECT t.query_id, t.item, t.lead, t.root, CASE WHEN t.lead < t.item THEN coalesce(round(o."into", 6), 0) ELSE coalesce(round(o."over", 6), 0) END AS words,
+          CASE WHEN x.document_id = y.document_id THEN round(greatest(0, least(x.char_end, y.char_end) - greatest(x.char_start, y.char_start)) / least(x.char_end - x.char_start, y.char_end - y.char_start), 6) END AS chars
+          FROM top t JOIN h x ON x.query_id = t.query_id AND x.item = t.item JOIN h y ON y.query_id = t.query_id AND y.item = t.lead
+          LEFT JOIN overlap o ON o.query_id = t.query_id AND o.a = least(t.item, t.lead) AND o.b = greatest(t.item, t.lead)""",
+        "fold_places": f"{FOLD} SELECT s.query_id, s.slot, s.item, count(t.item) AS places FROM slots s LEFT JOIN top t ON t.query_id = s.query_id AND t.root = s.item GROUP BY ALL",
         "section_runs": f"{RUNS} SELECT collection, document_id, position, depth, array_to_string(path, ' > ') AS path, seq_start, seq_end, char_start, char_end FROM runs",
+        "section_groups": f"{PLACED} SELECT query_id, collection, document_id, position, round(score, 6) AS score, ranges, standing, rank FROM groups",
+        "documents_needed": f"""{ranges(50)}, r AS (SELECT *, rank > 1 AND char_end - char_start < 300 AS alone FROM ranges),
+          o AS (SELECT *, CASE WHEN NOT alone AND row_number() OVER (PARTITION BY query_id, collection, document_id ORDER BY alone, rank) = 1 THEN 1 ELSE 0 END AS new FROM r),
+          s AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM o)
+          SELECT DISTINCT query_id, collection, document_id FROM s WHERE seen < 5""",
+        "budget_within": f"{BUDGET} SELECT o.query_id, o.g AS group_rank, o.r AS rank, list_contains(l.kept, o.r) AS kept FROM held o JOIN last l USING (query_id)",
         "section_parents": f"{RUNS} SELECT r.collection, r.document_id, r.position, r.depth, p.position AS parent FROM runs r LEFT JOIN runs p ON p.collection = r.collection AND p.document_id = r.document_id AND p.depth = r.depth - 1 AND p.seq_start <= r.seq_start AND p.seq_end >= r.seq_end",
         "missing_terms": f"{hits(10)}, a AS (SELECT item_id AS query_id, unnest({terms('question')}) AS term FROM eval_items), h AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM hits) SELECT query_id, term FROM a ANTI JOIN h USING (query_id, term)",
         "corpus_centre": f"WITH e AS (SELECT 1 AS g, * FROM embeddings), {mean('g').replace('FROM embeddings', 'FROM e')} SELECT pos AS at_, round(x, 6) AS x, rows FROM m".replace('at_', '"at"'),
