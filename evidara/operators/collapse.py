@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.columns import collapsed, cosine, words
+from evidara.operators.frames import frame
 from evidara.settings import MAX_SCAN
 
 #: Over these, strictly, two results are alike, or one holds the other.
@@ -124,7 +125,7 @@ def folded_results(items: DataFrame, limit: int | None = None, spaces: Spaces =
             rows: list[tuple] = []
             for q, own in zip(batch.query_id, batch["own"]):
                 rows += [(q, *r) for r in fold(list(own), limit, spaces)]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FOLDED.split(", ")]).astype({"lead": "Int64", "root": "Int64", "slot": "Int64"})
+            yield frame(rows, FOLDED)
 
     return listed.mapInPandas(run, FOLDED)
 

@@ -12,12 +12,12 @@ from dataclasses import dataclass, field, replace
 from itertools import accumulate, groupby
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.columns import STOPWORDS
 from evidara.operators.collapse import LEAST_WORDS
+from evidara.operators.frames import frame
 from evidara.settings import MAX_SCAN, SearchSettings
 
 WORD = re.compile(r"[^\W_]+")
@@ -96,7 +96,7 @@ def united(parts: list[Span], how: str) -> list[Span]:
     for s in spans:
         own = [q for key in s.keys for q in whole.get(key, ())]
         s.alone, s.owed = all(q.alone for q in own), all(q.owed for q in own)
-        s.extra = {**own[-1].extra, **own[0].extra} if own else {}
+        s.extra = next((q.extra for q in own if q.extra), {})
     return spans
 
 
@@ -307,7 +307,7 @@ def judged(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: S
                 around = {key_of(c): (c, float(v)) for c, v in zip(candidates, value)}
                 found = judged_spans(spans, around, settings.min_passage_chars, settings.max_passage_grow, settings.score_fold, grows)
                 rows += [_shown(q, n, s) for n, s in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SPANS.split(", ")]).astype({"page_start": "Int64", "page_end": "Int64", "line_start": "Int64", "line_end": "Int64"})
+            yield frame(rows, SPANS)
 
     return own.join(beside, "query_id", "left").join(asked, "query_id").mapInPandas(run, SPANS)
 
@@ -327,32 +327,34 @@ def filled(kept: DataFrame, chunks: DataFrame, questions: DataFrame, settings: S
     rows = asked.join(chunks.select(*CHUNK), PLACE).groupBy("query_id").agg(F.collect_list(F.struct(*CHUNK)).alias("rows"))
     fields = ["group_rank", "rank", "collection", "document_id", "position", "s_start", "s_end", "seq_start", "seq_end", "score", "alone", "owed"]
     spans = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("spans"), F.max("cost").alias("cost"))
-    asked = questions.select("query_id", "question", (F.col("vector") if "vector" in questions.columns else F.lit(None).cast("array<float>")).alias("asked"))
+    vector = F.col("vector") if "vector" in questions.columns else F.lit(None).cast("array<float>")
+    parts = questions.groupBy("query_id").agg(F.collect_list(F.struct("question", vector.alias("vector"))).alias("parts"))
 
     def run(it):
         for batch in it:
             out = []
-            for q, spans, rows, cost, question, vector in zip(batch.query_id, batch["spans"], batch["rows"], batch.cost, batch.question, batch.asked):
+            for q, spans, rows, cost, parts in zip(batch.query_id, batch["spans"], batch["rows"], batch.cost, batch["parts"]):
+                asked = [(p["question"], p["vector"]) for p in parts]
                 at = {key_of(c): c for c in map(_row, rows)}
                 groups = []
                 for (rank, start, end, position), own in groupby(spans, key=lambda p: (p["group_rank"], p["s_start"], p["s_end"], p["position"])):
-                    parts = []
+                    held_spans = []
                     for p in own:
                         held = [at[k] for i in range(p["seq_start"], p["seq_end"] + 1) if (k := (p["collection"], p["document_id"], i)) in at]
                         if held:
-                            parts.append(Span(held, [p["score"]] + [0.0] * (len(held) - 1), p["score"], p["alone"], p["owed"], p["rank"], {"group": rank, "position": position, "rank": p["rank"], "score": p["score"]}))
-                    if parts:
-                        groups.append(Group(start, end, parts))
+                            held_spans.append(Span(held, [p["score"]] + [0.0] * (len(held) - 1), p["score"], p["alone"], p["owed"], p["rank"], {"group": rank, "position": position, "rank": p["rank"], "score": p["score"]}))
+                    if held_spans:
+                        groups.append(Group(start, end, held_spans))
                 reference = [c for g in groups for s in g.spans for c in s.chunks]
                 held = {key_of(c) for c in reference}
                 candidates = [c for k, c in sorted(at.items()) if k not in held]
-                value, _ = values(reference, candidates, [(question, vector)], settings.grow_bias)
+                value, _ = values(reference, candidates, asked, settings.grow_bias)
                 near = {key_of(c): (c, float(v)) for c, v in zip(candidates, value)}
                 before = {(s.keys[0], s.end) for g in groups for s in g.spans}
                 for g in grown(groups, near, reach, int(settings.answer_budget_chars - (cost or 0)), settings.score_fold):
                     for s in g.spans:
                         c = s.chunks
                         out.append((q, s.extra["group"], s.extra["rank"], c[0]["collection"], c[0]["document_id"], s.extra["position"], s.start, s.end, _least(c, "char_start"), _most(c, "char_end"), s.score, (s.keys[0], s.end) not in before))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in FILLED.split(", ")])
+            yield frame(out, FILLED)
 
-    return spans.join(rows, "query_id").join(asked, "query_id").mapInPandas(run, FILLED)
+    return spans.join(rows, "query_id").join(parts, "query_id").mapInPandas(run, FILLED)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import columns as C
@@ -86,6 +86,7 @@ def explore(library: Library, questions: DataFrame, settings: SearchSettings = S
 
 
 PASSAGE = ["query_id", "collection", "document_id", "position"]
+RANGE = ["query_id", "rank", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "score", "alone", "owed"]
 
 
 def _costs(rows: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def _with_probe(library: Library, questions: DataFrame, kept: DataFrame, runs: D
     seqs = kept.select("query_id", "collection", "document_id", F.explode(F.sequence("seq_start", "seq_end")).alias("seq"))
     held = scratch(seqs.join(library.chunks.select(*KEY, "text", "headings"), KEY), "held")
     texts = held.select("query_id", F.concat_ws(" ", "text", F.array_join("headings", " ")).alias("text"))
-    missing = sections.missing_terms(questions.join(kept.select("query_id").distinct(), "query_id"), texts)
+    missing = sections.missing_terms(questions.join(kept.select("query_id").distinct(), "query_id"), texts).distinct()
     best = scratch(extras.probes(missing, library.chunks, KEY, "framed", held.select("query_id", *KEY)).select("query_id", *KEY), "probes")
     spans = best.join(library.chunks.select(*KEY, "char_start", "char_end"), KEY).select("query_id", "collection", "document_id", F.col("seq").alias("seq_start"), F.col("seq").alias("seq_end"), "char_start", "char_end")
     placed = sections.section_of(spans, runs, settings.max_section_chars).select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end")
@@ -126,7 +127,11 @@ def excerpts(library: Library, questions: DataFrame, settings: SearchSettings =
     """
     rows = scratch(ranked(library, questions, settings, "section"), "ranked")
     spans = scratch(growth.judged(rows, library.chunks, questions, settings, grows=False), "spans")
-    found = _led(spans, None, settings, spaces).select("query_id", "rank", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "score", "alone", "owed")
+    return assembled(library, questions, _led(spans, None, settings, spaces).select(*RANGE), settings)
+
+
+def assembled(library: Library, questions: DataFrame, found: DataFrame, settings: SearchSettings) -> DataFrame:
+    """Excerpts, as of excerpts(), from folded ranges; questions may have several rows of one query_id, the parts of one request."""
     runs = scratch(sections.runs(library.chunks), "runs")
     placed = scratch(sections.section_of(found, runs, settings.max_section_chars), "placed")
     groups = sections.grouped(placed, settings.limit).select(*PASSAGE, F.col("rank").alias("group_rank"))
@@ -142,7 +147,7 @@ def excerpts(library: Library, questions: DataFrame, settings: SearchSettings =
     texts = sections.excerpts(quoted, under="path")
     by = quoted.groupBy(*PASSAGE).agg(F.min("group_rank").alias("group_rank"), F.max("score").alias("score"), F.count("*").cast("int").alias("spans"), F.array_join(F.flatten(F.collect_list("headings")), " ").alias("_heads"))
     texts = scratch(texts.join(by, PASSAGE), "excerpts")
-    missing = sections.missing_terms(questions, texts.select("query_id", F.concat_ws(" ", "text", "_heads").alias("text"))).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("missing_terms"))
+    missing = sections.missing_terms(questions, texts.select("query_id", F.concat_ws(" ", "text", "_heads").alias("text"))).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("missing_terms"))
     return texts.drop("_heads").join(missing, "query_id", "left").withColumn("missing_terms", F.coalesce("missing_terms", F.array().cast("array<string>")))
 
 
@@ -154,18 +159,66 @@ def report(questions: DataFrame, answered: DataFrame) -> DataFrame:
     return rows.select("query_id", F.coalesce("excerpts", F.lit(0)).alias("excerpts"), F.coalesce("_missing", F.sort_array(every)).alias("missing_terms"), F.col("excerpts").isNull().alias("uncovered"))
 
 
+def several(library: Library, requests: DataFrame, settings: SearchSettings = SearchSettings(), spaces: collapse.Spaces = collapse.Spaces()) -> tuple[DataFrame, DataFrame]:
+    """(excerpts, tags) for requests of several questions: excerpts as of excerpts() with the request as query_id, and tags(query_id, rank, aspects, aspect_scores) of the
+    ranges that they are made from.
+
+    requests(request_id, part, question[, vector]): the parts of a request, at most MAX_QUESTIONS, numbered from 0. Each part is ranked on its own; their ranges take turns,
+    near copies are folded across the parts, and a range answers the parts that picked it, or rank it or what is folded into it among their own best.
+    """
+    asked = requests.withColumn("query_id", F.col("request_id") * mapping.MAX_QUESTIONS + F.col("part"))
+    extra = ["vector"] if "vector" in requests.columns else []
+    own = asked.select("query_id", "question", *extra)
+    rows = scratch(ranked(library, own, settings, "section"), "ranked")
+    request = F.floor(F.col("query_id") / mapping.MAX_QUESTIONS).alias("request_id")
+    spans = scratch(growth.judged(rows, library.chunks, own, settings, grows=False).withColumns({"request_id": request, "part": F.pmod("query_id", F.lit(mapping.MAX_QUESTIONS)).cast("int"), "item": F.xxhash64("query_id", "rank")}), "spans")
+    ends = spans.join(library.chunks.select("collection", "document_id", F.col("seq").alias("seq_end"), "end_reason"), ["collection", "document_id", "seq_end"], "left")
+    picks = scratch(mapping.interleaved(ends, settings.limit, settings.scan("section")[0]), "picks")
+    # the ranges of one pick are one range: its chunks once each, its score the fold of theirs
+    parts = picks.join(spans.drop("request_id", "part"), "item")
+    whole = parts.groupBy("request_id", "slot").agg(
+        F.first("collection").alias("collection"), F.first("document_id").alias("document_id"), F.min("seq_start").alias("seq_start"), F.max("seq_end").alias("seq_end"), F.min("char_start").alias("char_start"),
+        F.max("char_end").alias("char_end"), F.max("score").alias("score"), F.bool_and("alone").alias("alone"), F.bool_and("owed").alias("owed"), F.first("answers").alias("answers"),
+    )
+    text = library.chunks.select("collection", "document_id", "seq", F.struct("text", "vector").alias("chunk"))
+    held = whole.select("request_id", "slot", "collection", "document_id", F.explode(F.sequence("seq_start", "seq_end")).alias("seq")).join(text, KEY)
+    chunks = held.groupBy("request_id", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
+    ranges = scratch(whole.join(chunks, ["request_id", "slot"]).withColumnsRenamed({"request_id": "query_id", "slot": "rank"}), "ranges")
+    fold = scratch(collapse.folded_results(_ranges_as_items(ranges), None, spaces), "fold")
+    root = fold.select("query_id", F.col("item").cast("int").alias("rank"), F.coalesce("root", "item").cast("int").alias("lead"))
+    held = ranges.join(root, ["query_id", "rank"])
+    aspects = held.groupBy("query_id", "lead").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("answers")))).alias("aspects"))
+    scored = rows.select(F.floor(F.col("query_id") / mapping.MAX_QUESTIONS).alias("query_id"), F.pmod("query_id", F.lit(mapping.MAX_QUESTIONS)).cast("int").alias("part"), *KEY, F.col("score").alias("s"))
+    at = held.select("query_id", "lead", "collection", "document_id", F.explode(F.sequence("seq_start", "seq_end")).alias("seq")).join(scored, ["query_id", *KEY])
+    best = at.groupBy("query_id", "lead", "part").agg(F.max("s").alias("s")).groupBy("query_id", "lead").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("part", "s")))).alias("aspect_scores"))
+    led = _led(ranges, None, settings, spaces)
+    order = fold.where("slot is not null").select("query_id", F.col("item").cast("int").alias("lead"), F.col("slot").alias("rank"))
+    tags = order.join(aspects, ["query_id", "lead"]).join(best, ["query_id", "lead"], "left").drop("lead")
+    joined = asked.select(F.col("request_id").alias("query_id"), "question", *extra)
+    return assembled(library, joined, led.select(*RANGE), settings), tags
+
+
 def section_map(library: Library, questions: DataFrame, settings: SearchSettings = SearchSettings(limit=15)) -> DataFrame:
-    """(query_id, collection, document_id, position, path, score, pick, lead, gain): sections that cover what was found, and those related to them."""
-    rows = scratch(ranked(library, questions, settings, "section").where("vector is not null"), "ranked")
-    found = rows.select("query_id", "collection", "document_id", F.col("seq").alias("seq_start"), "score", "vector")
+    """(query_id, collection, document_id, position, path, s_start, s_end, pick, lead, similarity, score, chunks, coverage, capped): sections that cover what was found, and those
+    related to them. A section that lies in two collections counts once, by its span of the document."""
+    rows = scratch(ranked(library, questions, settings, "section"), "ranked")
+    found = rows.select("query_id", "rank", "collection", "document_id", F.col("seq").alias("seq_start"), "score", "vector", "text")
     placed = sections.section_of(found, sections.runs(library.chunks), settings.max_section_chars)
-    centre = metadata.mean_vector(library.chunks.withColumn("_all", F.lit(1)), ["_all"], "vector").select(F.col("vector").alias("centre"))
-    centred = placed.crossJoin(F.broadcast(centre)).withColumn("at", C.unit(F.zip_with(C.unit("vector"), "centre", lambda x, y: x - y)))
-    place = ["query_id", "collection", "document_id", "position"]
-    by = centred.groupBy(*place, "path").agg(C.score_fold(settings.score_fold, "score").alias("score"), F.max_by("at", F.struct("score", "seq_start")).alias("vector"))
-    items = scratch(by.withColumn("item", F.xxhash64("collection", "document_id", "position")), "items")
-    cover = mapping.covered(items.select("query_id", "item", "document_id", "score", "vector"), settings.limit)
-    return items.drop("vector").join(cover, ["query_id", "item"]).drop("item")
+    centre = metadata.mean_vector(library.chunks.where("vector is not null").withColumn("_all", F.lit(1)), ["_all"], "vector").select(F.col("vector").alias("centre"))
+    centred = placed.crossJoin(F.broadcast(centre)).withColumn("vector", C.unit(F.zip_with(C.unit("vector"), "centre", lambda x, y: x - y)))  # one row
+    items = scratch(centred.withColumn("item", F.xxhash64("document_id", "s_char_start", "s_char_end")), "items")
+    cover = mapping.covered(items.select("query_id", "rank", "item", "document_id", "score", "vector", "text"), settings.limit, settings.score_fold)
+    first = items.groupBy("query_id", "item").agg(F.min_by(F.struct("collection", "document_id", "position", "path", "s_start", "s_end"), "rank").alias("x")).select("query_id", "item", "x.*")
+    return first.join(cover, ["query_id", "item"])
+
+
+def map_documents(library: Library, questions: DataFrame, mapped: DataFrame, settings: SearchSettings = SearchSettings(limit=15)) -> DataFrame:
+    """(query_id, rank, document_id, name, score, hits, sections, collections, description): the documents that a map lists."""
+    rows = ranked(library, questions, settings, "section")
+    by = passages.top_documents(rows, settings.score_fold, k=settings.scan("section")[0])
+    listed = mapping.documents_listed(by, mapped.where("pick is not null").select("query_id", "document_id"))
+    about = library.documents.groupBy("document_id").agg(F.max("description").alias("description"))
+    return mapping.memberships(listed, library.chunks.select("collection", "document_id")).join(about, "document_id", "left").withColumn("description", F.coalesce("description", F.lit("")))
 
 
 def log_rows(questions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,8 +258,32 @@ def answer_report(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_sections(spark: SparkSession, d: str) -> DataFrame:
     found = section_map(Library.of(spark, d), _with_vectors(spark, d))
-    return found.withColumns({"score": F.round("score", 6), "gain": F.round("gain", 6)})
+    return found.withColumns({c: F.round(c, 6) for c in ("similarity", "score", "coverage")})
+
+
+def answer_map_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the maps of logged questions list."""
+    library, asked = Library.of(spark, d), _with_vectors(spark, d)
+    return map_documents(library, asked, section_map(library, asked)).withColumn("score", F.round("score", 6))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation questions of one shelf, three at a time, as one request."""
+    w = Window.partitionBy("shelf").orderBy("item_id")
+    rows = load(spark, d, "eval_items").where("question is not null").withColumn("n", F.row_number().over(w) - 1)
+    return rows.select(F.floor(F.pmod(F.crc32("shelf"), F.lit(1000)) * 1000 + F.col("n") / 3).alias("request_id"), F.pmod("n", F.lit(3)).cast("int").alias("part"), "question")
+
+
+def answer_several(spark: SparkSession, d: str) -> DataFrame:
+    """Excerpts for requests of three questions each."""
+    return several(Library.of(spark, d), _requests(spark, d))[0].withColumn("score", F.round("score", 6))
+
+
+def answer_aspects(spark: SparkSession, d: str) -> DataFrame:
+    """Which questions of a request each of its ranges answers."""
+    tags = several(Library.of(spark, d), _requests(spark, d))[1]
+    return tags.select("query_id", "rank", F.array_join(F.transform("aspects", lambda x: x.cast("string")), ",").alias("aspects"), F.round(F.array_max(F.map_values("aspect_scores")), 6).alias("best"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (answer_chunks, answer_passages, answer_excerpts, answer_report, answer_sections)}
+    return {f.__name__: f for f in (answer_chunks, answer_passages, answer_excerpts, answer_report, answer_sections, answer_map_documents, answer_several, answer_aspects)}

@@ -403,25 +403,56 @@ def nearest_documents(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(pairs.select("a", "b", F.round(C.cosine("va", "vb"), 4).alias("cosine")), 5, ["a"], F.desc("cosine"), "b")
 
 
+def _mapped(spark: SparkSession, d: str, worded: bool = False) -> DataFrame:
+    rows = _placed_hits(spark, d)
+    centre = metadata.mean_vector(corpus(spark, d).where("vector is not null").withColumn("all", F.lit(1)), ["all"], "vector").select(F.col("vector").alias("centre"))
+    centred = C.unit(F.zip_with(C.unit("vector"), "centre", lambda x, y: x - y))
+    vector = F.lit(None).cast("array<double>") if worded else centred
+    return mapping.covered(rows.crossJoin(F.broadcast(centre)).select("query_id", "rank", "item", "document_id", "score", vector.alias("vector"), "text"), 8)  # one row
+
+
+def _placed_hits(spark: SparkSession, d: str) -> DataFrame:
+    own = hits(spark, d, 50).select("query_id", "rank", "collection", "document_id", F.col("seq").alias("seq_start"), "score", "vector", "text")
+    placed = sections.section_of(own.where("vector is not null"), sections.runs(corpus(spark, d)), 12_000)
+    return placed.withColumn("item", F.xxhash64("document_id", "s_char_start", "s_char_end"))
+
+
 @query
 def facility_location_map(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d, 50).where("vector is not null")
-    return rounded(mapping.covered(rows.select("query_id", F.col("rank").cast("long").alias("item"), "document_id", "score", C.unit("vector").alias("vector")), 8), "gain")
+    return rounded(_mapped(spark, d).where("pick is not null").select("query_id", "item", "pick", "score", "chunks", "coverage", "capped"), "score", "coverage")
 
 
 @query
 def related_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d, 50).where("vector is not null")
-    cover = mapping.covered(rows.select("query_id", F.col("rank").cast("long").alias("item"), "document_id", "score", C.unit("vector").alias("vector")), 8)
-    return rounded(mapping.related(cover).select("query_id", "item", "lead", "n", "gain"), "gain")
+    return rounded(mapping.related(_mapped(spark, d)).select("query_id", "item", "lead", "n", "similarity"), "similarity")
+
+
+@query
+def map_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The map of chunks without vectors: sections by score, repeats by words."""
+    return rounded(_mapped(spark, d, worded=True).select("query_id", "item", "pick", "lead", "similarity", "score", "capped"), "similarity", "score")
+
+
+@query
+def map_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The sections that the hits of each question fall in, with the rank of the first and the score of all."""
+    rows = _placed_hits(spark, d)
+    return rounded(rows.groupBy("query_id", "document_id", "s_char_start", "s_char_end").agg(F.min("rank").alias("first"), F.count("*").alias("chunks"), F.sum("score").alias("score")), "score")
+
+
+@query
+def validated_questions(spark: SparkSession, d: str) -> DataFrame:
+    searches = load(spark, d, "searches").select(F.col("id").alias("search_id"), "context")
+    asked_ = load(spark, d, "search_questions").groupBy("search_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "question"))), lambda x: x["question"]).alias("questions"))
+    found = mapping.validated(asked_.join(searches, "search_id").withColumnRenamed("search_id", "request_id"))
+    return found.select("request_id", F.array_join("parts", "|").alias("parts"), "context", "problem", mapping.depth(10, F.greatest(F.size("parts"), F.lit(1))).alias("depth"))
 
 
 @query
 def interleave_questions(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d, 10)
-    key = F.array(F.xxhash64(*KEY))
-    parts = rows.select(F.floor(F.col("query_id") / 3).alias("request_id"), (F.col("query_id") % 3).cast("int").alias("part"), "rank", F.xxhash64(*KEY).alias("item"), key.alias("keys"))
-    return mapping.interleaved(parts, 12)
+    found = passages.ranges(hits(spark, d, 10))
+    parts = found.select(F.floor(F.col("query_id") / 3).alias("request_id"), (F.col("query_id") % 3).cast("int").alias("part"), "rank", F.xxhash64("query_id", "rank").alias("item"), "collection", "document_id", "seq_start", "seq_end", "end_reason")
+    return mapping.interleaved(parts, 12).withColumn("answers", F.array_join(F.transform("answers", lambda x: x.cast("string")), ","))
 
 
 # --- the log

@@ -251,6 +251,21 @@ SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total
           s AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM o)
           SELECT DISTINCT query_id, collection, document_id FROM s WHERE seen < 5""",
         "budget_within": f"{BUDGET} SELECT o.query_id, o.g AS group_rank, o.r AS rank, list_contains(l.kept, o.r) AS kept FROM held o JOIN last l USING (query_id)",
+        "map_candidates": f"""{RUNS}, {hits(50).split('WITH ', 1)[1].replace(CORPUS + ',', '', 1)},
+          ends AS (SELECT collection, document_id, min(seq_start) AS d_start, max(seq_end) AS d_end FROM runs GROUP BY 1, 2),
+          asked_at AS (SELECT h.query_id, h.rank, h.score, h.document_id, s.depth, s.char_start, s.char_end, max(s.depth) OVER w AS deepest,
+            s.char_end - s.char_start <= 12000 AND s.depth > 0 AND NOT (s.seq_start = d_start AND s.seq_end = d_end) AS fits
+            FROM hits h JOIN runs s ON s.collection = h.collection AND s.document_id = h.document_id AND h.seq BETWEEN s.seq_start AND s.seq_end
+            JOIN ends e ON e.collection = h.collection AND e.document_id = h.document_id WHERE h.vector IS NOT NULL WINDOW w AS (PARTITION BY h.query_id, h.rank)),
+          placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY CASE WHEN fits AND depth < deepest THEN 0 ELSE 1 END, CASE WHEN fits AND depth < deepest THEN depth ELSE -depth END) AS nth FROM asked_at) WHERE nth = 1)
+          SELECT query_id, document_id, char_start AS s_char_start, char_end AS s_char_end, min(rank) AS first, count(*) AS chunks, round(sum(score), 6) AS score FROM placed GROUP BY ALL""",
+        "validated_questions": """WITH q AS (SELECT search_id, list(question ORDER BY position, question) FILTER (question IS NOT NULL) AS qs FROM search_questions GROUP BY 1),
+          t AS (SELECT search_id, list_filter(list_transform(coalesce(qs, []), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS ts FROM q),
+          p AS (SELECT search_id, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS parts FROM t),
+          c AS (SELECT p.*, CASE WHEN length(trim(context, ' ')) > 0 THEN trim(context, ' ') END AS context FROM p JOIN searches s ON s.id = p.search_id)
+          SELECT search_id AS request_id, array_to_string(parts, '|') AS parts, context, CASE WHEN len(parts) < 1 OR len(parts) > 5 THEN 'number of questions'
+            WHEN list_max(list_transform(parts, lambda x: length(x))) > 500 THEN 'length of a question' WHEN length(context) > 200 THEN 'length of the context' END AS problem,
+            CASE WHEN len(parts) <= 10 THEN ceil(10 / greatest(1, len(parts)))::INT END AS depth FROM c""",
         "section_parents": f"{RUNS} SELECT r.collection, r.document_id, r.position, r.depth, p.position AS parent FROM runs r LEFT JOIN runs p ON p.collection = r.collection AND p.document_id = r.document_id AND p.depth = r.depth - 1 AND p.seq_start <= r.seq_start AND p.seq_end >= r.seq_end",
         "missing_terms": f"{hits(10)}, a AS (SELECT item_id AS query_id, unnest({terms('question')}) AS term FROM eval_items), h AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM hits) SELECT query_id, term FROM a ANTI JOIN h USING (query_id, term)",
         "corpus_centre": f"WITH e AS (SELECT 1 AS g, * FROM embeddings), {mean('g').replace('FROM embeddings', 'FROM e')} SELECT pos AS at_, round(x, 6) AS x, rows FROM m".replace('at_', '"at"'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.operators import collapse, growth, sections
+from evidara.operators import collapse, growth, mapping, sections
 
 RETRY = "a background job repeats a failed call so that the call must be safe to repeat"
 BACKOFF = "wait longer between the tries and add some noise or clients come back at once"
@@ -215,3 +215,86 @@ def test_empty_and_very_short_inputs(spark):
     ranges = spark.createDataFrame([(1, "c", f"d{n}", n, n % 2 == 0) for n in range(1, 8)], "query_id long, collection string, document_id string, rank int, alone boolean")
     assert {r.document_id for r in sections.documents_needed(ranges, 2).collect()} == {"d1", "d2", "d3"}
     assert sections.documents_needed(ranges.where(F.lit(False)), 2).count() == 0
+
+
+# --- maps and turns
+
+
+def hit(n, item, document, score, vector=None, text=""):
+    return {"rank": n, "item": item, "document_id": document, "score": score, "vector": vector, "text": text}
+
+
+def picks_of(rows):
+    return [r[0] for r in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1])]
+
+
+def test_a_map_covers_a_second_topic_before_a_near_copy():
+    rows = [hit(1, 7, "a", 3.0, [1.0, 0.0]), hit(2, 8, "b", 2.5, [0.99, 0.1]), hit(3, 9, "d", 1.0, [0.0, 1.0]), hit(4, 7, "a", 0.5, [0.9, 0.1])]
+    found = mapping.mapped(rows, 2, "sum")
+    assert picks_of(found) == [7, 9]
+    under = {r[0]: (r[2], round(r[3], 3)) for r in found if r[1] is None}
+    assert under == {8: (7, 1.0)}  # by the nearest of its chunks
+    first, second = (r for r in found if r[1] is not None)
+    assert first[4] == 3.5 and first[5] == 2 and 0 < first[6] < second[6] <= 1
+
+
+def test_a_map_stops_where_nothing_new_is_covered():
+    rows = [hit(1, 1, "a", 2.0, [1.0, 0.0]), hit(2, 2, "b", 1.0, [1.0, 0.0])]
+    assert picks_of(mapping.mapped(rows, 5, "sum")) == [1]
+    assert picks_of(mapping.mapped([hit(1, 1, "a", 0.0, [0.0, 0.0]), hit(2, 2, "b", 0.0, [0.0, 1.0])], 5, "sum")) == [1, 2]
+
+
+def test_a_document_gives_way_only_to_a_section_that_covers_enough():
+    e = [[float(i == j) for j in range(4)] for i in range(4)]
+    rows = [hit(n + 1, n, "a", 4.0 - n, e[n]) for n in range(3)] + [hit(4, 3, "b", 0.6, e[3])]
+    assert picks_of(mapping.mapped(rows, 4, "sum")) == [0, 1, 2, 3]
+    rows[3]["score"] = 1.2
+    found = mapping.mapped(rows, 4, "sum")
+    assert picks_of(found) == [0, 1, 3, 2] and [r[7] for r in found if r[1] is not None] == [False, False, False, True]
+
+
+def test_a_map_without_vectors_goes_by_score_and_words():
+    texts = [RETRY, BACKOFF, RETRY, "third matter that has nothing in common with what else is said here"]
+    rows = [hit(n + 1, n, "a" if n < 3 else "b", 4.0 - n, None, t) for n, t in enumerate(texts)]
+    found = mapping.mapped(rows, 4, "sum")
+    assert picks_of(found) == [0, 1, 3] and {r[0]: r[2] for r in found if r[1] is None} == {2: 0}
+    rows[2]["text"] = "a fourth thing in the same document that the cap holds back until the others are through"
+    assert picks_of(mapping.mapped(rows, 4, "sum")) == [0, 1, 3, 2]
+    assert picks_of(mapping.mapped(rows, 3, "sum")) == [0, 1, 3]
+
+
+def ranged(part, rank, document, start, end=None, reason="block"):
+    return {"part": part, "rank": rank, "item": 100 * part + rank, "collection": "c", "document_id": document, "seq_start": start, "seq_end": end or start, "end_reason": reason}
+
+
+def turns(rows, limit, cap=50):
+    return [([x["item"] for x in p.taken], sorted(p.parts)) for p in mapping.take_turns(rows, limit, cap)]
+
+
+def test_parts_take_turns():
+    rows = [ranged(0, 1, "a", 1), ranged(0, 2, "b", 1), ranged(1, 1, "d", 1), ranged(1, 2, "e", 1)]
+    assert turns(rows, 2) == [([1], [0]), ([101], [1]), ([2], [0]), ([102], [1])]
+    assert turns(rows, 2, cap=3) == [([1], [0]), ([101], [1]), ([2], [0])]
+    assert turns([], 2) == []
+
+
+def test_a_part_that_is_answered_already_waits():
+    rows = [ranged(0, 1, "a", 1), ranged(0, 2, "b", 1), ranged(0, 3, "f", 1), ranged(1, 1, "a", 1), ranged(1, 2, "d", 1)]
+    # the second part's best was picked for the first: its first turn is past, and the next goes into joining that pick
+    assert turns(rows, 4) == [([1, 101], [0, 1]), ([2], [0]), ([3], [0]), ([102], [1])]
+
+
+def test_neighbours_join_and_bridge_picks():
+    rows = [ranged(0, 1, "a", 1), ranged(0, 2, "a", 3), ranged(1, 1, "z", 1), ranged(1, 2, "a", 2)]
+    assert turns(rows, 2) == [([1, 2, 102], [0, 1]), ([101], [1])]
+    closed = [ranged(0, 1, "a", 1, reason="heading"), ranged(1, 1, "a", 2)]
+    assert turns(closed, 2) == [([1], [0]), ([101], [1])]
+
+
+def test_questions_are_validated(spark):
+    rows = [(1, [" a ", "b", "a", " "], " about x "), (2, ["", " "], None), (3, list("abcdef"), ""), (4, ["x" * 501], None), (5, ["x"], "c" * 201), (6, None, None)]
+    found = {r.request_id: r for r in mapping.validated(spark.createDataFrame(rows, "request_id long, questions array<string>, context string")).collect()}
+    assert found[1].parts == ["a", "b"] and found[1].context == "about x" and found[1].problem is None
+    assert [found[i].problem is None for i in range(2, 7)] == [False] * 5 and found[3].context is None
+    deep = spark.range(1).select(mapping.depth(10, F.lit(3)).alias("a"), mapping.depth(2, F.lit(3)).alias("b")).first()
+    assert (deep.a, deep.b) == (4, None)
