@@ -138,51 +138,57 @@ class Piece:
     block: int
     kind: str
     page: int | None
+    continued: bool = False
 
 
 @dataclass
 class Cut:
+    """Pieces of one chunk. Reasons: edge (of the document), heading, paragraph (a blank line), length_block (full, between blocks of one
+    paragraph), length_sentence (full, between sentences), length_oversize (within what is longer than a chunk)."""
+
     pieces: list[Piece]
     headings: list[str]
-    start_reason: str = "block"
-    end_reason: str = "block"
+    start_reason: str = "edge"
+    end_reason: str = "edge"
 
 
 def cut(text: str, settings: ChunkSettings) -> list[Cut]:
-    """Groups of pieces that become chunks, with their heading paths and reasons."""
+    """Groups of pieces that become chunks, with their heading paths and reasons. A chunk's frame counts toward its size."""
     found = blocks(text, settings.chunker == "markdown")
-    size, short = settings.chunk_size, settings.chunk_size * settings.merge_below // 100
     open_: list[tuple[int, str]] = []
-    sections: list[tuple[list[str], list[Piece]]] = [([], [])]
+    sections: list[tuple[list[str], int, list[Piece]]] = [([], settings.chunk_size, [])]
     for n, b in enumerate(found):
         if b.kind == "heading":
             # a heading closes those of its level and deeper
             open_ = [h for h in open_ if h[0] < b.level] + [(b.level, b.title)]
             path = [t for _, t in open_]
-            if sections[-1][1]:
-                sections.append((path, []))
+            room = settings.chunk_size - (frame_size(frame_of(path, settings.chunk_size)) if settings.frame else 0)
+            if sections[-1][2]:
+                sections.append((path, room, []))
             else:
-                sections[-1] = (path, [])
-        elif b.kind in ("paragraph", "item", "quote"):
-            for a, z in sentences(text, b.start, b.end):
-                sections[-1][1].extend(Piece(x, y, n, b.kind, b.page) for x, y in fitted(text, a, z, size))
+                sections[-1] = (path, room, [])
         elif b.kind != "rule":
-            sections[-1][1].extend(Piece(x, y, n, b.kind, b.page) for x, y in fitted(text, b.start, b.end, size))
+            _, room, pieces = sections[-1]
+            prose = b.kind in ("paragraph", "item", "quote")
+            for a, z in sentences(text, b.start, b.end) if prose else [(b.start, b.end)]:
+                pieces.extend(Piece(x, y, n, b.kind, b.page, k > 0) for k, (x, y) in enumerate(fitted(text, a, z, room)))
     out: list[Cut] = []
-    for path, pieces in sections:
+    for path, room, pieces in sections:
         cuts: list[Cut] = []
+        short = room * settings.merge_below // 100
         for p in pieces:
             here = cuts[-1] if cuts else None
-            if here is not None and p.end - here.pieces[0].start <= size:
-                grown = here.pieces[-1].end - here.pieces[0].start
-                # a new block starts a new chunk once the one before is long enough
-                if p.block == here.pieces[-1].block or grown < short or _kin(p, here.pieces[-1]):
+            before = here.pieces[-1] if here else None
+            whole = before is not None and _one_paragraph(text, before, p)
+            if here is not None and p.end - here.pieces[0].start <= room:
+                # a new paragraph starts a new chunk once the one before is long enough
+                if whole or before.end - here.pieces[0].start < short:
                     here.pieces.append(p)
                     continue
             if here is not None:
-                here.end_reason = "block" if p.block != here.pieces[-1].block else "sentence"
+                here.end_reason = "length_oversize" if p.continued else "length_sentence" if p.block == before.block else "length_block" if whole else "paragraph"
             cuts.append(Cut([p], path, start_reason=here.end_reason if here else "heading"))
-        if len(cuts) > 1 and cuts[-1].pieces[-1].end - cuts[-1].pieces[0].start < short and cuts[-1].pieces[-1].end - cuts[-2].pieces[0].start <= size:
+        if len(cuts) > 1 and cuts[-1].pieces[-1].end - cuts[-1].pieces[0].start < short and cuts[-1].pieces[-1].end - cuts[-2].pieces[0].start <= room:
             cuts[-2].pieces += cuts.pop().pieces
         if cuts:
             cuts[-1].end_reason = "heading"
@@ -192,21 +198,33 @@ def cut(text: str, settings: ChunkSettings) -> list[Cut]:
     for before, after in zip(out, out[1:]):
         after.start_reason = before.end_reason
     if out:
-        out[0].start_reason = out[-1].end_reason = "document"
+        out[0].start_reason = "heading" if out[0].headings else "edge"
+        out[-1].end_reason = "edge"
     return out
 
 
+def _one_paragraph(text: str, a: Piece, b: Piece) -> bool:
+    return a.block == b.block or _kin(b, a) or not re.search(r"\n[ \t\r]*\n", text[a.end : b.start])
+
+
 def _kin(a: Piece, b: Piece) -> bool:
     """Items of one list are one paragraph."""
     return a.kind == b.kind == "item" and a.block - b.block == 1
 
 
 def frame_of(headings: list[str], size: int) -> list[str]:
-    """The heading path within half a chunk: outermost headings go first, the last is cut."""
+    """The heading path within half a chunk: outermost headings go first, and a last one that is still too long is cut."""
     own, room = list(headings), size // 2
-    while len(own) > 1 and len(" > ".join(own)) > room:
+    while len(own) > 1 and frame_size(own) > room:
         own.pop(0)
-    return [own[0][:room]] if own and len(" > ".join(own)) > room else own
+    if own and frame_size(own) > room:
+        own = [x for x in [own[0][: max(0, room - frame_size([""]))].rstrip()] if x]
+    return own
+
+
+def frame_size(frame: list[str]) -> int:
+    """Characters that a frame takes of a chunk, with the blank line after it."""
+    return len(" > ".join(frame)) + 2 if frame else 0
 
 
 CHUNK = pa.schema(

@@ -2,59 +2,177 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.columns import variant, words
+from evidara.functions.stem import stem
+from evidara.session import scratch
 
 #: Descriptors of a class, and candidates that they are picked from.
 PICKED, CANDIDATES = 6, 20
 #: Weight of relevance against likeness in a diverse pick.
 RELEVANCE = 0.7
 NEIGHBOURS, JUDGED = 32, 0.93
+#: Uses of a term in one class before it describes it, where the class has words enough.
+LEAST_USES, LEAST_LETTERS = 2, 3
+
+# English function words, and modal verbs and fillers that say nothing about a topic.
+FILLERS = """
+a about above after again against all also am an and any are aren't as at be because been
+before being below between both but by can can't cannot could couldn't did didn't do does
+doesn't doing don't down during each either else etc even ever every few for from further get
+gets got had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers
+herself him himself his how how's however i i'd i'll i'm i've if in into is isn't it it's its
+itself just let's like may me might more most much must mustn't my myself neither no nor not
+now of off often on once one only or other ought our ours ourselves out over own per rather
+same shall shan't she she'd she'll she's should shouldn't since so some such than that that's
+the their theirs them themselves then there there's these they they'd they'll they're they've
+this those though through thus to too two under until up upon us use used uses using very via
+was wasn't we we'd we'll we're we've well were weren't what what's when when's where where's
+whether which while who who's whom whose why why's will with within without won't would
+wouldn't yes yet you you'd you'll you're you've your yours yourself yourselves
+""".split()
+# What ends a phrase, what a word is, and a word parted at a line's end.
+BREAK = re.compile(r"""[.,;:!?()\[\]{}<>"|=/\\–—“”]|\n\s*\n""")
+PHRASED = re.compile(r"\w+(?:['’]\w+)*")
+PARTED = re.compile(r"(\w)-[ \t]*\n[ \t]*(\w)")
+STOPPED = frozenset(FILLERS)
+
+
+def phrases(text: str, stemmed: bool = True) -> Iterator[tuple[str, str]]:
+    """(term, form): the words of a text that may describe it, and each two of them that stand next to each other within a clause. A term is of
+    stems, a form as it is written."""
+    for clause in BREAK.split(PARTED.sub(r"\1\2", text or "")):
+        before = None
+        for form in PHRASED.findall(clause):
+            low = form.lower().replace("’", "'")
+            if len(low) < LEAST_LETTERS or low in STOPPED or not any(map(str.isalpha, low)):
+                before = None
+                continue
+            own = (stem(low) if stemmed else low, form)
+            yield own
+            if before:
+                yield f"{before[0]} {own[0]}", f"{before[1]} {own[1]}"
+            before = own
+
+
+def term_forms(rows: DataFrame, key: list[str], text: str, stemmed: bool = True) -> DataFrame:
+    """(key, term, form, tf): uses of each term in each class, by the form that it is written in. Null texts have none."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n: Counter = Counter()
+            for *k, t in zip(*(c.to_pylist() for c in b.columns)):
+                n.update((*k, *p) for p in phrases(t, stemmed))
+            if n:
+                columns = [*zip(*n), tuple(n.values())]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*(b.schema.field(i).type for i in range(len(key))), pa.string(), pa.string(), pa.int64()])], names=[*key, "term", "form", "tf"])
+
+    found = rows.select(*key, F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", term string, form string, tf long")
+    return found.groupBy(*key, "term", "form").agg(F.sum("tf").alias("tf"))
+
+
+def class_terms(rows: DataFrame, key: list[str], text: str, stemmed: bool = True) -> DataFrame:
+    """(key, term, tf): uses of each term in each class."""
+    return term_forms(rows, key, text, stemmed).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
+
+
+def shown(forms: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, form): the form that each term is written in most often, ties to the first by name."""
+    total = forms.groupBy(*key, "term", "form").agg(F.sum("tf").alias("n"))
+    return total.groupBy(*key, "term").agg(F.min_by("form", F.struct(-F.col("n"), "form")).alias("form"))
+
+
+def section_terms(terms: DataFrame, runs: DataFrame) -> DataFrame:
+    """(collection, document_id, position, depth, term, tf): the terms of chunks(collection, document_id, seq, term, tf) summed up over every run that holds them."""
+    own = runs.select("collection", "document_id", "position", "depth", "seq_start", "seq_end")
+    met = terms.join(own, ["collection", "document_id"]).where("seq between seq_start and seq_end")
+    return met.groupBy("collection", "document_id", "position", "depth", "term").agg(F.sum("tf").alias("tf"))
+
+
+def ctfidf(terms: DataFrame, key: list[str], depth: list[str] | None = None, widespread: float | None = 0.5) -> DataFrame:
+    """(depth, key, term, tf, weight): sqrt(tf / terms of the class) * ln(1 + (N - n + 0.5) / (n + 0.5)) among the classes of a depth.
 
+    Terms that more than `widespread` of the classes use are left out where there are two classes or more; none if it is null.
+    """
+    rows = _spread(terms, key, depth or [])
+    if widespread is not None:
+        rows = rows.where(f"classes < 2 or n <= {widespread} * classes")
+    return rows.select(*(depth or []), *key, "term", "tf", "weight")
 
-def class_terms(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, term, tf): uses of words of three letters or more, and of neighbours among them, in each class."""
-    w = F.filter(words(text), lambda x: F.length(x) >= 3)
-    own = rows.select(*key, w.alias("w")).where("size(w) > 0")
-    pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).otherwise(F.array().cast("array<string>"))
-    return own.select(*key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
+def _spread(terms: DataFrame, key: list[str], depth: list[str]) -> DataFrame:
+    sizes = terms.groupBy(*depth, *key).agg(F.sum("tf").alias("size"))
+    classes = sizes.groupBy(*depth).agg(F.count("*").alias("classes"))
+    spread = terms.groupBy(*depth, "term").agg(F.count("*").alias("n"))
+    spread = spread.join(classes, depth) if depth else spread.crossJoin(F.broadcast(classes))  # one row
+    rows = terms.join(spread, [*depth, "term"]).join(sizes, [*depth, *key])
+    return rows.withColumn("weight", F.sqrt(F.col("tf") / F.col("size")) * F.log1p((F.col("classes") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
 
-def ctfidf(terms: DataFrame, key: list[str], depth: list[str] | None = None, widespread: float = 0.5) -> DataFrame:
-    """(depth, key, term, tf, weight): sqrt(tf / terms of the class) * ln(1 + (N - n + 0.5) / (n + 0.5)) among the classes of a depth.
 
-    Terms that more than `widespread` of the classes use are left out where there are two classes or more.
+def candidates(terms: DataFrame, key: list[str], depth: list[str] | None = None, enough: int = PICKED, widespread: float = 0.5) -> DataFrame:
+    """(depth, key, term, tf, weight): what may describe a class: terms that it uses LEAST_USES times or more and that are not widespread.
+
+    A class with fewer than `enough` single words of that kind keeps all terms that are not widespread, and one of which nothing is left keeps all.
     """
     depth = depth or []
-    sizes = terms.groupBy(*depth, *key).agg(F.sum("tf").alias("size"))
-    classes = sizes.groupBy(*depth).agg(F.count("*").alias("classes"))
-    spread = terms.groupBy(*depth, "term").agg(F.count("*").alias("n"))
-    spread = spread.join(F.broadcast(classes), depth) if depth else spread.crossJoin(F.broadcast(classes))
-    telling = spread.where(f"classes < 2 or n <= {widespread} * classes")
-    rows = terms.join(telling, [*depth, "term"]).join(sizes, [*depth, *key])
-    weight = F.sqrt(F.col("tf") / F.col("size")) * F.log1p((F.col("classes") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    return rows.select(*depth, *key, "term", "tf", weight.alias("weight"))
+    own = Window.partitionBy(*depth, *key)
+    rows = _spread(terms, key, depth).withColumn("_fine", (F.col("classes") < 2) | (F.col("n") <= widespread * F.col("classes")))
+    often = F.col("_fine") & (F.col("tf") >= LEAST_USES)
+    rows = rows.withColumns({"_often": often, "_words": F.sum((often & ~F.contains("term", F.lit(" "))).cast("int")).over(own), "_any": F.max(F.col("_fine").cast("int")).over(own)})
+    kept = F.when(F.col("_any") == 0, F.lit(True)).when(F.col("_words") >= enough, F.col("_often")).otherwise(F.col("_fine"))
+    return rows.where(kept).select(*depth, *key, "term", "tf", "weight")
+
 
+def picked(weights: DataFrame, key: list[str], k: int = PICKED, first: int = 64) -> DataFrame:
+    """(key, descriptors): the k heaviest terms of each class, without those whose words hold or are held by a kept one's.
 
-def picked(weights: DataFrame, key: list[str], k: int = PICKED, candidates: int = CANDIDATES) -> DataFrame:
-    """(key, descriptors): the heaviest terms of each class, without those whose words hold or are held by a kept one's."""
+    The heaviest `first` terms are looked through; where they give fewer than k and there are more, eight times as many, and so on to the last.
+    """
     w = Window.partitionBy(*key).orderBy(F.round("weight", 12).desc(), "term")
-    best = weights.withColumn("n", F.row_number().over(w)).where(F.col("n") <= candidates)
-    listed = best.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("terms"))
-    # a fold over at most `candidates` terms, in the JVM
+
+    # a fold in the JVM over as many terms as are looked through
     def clash(kept, t):
         ws = F.split(t, " ")
         return F.exists(kept, lambda x: (F.size(F.array_except(F.split(x, " "), ws)) == 0) | (F.size(F.array_except(ws, F.split(x, " "))) == 0))
 
-    kept = F.aggregate("terms", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) >= k) | clash(acc, t), acc).otherwise(F.concat(acc, F.array(t))))
-    return listed.select(*key, kept.alias("descriptors"))
+    left, result = scratch(weights.withColumn("_n", F.row_number().over(w)).select(*key, "_n", "term"), "ordered"), None
+    while True:
+        listed = left.where(F.col("_n") <= first).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]).alias("terms"))
+        kept = F.aggregate("terms", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) >= k) | clash(acc, t), acc).otherwise(F.concat(acc, F.array(t))))
+        found = scratch(listed.select(*key, kept.alias("descriptors")), "picked")
+        more = found.where(F.size("descriptors") < k).select(*key).join(left.where(F.col("_n") == first + 1).select(*key), key, "left_semi")
+        if not more.limit(1).count():
+            return found if result is None else result.unionByName(found)
+        done = found.join(more, key, "left_anti")
+        result = done if result is None else result.unionByName(done)
+        left, first = left.join(scratch(more, "more"), key, "left_semi"), first * 8
+
+
+def described(chunks: DataFrame, runs: DataFrame, text: str = "text", stemmed: bool = True, k: int = PICKED) -> DataFrame:
+    """(collection, document_id, position, descriptors): what sets each section apart from the others of its depth in its document, as written there."""
+    place = ["collection", "document_id"]
+    forms = scratch(term_forms(chunks, [*place, "seq"], text, stemmed), "forms")
+    terms = scratch(section_terms(forms.groupBy(*place, "seq", "term").agg(F.sum("tf").alias("tf")), runs), "terms")
+    best = picked(candidates(terms, ["position"], [*place, "depth"], k).drop("depth"), [*place, "position"], k)
+    each = best.select(*place, "position", F.posexplode("descriptors").alias("at", "term")).join(shown(forms, place), [*place, "term"])
+    return each.groupBy(*place, "position").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]).alias("descriptors"))
+
+
+def prose(layout: Column, text: Column) -> Column:
+    """A chunk's text without its code blocks and tables, each left as a blank line. layout has the type and start of each piece."""
+    ends = F.transform(layout, lambda x, i: F.coalesce(F.try_element_at(layout, i + 2)["position"], F.length(text)))
+    pieces = F.zip_with(layout, ends, lambda x, e: F.when(x["type"].isin("code", "table"), F.lit("\n\n")).otherwise(F.substring(text, x["position"] + 1, e - x["position"])))
+    return F.when(F.size(layout) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def diverse(candidates: DataFrame, key: str, k: int = PICKED) -> DataFrame:
@@ -86,7 +204,7 @@ def diverse(candidates: DataFrame, key: str, k: int = PICKED) -> DataFrame:
 def variants(sections: DataFrame, descriptors: str = "descriptors") -> DataFrame:
     """(variant, uses, shown): phrases as one where they differ in case or blanks, shown as most often written."""
     each = sections.select(F.explode(descriptors).alias("phrase")).where("trim(phrase) <> ''").groupBy("phrase").agg(F.count("*").alias("n"))
-    best = F.max_by("phrase", F.struct(F.col("n"), -F.hash("phrase")))
+    best = F.min_by("phrase", F.struct(-F.col("n"), "phrase"))
     return each.groupBy(variant("phrase").alias("variant")).agg(F.sum("n").alias("uses"), best.alias("shown"))
 
 
@@ -110,7 +228,9 @@ def pairs_to_judge(rows: DataFrame, item: str, vector: str, k: int = NEIGHBOURS,
                     continue
                 v = np.asarray(b.column("v").flatten(), dtype=np.float64).reshape(b.num_rows, -1)
                 c = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                i, j = np.nonzero(c >= least)
+                # ties at the cut are kept, so that the last word on them is the window's
+                edge = np.partition(c, -min(k + 1, b.num_rows), axis=1)[:, -min(k + 1, b.num_rows)]
+                i, j = np.nonzero(c >= np.maximum(edge - 1e-9, least)[:, None])
                 yield pa.record_batch([pa.array(names).take(pa.array(i)), b.column("item").take(pa.array(j)), pa.array(c[i, j])], names=["a", "b", "cosine"])
 
         return own.mapInArrow(run, f"a {kind}, b {kind}, cosine double")
@@ -129,32 +249,71 @@ def pairs_to_judge(rows: DataFrame, item: str, vector: str, k: int = NEIGHBOURS,
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
+def _letters(phrase: Column) -> Column:
+    return F.array_join(words(phrase), "")
+
+
+def same_words(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs with same: whether both phrases say the same words, but for blanks and signs between them, or for their endings."""
+
+    @F.pandas_udf("boolean")
+    def endings(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([len(p) == len(q) and len(p) > 0 and all(stem(m) == stem(n) for m, n in zip(p, q)) for p, q in zip(x, y)], dtype=bool)
+
+    joined = (F.size(words(a)) > 0) & (_letters(F.col(a)) == _letters(F.col(b)))
+    return pairs.withColumn("same", joined | endings(words(a), words(b)))
+
+
+def pairs_to_ask(pairs: DataFrame, verdicts: DataFrame, judge: str) -> DataFrame:
+    """(a, b, cosine): near pairs that do not say the same words and that the judge has no verdict on. verdicts(judge, a, b, score)."""
+    known = verdicts.where(F.col("judge") == judge).select("a", "b").distinct()
+    return same_words(pairs).where("not same").drop("same").join(known, ["a", "b"], "left_anti")
+
+
+def one_concept(pairs: DataFrame, verdicts: DataFrame, judge: str, least: float, near: float = JUDGED) -> DataFrame:
+    """(a, b, cosine): neighbours that are one concept: of the same words, or near each other and judged to be."""
+    told = verdicts.where(F.col("judge") == judge).groupBy("a", "b").agg(F.max("score").alias("score"))
+    rows = same_words(pairs).join(told, ["a", "b"], "left")
+    return rows.where(F.col("same") | ((F.col("cosine") >= near) & (F.coalesce("score", F.lit(0.0)) >= least))).select("a", "b", "cosine")
+
+
+def missing_vectors(variants: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """The variants that a model has not embedded yet. vectors(model, variant)."""
+    return variants.join(vectors.where(F.col("model") == model).select("variant").distinct(), "variant", "left_anti")
+
+
 def preferred(uses: DataFrame, same: DataFrame) -> DataFrame:
-    """(variant, preferred): most used first, a variant takes the nearest preferred one that it was judged the same as, else is one itself.
+    """(variant, preferred): a variant takes the nearest preferred one that it is one concept with, else is one itself.
 
-    uses(variant, uses), same(a, b, cosine). Only variants with a judged pair are clustered, component by component of the judged pairs' graph as
-    far as the order asks; the others are their own.
+    uses(variant, uses), same(a, b, cosine). The most used decide first, of those the shortest, of those the first by name. Only variants with a pair are
+    looked at; the others are their own. Rounds, each written, as many as the longest chain of pairs in that order.
     """
     ends = same.select("a", "b", "cosine").unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).where("a <> b")
-    order = F.struct((-F.col("uses")).alias("u"), F.col("variant").alias("v"))
-    ranks = uses.select("variant", order.alias("place"))
+    ranks = uses.select("variant", F.struct((-F.col("uses")).alias("u"), F.length("variant").alias("l"), F.col("variant").alias("v")).alias("place"))
     links = ends.join(ranks.select(F.col("variant").alias("a"), F.col("place").alias("pa")), "a").join(ranks.select(F.col("variant").alias("b"), F.col("place").alias("pb")), "b")
-    # a variant's fate is known once those before it that it is linked with are: rounds, as deep as the longest such chain
-    earlier = links.where("pb < pa").select("a", "b", "cosine")
-    fate = uses.select(F.col("variant").alias("a")).join(earlier.select("a").distinct(), "a", "left_anti").select("a", F.col("a").alias("to"))
+    # a variant's fate is known once those before it that it is linked with are
+    earlier = scratch(links.where("pb < pa").select("a", "b", "cosine", "pb"), "earlier")
+    fate = scratch(uses.select(F.col("variant").alias("a")).join(earlier.select("a").distinct(), "a", "left_anti").select("a", F.col("a").alias("to")), "fate")
     open_ = earlier
-    from evidara.session import scratch
-
-    fate = scratch(fate, "fate")
     while open_.limit(1).count():
         known = open_.join(fate.select(F.col("a").alias("b"), F.col("to").alias("bt")), "b", "left")
-        state = known.groupBy("a").agg(F.bool_and(F.col("bt").isNotNull()).alias("ready"), F.max_by("b", F.when(F.col("bt") == F.col("b"), F.struct("cosine", "b"))).alias("best"))
+        state = known.groupBy("a").agg(F.bool_and(F.col("bt").isNotNull()).alias("ready"), F.min_by("b", F.when(F.col("bt") == F.col("b"), F.struct(-F.col("cosine"), "b"))).alias("best"))
         new = state.where("ready").select("a", F.coalesce("best", "a").alias("to"))
         fate = scratch(fate.unionByName(new), "fate")
         open_ = scratch(earlier.join(fate.select("a"), "a", "left_anti"), "open")
     return fate.select(F.col("a").alias("variant"), F.col("to").alias("preferred"))
 
 
+def vocabulary_terms(uses: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(variant, term, uses, variants): the preferred terms as shown, with the uses and names of all variants that they stand for, their own first.
+
+    uses(variant, uses, shown).
+    """
+    rows = uses.join(preferred, "variant")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((F.col("variant") != F.col("preferred")).alias("o"), "variant"))), lambda x: x["variant"])
+    return rows.groupBy(F.col("preferred").alias("variant")).agg(F.max(F.when(F.col("variant") == F.col("preferred"), F.col("shown"))).alias("term"), F.sum("uses").alias("uses"), listed.alias("variants"))
+
+
 def compacted(sections: DataFrame, terms: DataFrame, key: str, descriptors: str = "descriptors") -> DataFrame:
     """(key, descriptors): each phrase as its preferred term, each term once, in order. terms(variant, preferred)."""
     each = sections.select(key, F.posexplode(descriptors).alias("at", "phrase")).withColumn("variant", variant("phrase"))

@@ -16,7 +16,7 @@ def fragment(chars: Column, n_words: Column, start_reason: Column, end_reason: C
     """Whether a passage is a fragment: short in characters or words, and not closed by headings or the document's ends on both sides."""
     if not min_chars:
         return F.lit(False)
-    closed = start_reason.isin("heading", "document") & end_reason.isin("heading", "document")
+    closed = start_reason.isin("heading", "edge", "document") & end_reason.isin("heading", "edge", "document")
     return ((chars < min_chars) | (n_words < LEAST_WORDS)) & ~F.coalesce(closed, F.lit(False))
 
 

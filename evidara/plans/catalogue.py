@@ -770,23 +770,71 @@ def text_slices(spark: SparkSession, d: str) -> DataFrame:
 # --- descriptors and vocabulary
 
 
+def _class_terms(spark: SparkSession, d: str, stemmed: bool = False) -> DataFrame:
+    return descriptors.class_terms(corpus(spark, d), ["collection"], "text", stemmed)
+
+
 @query
 def ctfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = descriptors.class_terms(corpus(spark, d), ["collection"], "text")
-    weights = rounded(descriptors.ctfidf(terms, ["collection"]), "weight")
+    """Terms of collections as written; ctfidf_stems counts them by their stems."""
+    weights = rounded(descriptors.ctfidf(_class_terms(spark, d), ["collection"]), "weight")
+    return retrieval.top_k(weights, 20, ["collection"], F.desc("weight"), "term")
+
+
+@query
+def ctfidf_stems(spark: SparkSession, d: str) -> DataFrame:
+    weights = rounded(descriptors.ctfidf(_class_terms(spark, d, stemmed=True), ["collection"]), "weight")
     return retrieval.top_k(weights, 20, ["collection"], F.desc("weight"), "term")
 
 
 @query
 def widespread_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = descriptors.class_terms(corpus(spark, d), ["collection"], "text")
-    classes = terms.select("collection").distinct().count()
-    return terms.groupBy("term").agg(F.count("*").alias("classes")).where(F.col("classes") > 0.5 * classes)
+    terms = _class_terms(spark, d)
+    classes = terms.agg(F.count_distinct("collection").alias("all"))
+    return terms.groupBy("term").agg(F.count("*").alias("classes")).crossJoin(F.broadcast(classes)).where("classes > 0.5 * all").drop("all")  # one row
+
+
+@query
+def term_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What may describe each collection."""
+    found = descriptors.candidates(_class_terms(spark, d), ["collection"])
+    return found.groupBy("collection").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query
 def picked_descriptors(spark: SparkSession, d: str) -> DataFrame:
-    return descriptors.picked(descriptors.ctfidf(descriptors.class_terms(corpus(spark, d), ["collection"], "text"), ["collection"]), ["collection"])
+    found = descriptors.picked(descriptors.candidates(_class_terms(spark, d), ["collection"]), ["collection"])
+    return found.withColumn("descriptors", F.array_join("descriptors", "|"))
+
+
+@query
+def section_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    terms = descriptors.section_terms(descriptors.class_terms(rows, KEY, "text", stemmed=False), sections.runs(rows))
+    weights = descriptors.ctfidf(terms, ["position"], ["collection", "document_id", "depth"])
+    return rounded(weights.groupBy("collection", "document_id", "position").agg(F.count("*").alias("terms"), F.sum("weight").alias("weight")), "weight", places=4)
+
+
+@query
+def section_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d)
+    found = descriptors.described(rows.withColumn("text", descriptors.prose(F.col("layout"), F.col("text"))), sections.runs(rows))
+    return found.withColumn("descriptors", F.array_join("descriptors", "|"))
+
+
+@query
+def chunk_prose(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select(*KEY, F.md5(descriptors.prose(F.col("layout"), F.col("text"))).alias("digest"))
+
+
+@query
+def section_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The mean direction of each section's chunks."""
+    rows = corpus(spark, d).where("vector is not null")
+    runs = sections.runs(corpus(spark, d)).select("collection", "document_id", "position", "seq_start", "seq_end")
+    met = rows.join(runs, ["collection", "document_id"]).where("seq between seq_start and seq_end")
+    found = metadata.mean_vector(met, ["collection", "document_id", "position"], "vector")
+    return found.select("collection", "document_id", "position", "rows", F.round(F.element_at("vector", 1), 5).alias("first"), F.round(C.norm("vector"), 5).alias("norm"))
 
 
 @query
@@ -799,7 +847,7 @@ def mmr_descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vocabulary_variants(spark: SparkSession, d: str) -> DataFrame:
-    return descriptors.variants(corpus(spark, d), "headings").select("variant", "uses")
+    return descriptors.variants(corpus(spark, d), "headings")
 
 
 def _alike(spark: SparkSession, d: str) -> DataFrame:
@@ -812,10 +860,46 @@ def vocabulary_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _alike(spark, d).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
+def _uses(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).groupBy(F.col("id").alias("variant")).agg(F.count("*").alias("uses"), F.min("document_id").alias("shown"))
+
+
 @query
 def vocabulary_preferred(spark: SparkSession, d: str) -> DataFrame:
-    uses = corpus(spark, d).groupBy(F.col("id").alias("variant")).agg(F.count("*").alias("uses"))
-    return descriptors.preferred(uses, _alike(spark, d))
+    return descriptors.preferred(_uses(spark, d), _alike(spark, d).withColumn("cosine", F.round("cosine", 5)))
+
+
+@query
+def vocabulary_terms(spark: SparkSession, d: str) -> DataFrame:
+    uses = _uses(spark, d)
+    found = descriptors.vocabulary_terms(uses, descriptors.preferred(uses, _alike(spark, d).withColumn("cosine", F.round("cosine", 5))))
+    return found.withColumn("variants", F.array_join("variants", ","))
+
+
+def _heading_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of one document that start alike."""
+    own = load(spark, d, "headings").where("text is not null").select("doc_id", C.variant("text").alias("v")).where("v <> ''").distinct().withColumn("head", F.substring("v", 1, 4))
+    pairs = own.select("doc_id", "head", F.col("v").alias("a")).join(own.select("doc_id", "head", F.col("v").alias("b")), ["doc_id", "head"]).where("a < b")
+    return pairs.select("a", "b").distinct().withColumn("cosine", F.lit(0.95))
+
+
+@query
+def same_titles(spark: SparkSession, d: str) -> DataFrame:
+    return descriptors.same_words(_heading_pairs(spark, d)).select("a", "b", "same")
+
+
+@query
+def pairs_to_ask(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _heading_pairs(spark, d)
+    told = pairs.select(F.lit("judge-1").alias("judge"), "a", "b", F.lit(0.7).alias("score")).where("length(a) > length(b)")
+    return descriptors.pairs_to_ask(pairs, told, "judge-1")
+
+
+@query
+def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
+    variants = descriptors.variants(corpus(spark, d), "headings")
+    known = load(spark, d, "headings").where("level = 1 and text is not null").select(F.lit("fern-64").alias("model"), C.variant("text").alias("variant"))
+    return descriptors.missing_vectors(variants, known, "fern-64").select("variant", "uses")
 
 
 @query

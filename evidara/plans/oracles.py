@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidara.functions.columns import STOPWORDS
+from evidara.operators.descriptors import FILLERS
 from evidara.operators.retrieval import B, K1
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -134,9 +135,24 @@ sig AS (SELECT q.id AS question_id, q.search_id, q.question, q.review, s.session
   FROM search_questions q JOIN searches s ON s.id = q.search_id LEFT JOIN bars b USING (embedding)),
 gaps AS (SELECT * FROM sig WHERE signal IS NOT NULL AND review IS NULL)"""
 TOPICS = f"""topics AS (SELECT *, first_value(question_id) OVER (PARTITION BY list_sort(list_distinct({words('question')})) ORDER BY ts DESC, question_id DESC) AS topic_id FROM gaps)"""
-CLASS_TERMS = f"""w AS (SELECT collection, list_filter({words('text')}, lambda x: length(x) >= 3) AS w FROM corpus),
-t AS (SELECT collection, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
-n AS (SELECT collection, term, count(*) AS tf FROM t GROUP BY 1, 2)"""
+STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in FILLERS)
+
+
+def class_terms(key: str, text: str = "text", source: str = "corpus") -> str:
+    """CTEs up to n(key, term, tf)."""
+    breaks, word = r"""[.,;:!?()\[\]{}<>"|=/\\–—“”]|\n\s*\n""", r"[\p{L}\p{N}_]"
+    return f"""clauses AS (SELECT {key}, unnest(regexp_split_to_array(regexp_replace({text}, '({word})-[ \\t]*\\n[ \\t]*({word})', '\\1\\2', 'g'), '{breaks}')) AS clause FROM {source}),
+w AS (SELECT {key}, list_transform(regexp_extract_all(clause, '{word}+(?:[''’]{word}+)*'), lambda x: replace(lower(x), '’', chr(39))) AS w FROM clauses),
+marked AS (SELECT {key}, w, list_transform(w, lambda x: length(x) >= 3 AND NOT list_contains([{STOPPED}], x) AND regexp_matches(x, '\\p{{L}}')) AS ok FROM w),
+t AS (SELECT {key}, unnest(list_filter(w, lambda x, i: ok[i]) || list_transform(list_filter(range(1, len(w)), lambda i: ok[i] AND ok[i + 1]), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM marked),
+n AS (SELECT {key}, term, count(*) AS tf FROM t GROUP BY ALL)"""
+
+
+CLASS_TERMS = class_terms("collection")
+CANDIDATES = f"""WITH {CORPUS}, {CLASS_TERMS}, z AS (SELECT collection, sum(tf) AS size FROM n GROUP BY 1), c AS (SELECT count(*) AS classes FROM z), spread AS (SELECT term, count(*) AS m FROM n GROUP BY 1),
+x AS (SELECT collection, term, tf, classes < 2 OR m <= 0.5 * classes AS fine, sqrt(tf / size) * ln(1 + (classes - m + 0.5) / (m + 0.5)) AS weight FROM n JOIN z USING (collection) JOIN spread USING (term) CROSS JOIN c),
+y AS (SELECT *, fine AND tf >= 2 AS often, count(*) FILTER (fine AND tf >= 2 AND NOT contains(term, ' ')) OVER o AS few, bool_or(fine) OVER o AS any_ FROM x WINDOW o AS (PARTITION BY collection)),
+kept AS (SELECT collection, term, tf, weight FROM y WHERE CASE WHEN NOT any_ THEN true WHEN few >= 6 THEN often ELSE fine END)"""
 LABELLED = "l AS (SELECT embedding AS profile, round(list_max(similarities)::DOUBLE, 4) AS s, uncovered = 0 AS yes FROM search_questions q JOIN searches x ON x.id = q.search_id WHERE embedding IS NOT NULL AND list_max(similarities) IS NOT NULL)"
 UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({0}, lambda y: y::DOUBLE * y::DOUBLE))))"
 
@@ -319,7 +335,23 @@ SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total
 x AS (SELECT n.collection, n.term, n.tf, round(sqrt(tf / size) * ln(1 + (classes - s.n + 0.5) / (s.n + 0.5)), 6) AS weight FROM n JOIN s USING (term) JOIN z USING (collection) CROSS JOIN k WHERE classes < 2 OR s.n <= 0.5 * classes)
 SELECT collection, term, tf, weight, rank FROM ({top('x', 20, 'collection', 'weight DESC, term')})""",
         "widespread_terms": f"WITH {CORPUS}, {CLASS_TERMS} SELECT term, count(*) AS classes FROM n GROUP BY 1 HAVING count(*) > 0.5 * (SELECT count(DISTINCT collection) FROM n)",
-        "vocabulary_variants": f"WITH {CORPUS}, h AS (SELECT unnest(headings) AS p FROM corpus) SELECT lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS variant, count(*) AS uses FROM h WHERE trim(p) <> '' GROUP BY 1",
+        "term_candidates": f"{CANDIDATES} SELECT collection, count(*) AS terms, round(sum(weight), 4) AS weight FROM kept GROUP BY 1",
+        "picked_descriptors": f"""{CANDIDATES}, l AS (SELECT collection, list([term] ORDER BY round(weight, 12) DESC, term) AS ts FROM kept GROUP BY 1)
+          SELECT collection, array_to_string(list_reduce(ts, lambda acc, x: CASE WHEN len(acc) >= 6 OR len(list_filter(acc, lambda y: list_has_all(split(y, ' '), split(x[1], ' ')) OR list_has_all(split(x[1], ' '), split(y, ' ')))) > 0 THEN acc ELSE list_append(acc, x[1]) END), '|') AS descriptors FROM l""",
+        "section_terms": f"""{RUNS}, {class_terms('collection, document_id, seq')},
+          st AS (SELECT r.collection, r.document_id, r.depth, r.position, n.term, sum(n.tf) AS tf FROM n JOIN runs r ON r.collection = n.collection AND r.document_id = n.document_id AND n.seq BETWEEN r.seq_start AND r.seq_end GROUP BY ALL),
+          z AS (SELECT collection, document_id, depth, position, sum(tf) AS size FROM st GROUP BY ALL), c AS (SELECT collection, document_id, depth, count(*) AS classes FROM z GROUP BY ALL),
+          m AS (SELECT collection, document_id, depth, term, count(*) AS m FROM st GROUP BY ALL),
+          x AS (SELECT st.*, sqrt(tf / size) * ln(1 + (classes - m + 0.5) / (m + 0.5)) AS weight FROM st JOIN z USING (collection, document_id, depth, position) JOIN c USING (collection, document_id, depth) JOIN m USING (collection, document_id, depth, term) WHERE classes < 2 OR m <= 0.5 * classes)
+          SELECT collection, document_id, position, count(*) AS terms, round(sum(weight), 4) AS weight FROM x GROUP BY ALL""",
+        "chunk_prose": f"""WITH {CORPUS} SELECT collection, document_id, seq, md5(CASE WHEN len(layout) > 0 THEN array_to_string(list_transform(layout, lambda x, i: CASE WHEN x.type IN ('code', 'table') THEN chr(10) || chr(10)
+          ELSE substring(text, x.position + 1, coalesce(layout[i + 1].position, length(text)) - x.position) END), '') ELSE text END) AS digest FROM corpus""",
+        "section_vectors": f"""{RUNS}, units AS (SELECT r.collection, r.document_id, r.position, {UNIT.format('vector')} AS v FROM corpus c JOIN runs r ON r.collection = c.collection AND r.document_id = c.document_id AND c.seq BETWEEN r.seq_start AND r.seq_end WHERE vector IS NOT NULL),
+          fine AS (SELECT collection, document_id, position, list_transform(v, lambda x: CASE WHEN isnan(x) THEN 0 ELSE x END) AS v FROM units), flat AS (SELECT collection, document_id, position, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM fine),
+          means AS (SELECT collection, document_id, position, pos, avg(x) AS x, count(*) AS rows FROM flat GROUP BY ALL)
+          SELECT collection, document_id, position, any_value(rows) AS rows, round(max(x) FILTER (pos = 1), 5) AS first, round(sqrt(sum(x * x)), 5) AS norm FROM means GROUP BY ALL""",
+        "vocabulary_variants": f"WITH {CORPUS}, h AS (SELECT unnest(headings) AS p FROM corpus), n AS (SELECT p, count(*) AS n FROM h WHERE trim(p) <> '' GROUP BY 1), v AS (SELECT lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS variant, p, n FROM n) SELECT variant, sum(n) AS uses, first(p ORDER BY n DESC, p) AS shown FROM v GROUP BY 1",
+        "missing_vectors": f"WITH {CORPUS}, h AS (SELECT unnest(headings) AS p FROM corpus), v AS (SELECT lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS variant, count(*) AS uses FROM h WHERE trim(p) <> '' GROUP BY 1) SELECT variant, uses FROM v WHERE variant NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM headings WHERE level = 1 AND text IS NOT NULL)",
         "compact_descriptors": f"WITH {CORPUS}, h AS (SELECT collection || '/' || document_id || '/' || seq AS key, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM corpus WHERE len(headings) > 0), v AS (SELECT key, split_part(lower(trim(regexp_replace(h, '\\s+', ' ', 'g'))), ' ', 1) AS t, min(pos) AS pos FROM h GROUP BY 1, 2) SELECT key, string_agg(t, '|' ORDER BY pos) AS descriptors FROM v GROUP BY 1",
         "vocabulary_pairs": f"WITH c AS (SELECT id, max(vector::FLOAT[]) AS v FROM chunks WHERE vector IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING list_max(list_transform(max(vector::FLOAT[]), lambda x: abs(x))) > 0), u AS (SELECT id, {UNIT.format('v')} AS v FROM c), p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n FROM p WHERE cosine >= 0.93) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(cosine), 5) AS cosine FROM r WHERE n <= 32 GROUP BY 1, 2",
         "flagship": f"{ranges(25, source='f0').replace('flagged AS', f'f0 AS (SELECT DISTINCT ON (query_id, {span}) * FROM hits ORDER BY query_id, {span}, rank), flagged AS')} SELECT query_id, rank, collection, document_id, seq_start, seq_end, concat_ws(' ', name, 'p.' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END, 'L' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END) AS citation, hits, round(score, 6) AS score FROM ranges WHERE rank <= 10",

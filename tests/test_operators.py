@@ -53,56 +53,12 @@ def items(*scores, alone=()):
     return [{"item": i, "score": s, "alone": i in alone} for i, s in enumerate(scores, 1)]
 
 
-def test_fold_under_the_closest_leader():
-    got = collapse.leaders(items(5, 4, 3), related((1, 3, "equivalent", False, 0.6), (2, 3, "contained", False, 0.9)), 10)
-    assert (3, None, 2, "contained", 0.9, 3.0) in got and [x[0] for x in got if x[1]] == [1, 2]
-
-
-def test_superset_takes_slot_and_score():
-    got = collapse.leaders(items(5, 4, 3), related((1, 2, "contained", True, 0.9), (1, 3, "equivalent", False, 0.7), (2, 3, "equivalent", False, 0.7)), 10)
-    slots = {x[1]: x for x in got if x[1]}
-    assert slots[1][0] == 2 and slots[1][5] == 5.0
-    assert {(x[0], x[2]) for x in got if not x[1]} == {(1, 2), (3, 2)}
-
-
-def test_alone_never_leads_and_limit_only_folds():
-    got = collapse.leaders(items(5, 4, 3, 2, alone={2}), related((1, 4, "duplicate", False, 1.0)), 1)
-    assert [x[0] for x in got if x[1]] == [1] and [x[0] for x in got if not x[1]] == [4]
-
-
 def test_decisions(spark):
     df = spark.createDataFrame([(1, 0.9, 0.5, 0.4), (2, 0.5, 0.9, 0.4), (3, 0.9, 0.9, 0.4), (4, 0.1, 0.1, 0.51), (5, 0.8, 0.8, 0.5)], "n int, into double, over double, alike double")
     got = {r.n: (r.relation, r.swap) for r in collapse.decided(df).collect()}
     assert got == {1: ("contained", False), 2: ("contained", True), 3: ("equivalent", False), 4: ("equivalent", False), 5: (None, False)}
 
 
-@given(st.integers(1, 12), st.integers(0, 1000))
-@settings(max_examples=30, deadline=None)
-def test_cover_gains_fall_and_first_is_best(n, seed):
-    r = np.random.default_rng(seed)
-    v = r.standard_normal((n, 4))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    near = np.clip(v @ v.T, 0, 1)
-    np.fill_diagonal(near, 1)
-    demand = r.random(n) + 0.1
-    picks = mapping.greedy_cover(demand, near, list(range(n)), n)
-    assert picks[0][0] == int(np.argmax(demand)) and len({p for p, _ in picks}) == len(picks)
-    assert all(a >= b - 1e-9 for (_, a), (_, b) in zip(picks[1:], picks[2:]))
-
-
-def test_cover_caps_a_document_only_near_the_best_gain():
-    near = np.eye(4)
-    demand = np.array([4.0, 3.0, 2.9, 2.8])
-    assert [p for p, _ in mapping.greedy_cover(demand, near, ["a", "a", "a", "b"], 3)] == [0, 1, 3]
-    assert [p for p, _ in mapping.greedy_cover(np.array([4.0, 3.0, 2.9, 0.1]), near, ["a", "a", "a", "b"], 3)] == [0, 1, 2]
-
-
-def test_turns_alternate_and_shared_chunks_join():
-    rows = [{"part": p, "rank": r, "item": 10 * p + r, "keys": k} for p, r, k in [(0, 1, ["x"]), (0, 2, ["y"]), (1, 1, ["x"]), (1, 2, ["z"])]]
-    got = mapping.take_turns(rows, 3)
-    assert got[0] == (1, 0, 1, False) and (1, 1, 11, True) in got and {g[2] for g in got} == {1, 2, 11, 12}
-
-
 def test_budget_keeps_the_first_and_skips_what_does_not_fit(spark):
     rows = [(1, 1, 1, 900, 10), (1, 1, 2, 50, 10), (1, 2, 3, 30, 10), (1, 3, 4, 5000, 10)]
     df = spark.createDataFrame(rows, "query_id long, group_rank int, rank int, cost long, header_cost long")
@@ -121,12 +77,6 @@ def test_values_where_all_are_equal(spark):
     assert [r.value for r in fill.values(df, "s", floor=0.6).orderBy("query_id", "s").collect()] == [-1.0, -1.0, -1.0, 0.0, 1.0]
 
 
-def test_chosen_takes_by_worth_and_no_chunk_twice(spark):
-    rows = [(1, 1, 100, 1.0, [1, 2], 150), (1, 2, 10, 0.5, [2], 150), (1, 3, 60, 0.2, [9], 150), (1, 4, 10, -1.0, [7], 150)]
-    df = spark.createDataFrame(rows, "query_id long, option long, chars int, value double, seqs array<int>, room int")
-    assert {r.option for r in fill.chosen(df).where("taken").collect()} == {2, 3}
-
-
 def test_runs_nest_and_split(spark):
     rows = [("c", "d", 1, []), ("c", "d", 2, ["A"]), ("c", "d", 3, ["A", "B"]), ("c", "d", 4, ["C"]), ("c", "d", 5, ["A"])]
     df = spark.createDataFrame([(*r, r[2] * 10, r[2] * 10 + 9) for r in rows], "collection string, document_id string, seq int, headings array<string>, char_start int, char_end int")
@@ -211,6 +161,30 @@ def test_chunk_contract(text, size, chunker):
     check_contract(text, ChunkSettings(chunker=chunker, chunk_size=size))
 
 
+def reasons(text, **more):
+    return [(r[13], r[14]) for r in chunking.located(text, ChunkSettings(**{"chunk_size": 60, "merge_below": 0, "frame": False, **more}))]
+
+
+def test_reasons_name_the_rule_of_each_cut():
+    assert reasons("One here.") == [("edge", "edge")]
+    assert reasons("# A\n\nOne here.\n\n# B\n\nTwo here.") == [("heading", "heading"), ("heading", "edge")]
+    assert reasons("One paragraph.\n\nAnother one.") == [("edge", "paragraph"), ("paragraph", "edge")]
+    assert reasons("One paragraph.\n\nAnother one.", merge_below=100) == [("edge", "edge")]
+    assert reasons("- " + "a" * 40 + "\n- " + "b" * 40) == [("edge", "length_block"), ("length_block", "edge")]
+    assert reasons("A" * 40 + ". " + "B" * 40 + ".") == [("edge", "length_sentence"), ("length_sentence", "edge")]
+    assert reasons("word " * 20) == [("edge", "length_oversize"), ("length_oversize", "edge")]
+
+
+def test_tables_are_cut_between_rows_and_frames_count():
+    table = "\n".join(f"| row {i} | {'x' * 20} |" for i in range(6))
+    rows = list(chunking.located(table, ChunkSettings(chunk_size=70, frame=False)))
+    assert all(line.startswith("| row") and line.endswith("|") for r in rows for line in r[3].split("\n")) and len(rows) == 3
+    deep = "# " + "Long title " * 6 + "\n\n## Short\n\n" + "word " * 60
+    for r in chunking.located(deep, ChunkSettings(chunk_size=80)):
+        assert r[2] == ["Short"] and len(r[4]) <= 80 and r[4].startswith("Short\n\n")
+    assert chunking.frame_of(["x" * 90], 40) == ["x" * 18] and chunking.frame_of([], 40) == []
+
+
 @given(st.text(alphabet="aB.!\n# -|`é😀", max_size=400), st.integers(5, 120))
 @settings(max_examples=200, deadline=None)
 def test_chunk_contract_holds_for_any_text(text, size):
@@ -223,7 +197,7 @@ def check_contract(text, own):
     for n, r in enumerate(chunking.located(text, own), 1):
         seq, _, _, body, _, line_start, line_end, a, z, b, y = r[:11]
         assert seq == n and a >= last and 0 < z - a <= own.chunk_size
-        assert text[a:z] == body and raw[b:y].decode() == body
+        assert text[a:z] == body and raw[b:y].decode() == body and len(r[4]) <= own.chunk_size
         assert text[:a].count("\n") + 1 == line_start and text[:z].count("\n") + 1 == line_end
         last = z
 
@@ -248,9 +222,12 @@ def test_shingle_overlaps_against_sets(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "a quick brown fox jumps over the lazy dog", "nothing in common with the others here at all", "short text"]
     df = spark.createDataFrame([(1, i, i, [t]) for i, t in enumerate(texts, 1)], "query_id long, item long, rank int, texts array<string>")
     sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
-    want = {(i + 1, j + 1): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(range(4), 2) if sets[i] & sets[j]}
-    got = {(r.a, r.b): r.alike for r in collapse.shingle_overlaps(df).collect()}
-    assert got == pytest.approx(want)
+    words = [set(t.split()) for t in texts]
+    fine = [len(s) >= 5 for s in sets]
+    want = {(i + 1, j + 1): len(words[i] & words[j]) / len(words[i] | words[j]) if fine[i] and fine[j] else 0 for i, j in combinations(range(4), 2) if words[i] & words[j]}
+    rows = collapse.shingle_overlaps(df).collect()
+    assert {(r.a, r.b): r.alike for r in rows} == pytest.approx(want)
+    assert {(r.a, r.b): r.into for r in rows} == pytest.approx({(a, b): len(sets[a - 1] & sets[b - 1]) / len(sets[b - 1]) if fine[b - 1] else 0 for a, b in want})
 
 
 def test_topic_pairs_match_brute_force(spark, monkeypatch):
