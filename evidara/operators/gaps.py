@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.columns import words
+from evidara.session import scratch
 
 #: Signals in the order in which the first that holds is taken.
 SIGNALS = ["reported", "empty", "uncovered", "weak", "borderline"]
@@ -43,38 +46,80 @@ def word_topics(gaps: DataFrame) -> DataFrame:
     return kinds.select("question_id", F.first("question_id").over(newest).alias("topic_id"))
 
 
-def vector_topics(gaps: DataFrame, same_topic: float) -> DataFrame:
+#: Gaps that one task clusters at a time.
+BLOCK = 4096
+
+
+def vector_topics(gaps: DataFrame, same_topic: float, block: int = BLOCK) -> DataFrame:
     """(question_id, topic_id): newest first, a question joins the closest earlier-made topic of its embedding over the bar, else makes its own.
 
-    Gaps with the same words are one before that, so that repeats, however many, are compared once; what is left of one embedding is clustered in one task,
-    as the order decides.
+    Gaps with the same words are one before that, so that repeats, however many, are compared once. What is left is clustered in blocks of about `block`
+    from the newest on: a block is compared with all topics there are, by all tasks, and then with itself in order, in one task for each embedding.
     """
     kinds = gaps.where("query_vector is not null").withColumn("kind", F.array_sort(F.array_distinct(words("question"))))
     w = Window.partitionBy("embedding", "kind").orderBy(F.desc("ts"), F.desc("question_id"))
-    kinds = kinds.withColumn("head", F.first("question_id").over(w))
-    heads = kinds.where("question_id = head").select("embedding", "head", "ts", "query_vector")
-
-    def cluster(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", "head"], ascending=False)
-        v = np.stack(own.query_vector.map(np.asarray)).astype(float)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        v = v / np.where(n > 0, n, 1)
-        leaders: list[int] = []
-        topic = []
-        for i in range(len(v)):
-            if leaders:
-                near = v[leaders] @ v[i]
-                j = int(np.argmax(near))
-                if near[j] > same_topic:
-                    topic.append(leaders[j])
-                    continue
-            leaders.append(i)
-            topic.append(i)
-        ids = own["head"].to_numpy()
-        return pd.DataFrame({"head": ids, "topic_id": ids[topic]})
-
-    found = heads.groupBy("embedding").applyInPandas(cluster, "head long, topic_id long")
-    return kinds.select("question_id", "head").join(found, "head").select("question_id", "topic_id")
+    kinds = scratch(kinds.withColumn("head", F.first("question_id").over(w)), "kinds")
+    heads = scratch(kinds.where("question_id = head").select("embedding", "head", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("query_vector").cast("array<double>").alias("v")), "heads")
+    n = -(-heads.count() // block)
+    cuts = heads.agg(F.percentile_approx("at", [1 - i / n for i in range(1, n)], 100_000).alias("c")).first().c if n > 1 else []
+    schema = "embedding string, head long, topic_id long, v array<double>"
+    topics, found = None, []
+    for low, high in zip([*cuts, None], [None, *cuts]):
+        own = heads.where((F.col("at") > low) if low is not None else F.lit(True)).where((F.col("at") <= high) if high is not None else F.lit(True))
+        near = _nearest_topics(own, topics, same_topic) if topics is not None else None
+        own = own.join(near, "head", "left") if near is not None else own.withColumns({"known": F.lit(None).cast("long"), "cosine": F.lit(None).cast("double")})
+        # a null embedding is one of its own
+        made = scratch(own.groupBy("embedding").applyInPandas(lambda rows: _clustered(rows, same_topic), schema), "topics")
+        found.append(made.select("head", "topic_id"))
+        fresh = made.where("head = topic_id").select("embedding", "head", "v")
+        topics = fresh if topics is None else topics.unionByName(fresh)
+    every = reduce(DataFrame.unionByName, found)
+    return kinds.select("question_id", "head").join(every, "head").select("question_id", "topic_id")
+
+
+def _rows_of(vectors) -> np.ndarray:
+    v = np.stack([np.asarray(x, float) for x in vectors])
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
+
+
+def _nearest_topics(own: DataFrame, topics: DataFrame, bar: float) -> DataFrame:
+    """(head, known, cosine): the topic closest to each row of a block, of those over the bar."""
+    part = own.select("embedding", "head", "v").toPandas()  # one block
+    shared = own.sparkSession.sparkContext.broadcast(part)
+
+    def run(it):
+        asked = shared.value
+        for b in it:
+            for name, theirs in b.groupby("embedding", dropna=False):
+                mine = asked[asked.embedding.isna() if pd.isna(name) else asked.embedding == name]
+                if len(mine):
+                    near = _rows_of(mine.v) @ _rows_of(theirs.v).T
+                    best = near.argmax(1)
+                    over = near[np.arange(len(near)), best] > bar
+                    yield pd.DataFrame({"head": mine["head"].to_numpy()[over], "known": theirs["head"].to_numpy()[best[over]], "cosine": near.max(1)[over]})
+
+    met = topics.mapInPandas(run, "head long, known long, cosine double")
+    return met.groupBy("head").agg(F.max_by("known", F.struct("cosine", "known")).alias("known"), F.max("cosine").alias("cosine"))
+
+
+def _clustered(rows: pd.DataFrame, bar: float) -> pd.DataFrame:
+    rows = rows.sort_values(["at", "head"], ascending=False)
+    v, ids = _rows_of(rows.v), rows["head"].to_numpy()
+    made: list[int] = []
+    topic = []
+    for i, (known, cosine) in enumerate(zip(rows.known, rows.cosine)):
+        near = v[made] @ v[i] if made else np.empty(0)
+        j = int(np.argmax(near)) if made else -1
+        best = near[j] if made else -2.0
+        if not pd.isna(cosine) and cosine >= best:
+            topic.append(int(known))
+        elif best > bar:
+            topic.append(int(ids[made[j]]))
+        else:
+            made.append(i)
+            topic.append(int(ids[i]))
+    return pd.DataFrame({"embedding": rows.embedding.to_numpy(), "head": ids, "topic_id": topic, "v": list(rows.v)})
 
 
 def topic_summaries(gaps: DataFrame, topics: DataFrame) -> DataFrame:

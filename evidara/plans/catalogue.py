@@ -315,11 +315,12 @@ def fold_places(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def embedding_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one collection compared by their chunks' vectors, where these documents share a heading."""
+    """Documents compared by their chunks' vectors, of which two chunks are near each other."""
     rows = corpus(spark, d).where("vector is not null").withColumn("query_id", F.lit(0))
     chunks = rows.groupBy("query_id", F.col("document_id").alias("item"), "seq").agg(F.max("vector").alias("vector"))
-    titled = rows.where("size(headings) > 0").select("document_id", F.element_at("headings", 1).alias("title")).distinct()
-    pairs = titled.select("title", F.col("document_id").alias("a")).join(titled.select("title", F.col("document_id").alias("b")), "title").where("a < b").select(F.lit(0).alias("query_id"), "a", "b").distinct()
+    of = rows.select("id", "document_id").distinct()
+    near = _alike(spark, d).join(of.withColumnsRenamed({"id": "a", "document_id": "da"}), "a").join(of.withColumnsRenamed({"id": "b", "document_id": "db"}), "b").where("da <> db")
+    pairs = near.select(F.lit(0).alias("query_id"), F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
     return rounded(collapse.vector_overlaps(pairs, chunks).drop("query_id"), "into", "over", "alike", places=5)
 
 
@@ -398,9 +399,10 @@ def document_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_documents(spark: SparkSession, d: str) -> DataFrame:
-    found = metadata.mean_vector(load(spark, d, "embeddings"), ["label"], "embedding").drop("rows")
-    pairs = found.select(F.col("label").alias("a"), F.col("vector").alias("va")).crossJoin(F.broadcast(found.select(F.col("label").alias("b"), F.col("vector").alias("vb")))).where("a <> b")
-    return retrieval.top_k(pairs.select("a", "b", F.round(C.cosine("va", "vb"), 4).alias("cosine")), 5, ["a"], F.desc("cosine"), "b")
+    """The five labels whose mean directions are closest to each label's."""
+    found = metadata.mean_vector(load(spark, d, "embeddings"), ["label"], "embedding").select(F.col("label").alias("b"), C.unit("vector").alias("vector"))
+    near = retrieval.nearest(found.select(F.col("b").alias("query_id"), "vector"), found, "b", "vector", 12).withColumnRenamed("id", "b").where("query_id <> b")
+    return retrieval.top_k(near.select(F.col("query_id").alias("a"), "b", F.round(1 - F.col("distance") / 2, 4).alias("cosine")), 5, ["a"], F.desc("cosine"), "b")
 
 
 def _mapped(spark: SparkSession, d: str, worded: bool = False) -> DataFrame:
@@ -664,9 +666,11 @@ def settings_resolved(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' customers, and as many that are not there yet, put into the customers where they are missing."""
     rows = load(spark, d, "customer").select("c_custkey", "c_nationkey")
-    new = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(-1).cast(rows.schema["c_nationkey"].dataType).alias("c_nationkey"))
-    return metadata.inserted(rows.where("c_custkey % 2 = 0"), new, ["c_custkey"]).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    kind = rows.schema["c_nationkey"].dataType
+    new = load(spark, d, "orders").select(F.explode(F.array(F.col("o_custkey"), -F.col("o_custkey"))).alias("c_custkey"), F.lit(-1).cast(kind).alias("c_nationkey"))
+    return metadata.inserted(rows, new, ["c_custkey"]).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 @query
@@ -977,13 +981,7 @@ def subsections(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topic_pairs_joined(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), F.col("embedding").alias("vector"))
-    return extras.topic_pairs(rows, "vector", 0.1)
-
-
-@query
-def topic_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of the table; topic_pairs_joined keeps to the rows that its SQL names."""
+    """All pairs of the table, of one topic and of two, and how many of each the bar joins."""
     rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), F.col("embedding").alias("vector"))
     return extras.topic_pairs(rows, "vector", 0.1)
 

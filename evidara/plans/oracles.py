@@ -317,7 +317,7 @@ SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total
         "leaving_union": "SELECT document_id FROM documents WHERE pages_unread > 0 UNION SELECT document_id FROM documents WHERE status <> 'imported'",
         "searchable_exists": "SELECT collection FROM search_settings s WHERE collection IS NOT NULL AND EXISTS (SELECT 1 FROM chunks c WHERE c.collection = s.collection AND c.document_id NOT IN (SELECT document_id FROM documents WHERE status <> 'imported'))",
         "settings_resolved": "SELECT c.collection, " + ", ".join(f"coalesce(c.{f}, u.{f}) AS {f}" for f in ("mode", "fusion", "rrf_k", "vector_weight", "bm25_weight", "nprobes", "refine_factor", "reranker", "min_rerank_score")) + " FROM search_settings c CROSS JOIN (SELECT * FROM search_settings WHERE collection IS NULL) u WHERE c.collection IS NOT NULL",
-        "insert_or_ignore": "WITH t AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS c_custkey, -1 AS c_nationkey FROM orders), u AS (SELECT * FROM t UNION ALL SELECT * FROM n ANTI JOIN t USING (c_custkey)) SELECT c_nationkey, count(*) AS n FROM u GROUP BY 1",
+        "insert_or_ignore": "WITH t AS (SELECT c_custkey, c_nationkey FROM customer), n AS (SELECT DISTINCT unnest([o_custkey, -o_custkey]) AS c_custkey, -1 AS c_nationkey FROM orders), u AS (SELECT * FROM t UNION ALL SELECT * FROM n ANTI JOIN t USING (c_custkey)) SELECT c_nationkey, count(*) AS n FROM u GROUP BY 1",
         "upsert": "SELECT CASE WHEN p_retailprice > 1500 THEN 0 ELSE p_size END AS p_size, count(*) AS n FROM part GROUP BY 1",
         "membership_transitions": "SELECT CASE WHEN status IN ('queued', 'failed') AND coalesce(pages_unread, 0) = 0 THEN 'cancelled' ELSE status END AS status, count(*) AS n FROM documents GROUP BY 1",
         "newest_entries": "SELECT DISTINCT ON (lang) doc_id, lang, updated_at AT TIME ZONE 'UTC' AS updated_at FROM documents ORDER BY lang, documents.updated_at DESC, doc_id",
@@ -353,6 +353,17 @@ SELECT collection, term, tf, weight, rank FROM ({top('x', 20, 'collection', 'wei
         "vocabulary_variants": f"WITH {CORPUS}, h AS (SELECT unnest(headings) AS p FROM corpus), n AS (SELECT p, count(*) AS n FROM h WHERE trim(p) <> '' GROUP BY 1), v AS (SELECT lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS variant, p, n FROM n) SELECT variant, sum(n) AS uses, first(p ORDER BY n DESC, p) AS shown FROM v GROUP BY 1",
         "missing_vectors": f"WITH {CORPUS}, h AS (SELECT unnest(headings) AS p FROM corpus), v AS (SELECT lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS variant, count(*) AS uses FROM h WHERE trim(p) <> '' GROUP BY 1) SELECT variant, uses FROM v WHERE variant NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM headings WHERE level = 1 AND text IS NOT NULL)",
         "compact_descriptors": f"WITH {CORPUS}, h AS (SELECT collection || '/' || document_id || '/' || seq AS key, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM corpus WHERE len(headings) > 0), v AS (SELECT key, split_part(lower(trim(regexp_replace(h, '\\s+', ' ', 'g'))), ' ', 1) AS t, min(pos) AS pos FROM h GROUP BY 1, 2) SELECT key, string_agg(t, '|' ORDER BY pos) AS descriptors FROM v GROUP BY 1",
+        "embedding_overlap": f"""WITH {CORPUS},
+          vecs AS (SELECT id, any_value(document_id) AS d, max(vector::FLOAT[]) AS v FROM corpus WHERE vector IS NOT NULL GROUP BY id), unit AS (SELECT id, d, {UNIT.format('v')} AS v FROM vecs WHERE list_max(list_transform(v, lambda x: abs(x))) > 0),
+          p AS (SELECT a.id AS a, b.id AS b, a.d AS da, b.d AS db, list_dot_product(a.v, b.v) AS cosine FROM unit a JOIN unit b ON a.id <> b.id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n FROM p WHERE cosine >= 0.93),
+          pairs AS (SELECT DISTINCT least(da, db) AS a, greatest(da, db) AS b FROM r WHERE n <= 32 AND da <> db),
+          c AS (SELECT document_id AS d, seq, max(vector::FLOAT[]) AS v FROM corpus WHERE vector IS NOT NULL GROUP BY 1, 2),
+          cu AS (SELECT d, seq, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0 THEN {UNIT.format('v')} ELSE list_transform(v, lambda x: 0::DOUBLE) END AS v FROM c),
+          x AS (SELECT p.a, p.b, m.seq AS sa, n.seq AS sb, list_dot_product(m.v, n.v) AS cos FROM pairs p JOIN cu m ON m.d = p.a JOIN cu n ON n.d = p.b),
+          bi AS (SELECT a, b, avg(m) AS "into" FROM (SELECT a, b, sb, max(cos) AS m FROM x GROUP BY ALL) GROUP BY ALL), ov AS (SELECT a, b, avg(m) AS "over" FROM (SELECT a, b, sa, max(cos) AS m FROM x GROUP BY ALL) GROUP BY ALL),
+          wi AS (SELECT m.d, sum(list_dot_product(m.v, n.v)) AS w FROM cu m JOIN cu n ON m.d = n.d GROUP BY 1), al AS (SELECT a, b, sum(cos) AS s FROM x GROUP BY ALL)
+          SELECT a, b, round("into", 5) AS "into", round("over", 5) AS "over", round(CASE WHEN k.w * l.w > 0 THEN s / sqrt(k.w * l.w) ELSE 0 END, 5) AS alike FROM bi JOIN ov USING (a, b) JOIN al USING (a, b) JOIN wi k ON k.d = a JOIN wi l ON l.d = b""",
         "vocabulary_pairs": f"WITH c AS (SELECT id, max(vector::FLOAT[]) AS v FROM chunks WHERE vector IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING list_max(list_transform(max(vector::FLOAT[]), lambda x: abs(x))) > 0), u AS (SELECT id, {UNIT.format('v')} AS v FROM c), p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n FROM p WHERE cosine >= 0.93) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(cosine), 5) AS cosine FROM r WHERE n <= 32 GROUP BY 1, 2",
         "flagship": f"{ranges(25, source='f0').replace('flagged AS', f'f0 AS (SELECT DISTINCT ON (query_id, {span}) * FROM hits ORDER BY query_id, {span}, rank), flagged AS')} SELECT query_id, rank, collection, document_id, seq_start, seq_end, concat_ws(' ', name, 'p.' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END, 'L' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END) AS citation, hits, round(score, 6) AS score FROM ranges WHERE rank <= 10",
     }
@@ -373,7 +384,7 @@ SELECT query_id, {full}, round(score, 6) AS score FROM ({top('k', 1, 'query_id',
         "evenly_spaced": f"""WITH {CORPUS}, r AS (SELECT {full}, char_end - char_start AS chars, sum(char_end - char_start) OVER w AS al, count(*) OVER w AS n, row_number() OVER (PARTITION BY collection, document_id ORDER BY seq) - 1 AS nth FROM corpus WINDOW w AS (PARTITION BY collection, document_id))
 SELECT {full}, chars, CASE WHEN al <= 2000 THEN chars ELSE least(chars, 666) END AS share FROM r WHERE al <= 2000 OR nth IN (0, floor((n - 1) / 2 + 0.5)::INT, n - 1)""",
         "subsections": f"{RUNS} SELECT a.collection, a.document_id, a.position, b.position AS sub FROM runs a JOIN runs b ON a.collection = b.collection AND a.document_id = b.document_id AND b.depth > a.depth AND b.seq_start >= a.seq_start AND b.seq_end <= a.seq_end AND b.path[1 : a.depth] = a.path",
-        "topic_pairs_joined": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
+        "topic_pairs_joined": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
         "topic_pairs_whole": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
         "chunk_trend": "WITH r AS (SELECT DISTINCT ON (search_id, position) * FROM search_results), b AS (SELECT search_id AS id, sum(seq_end - seq_start + 1)::BIGINT AS n FROM r GROUP BY 1) SELECT id, coalesce(n, 0) AS outputs FROM searches LEFT JOIN b USING (id) WHERE error IS NULL",
         "active_runs": "SELECT o_orderpriority AS name, count(*) AS running, sum(greatest(0, o_orderkey % 10 - o_custkey % 10))::BIGINT AS \"left\" FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",

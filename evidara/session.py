@@ -50,10 +50,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local runs only) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, else one of our own where driver and executors are one process.
+
+    On a cluster without the setting there is no folder that all can read, so that it is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = tempfile.mkdtemp(prefix="evidara-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     atexit.register(shutil.rmtree, own, True)
@@ -82,16 +88,15 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows of an input with fewer files than cores, which few tasks would read.
+    """Round-robin the rows of a scan that fewer tasks than there are cores would read.
 
-    A file of one row group is one task however the scan is cut. Inputs of many files stay as they are.
+    A file of one row group is one task however the scan is cut. What comes out of a shuffle stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        few = len(df.inputFiles()) < cores
-    except Exception:
-        few = False
-    return df.repartition(cores) if few else df
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def few_rows(df: DataFrame, limit: int) -> bool:

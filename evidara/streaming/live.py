@@ -61,12 +61,13 @@ def replay(spark: SparkSession, path: str, schema, transform: Callable[[DataFram
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+        # a batch that is retried writes over what it wrote before
+        batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={n}")
 
     result = transform(source)
     running = result.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
 def streaming_trend(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -108,6 +109,23 @@ def test_cursor_is_of_one_query():
         metadata.Cursor.decode("!!", "q", "name", False)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_vector_topics_are_the_same_in_blocks(spark, block):
+    r = np.random.default_rng(3)
+    near = r.standard_normal((6, 8))
+    rows = [(i, f"m{i % 2}" if i % 9 else None, f"question number {i}", (near[i % 6] + 0.25 * r.standard_normal(8)).tolist(), f"2026-01-{1 + i % 28:02} 10:00:{i:02}") for i in range(60)]
+    df = spark.createDataFrame(rows, "question_id long, embedding string, question string, query_vector array<double>, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    want, made = {}, {}
+    for i, m, _, v, ts in sorted(rows, key=lambda x: (x[4], x[0]), reverse=True):
+        u = np.array(v) / np.linalg.norm(v)
+        best = max(((float(u @ w), t) for t, w in made.get(m, [])), default=(-2, None))
+        want[i] = best[1] if best[0] > 0.8 else i
+        if want[i] == i:
+            made.setdefault(m, []).append((i, u))
+    got = {x.question_id: x.topic_id for x in gaps.vector_topics(df, 0.8, block).collect()}
+    assert got == want and len(set(want.values())) < 60
+
+
 def test_vector_topics_join_the_closest(spark):
     rows = [(1, "a b", "m", 1, [1.0, 0.0]), (2, "b a", "m", 2, [0.9, 0.1]), (3, "c", "m", 3, [0.0, 1.0]), (4, "d", "m", 4, [0.99, 0.0])]
     df = spark.createDataFrame(rows, "question_id long, question string, embedding string, ts int, query_vector array<double>")
@@ -248,4 +266,4 @@ def test_whole_topic_pairs_count_every_pair(spark, small):
     from evidara.plans import catalogue
 
     n = spark.read.parquet(f"{small}/embeddings.parquet").count()
-    assert sum(x.pairs for x in catalogue.queries()["topic_pairs_whole"](spark, small).collect()) == n * (n - 1) // 2
+    assert sum(x.pairs for x in catalogue.queries()["topic_pairs_joined"](spark, small).collect()) == n * (n - 1) // 2
