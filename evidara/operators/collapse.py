@@ -117,6 +117,8 @@ def folded_results(items: DataFrame, limit: int | None = None, spaces: Spaces =
     their slots, score and all, and they go under it with what is under them. What is marked alone leads nothing. Once there are `limit` slots, only folding
     goes on. A query's results are at most MAX_SCAN.
     """
+    if spaces.chunk is None:  # vectors are not looked at
+        items = items.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), F.lit(None).cast("array<float>").alias("vector"))))
     fields = ["rank", "item", "score", "alone", "collection", "document_id", "seq_start", "seq_end", "char_start", "char_end", "chunks"]
     listed = items.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("own"))
 
@@ -141,10 +143,18 @@ class Measured:
 
     @classmethod
     def by_words(cls, results: list, width: int = 3) -> Measured:
-        texts = [[WORDS.findall((c["text"] or "").lower()) for c in r["chunks"]] for r in results]
-        shingled = [{tuple(w[i : i + width]) for w in own for i in range(len(w) - width + 1)} for own in texts]
+        known: dict[str, int] = {}
+        texts = [[np.array([known.setdefault(w, len(known)) for w in WORDS.findall((c["text"] or "").lower())], np.int64) for c in r["chunks"]] for r in results]
+        shingled = []
+        for own in texts:
+            runs = [np.empty(0, np.int64)]
+            for w in own:
+                if len(w) >= width:
+                    # the places of the words in one table, as the digits of one number
+                    runs.append(sum(w[i : len(w) - width + 1 + i] * (len(known) + 1) ** i for i in range(width)))
+            shingled.append(np.unique(np.concatenate(runs)))
         common, n = _common(shingled)
-        met, size = _common([{x for w in own for x in w} for own in texts])
+        met, size = _common([np.unique(np.concatenate([np.empty(0, np.int64), *own])) for own in texts])
         speaks = n >= LEAST_SHINGLES
         into = np.where(speaks[:, None], common / np.maximum(n, 1)[:, None], 0.0)
         alike = np.where(speaks[:, None] & speaks[None, :], met / np.maximum(size[:, None] + size[None, :] - met, 1), 0.0)
@@ -170,14 +180,19 @@ class Measured:
         return ("equivalent", float(max(min(into, over), alike)), False) if inside or alike > self.whole else None
 
 
-def _common(sets: list[set]) -> tuple[np.ndarray, np.ndarray]:
-    """(members in common of each two sets, sizes), from the sets' places in one table."""
-    place: dict = {}
-    at = [[place.setdefault(x, len(place)) for x in s] for s in sets]
-    table = np.zeros((len(sets), len(place)), np.float32)
-    for row, own in zip(table, at):
-        row[own] = 1
-    return (table @ table.T).astype(float), np.array([len(s) for s in sets], float)
+def _common(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(members in common of each two sets, sizes); sets are of distinct numbers."""
+    n = np.array([len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    # members of one set only are in common with none
+    several = times > 1
+    column = np.cumsum(several) - 1
+    row, met = np.repeat(np.arange(len(sets)), n), several[place]
+    table = np.zeros((len(sets), int(several.sum())), np.float32)
+    table[row[met], column[place[met]]] = 1
+    common = (table @ table.T).astype(float)
+    np.fill_diagonal(common, n)
+    return common, n.astype(float)
 
 
 def _label(result) -> str | None:

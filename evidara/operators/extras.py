@@ -10,21 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.operators.retrieval import bm25, top_k
+from evidara.operators.retrieval import FullText, top_k
 
 DOC = ["collection", "document_id"]
 #: Rows that every task holds at a time when all pairs are counted.
 PAIR_BLOCK = 512
 
 
-def probes(missing: DataFrame, rows: DataFrame, key: list[str], text: str, held: DataFrame, depth: int = 20) -> DataFrame:
+def probes(missing: DataFrame, index: FullText, held: DataFrame, depth: int = 20) -> DataFrame:
     """(query_id, key, score): for each question the best row that holds words its answer misses and is not in the answer yet.
 
-    missing(query_id, term), held(query_id, key). The ranking is read `depth` and what is held deep.
+    missing(query_id, term), held(query_id, key), index over the rows by their key. The ranking is read `depth` and what is held deep, which is bounded by what an answer scans.
     """
+    key = index.key
     asked = missing.groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("term"))).alias("question"))
-    found = bm25(asked, rows, key, text)
     n = held.groupBy("query_id").agg(F.count("*").alias("n_held"))
+    most = n.join(asked, "query_id", "left_semi").agg(F.max("n_held")).first()[0] or 0
+    found = index.search(asked, depth + most).drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *key)
     deep = found.join(n, "query_id", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= depth + F.coalesce("n_held", F.lit(0)))
     new = deep.join(held.select("query_id", *key).distinct(), ["query_id", *key], "left_anti")

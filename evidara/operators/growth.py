@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.columns import STOPWORDS
+from evidara.functions.columns import STOPWORDS, words
 from evidara.operators.collapse import LEAST_WORDS
 from evidara.operators.frames import frame
 from evidara.settings import MAX_SCAN, SearchSettings
@@ -280,15 +280,25 @@ def wanted(hits: DataFrame, least: int, reach: int) -> DataFrame:
     if least <= 0:
         return hits.select("query_id", *PLACE).where("false")
     steps = F.explode(F.concat(F.sequence(F.lit(-reach), F.lit(-1)), F.sequence(F.lit(1), F.lit(reach))))
-    around = hits.select("query_id", "collection", "document_id", "seq", steps.alias("_by")).withColumn("seq", F.col("seq") + F.col("_by")).where("seq >= 1").drop("_by").distinct()
+    # a span is no fragment if one of its chunks is long enough by itself
+    short = hits.where((F.col("char_end") - F.col("char_start") < least) | (F.size(words("text")) < LEAST_WORDS))
+    around = short.select("query_id", "collection", "document_id", "seq", steps.alias("_by")).withColumn("seq", F.col("seq") + F.col("_by")).where("seq >= 1").drop("_by").distinct()
     return around.join(hits.select("query_id", *PLACE), ["query_id", *PLACE], "left_anti")
 
 
-def judged(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: SearchSettings, grows: bool) -> DataFrame:
+def _without_vectors(chunks: DataFrame, unless: bool) -> DataFrame:
+    """chunks with null vectors where nothing is going to look at them."""
+    return chunks if unless else chunks.withColumn("vector", F.lit(None).cast(chunks.schema["vector"].dataType))
+
+
+def judged(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: SearchSettings, grows: bool, vectors: bool = True) -> DataFrame:
     """Rows as of SPANS: what was hit as passages, those that are too short grown (or, where grows is false, owed what is around them), or marked alone.
 
-    hits(query_id, rank, score, name, chunk columns), questions(query_id, question[, vector]). The best span of a question is never alone.
+    hits(query_id, rank, score, name, chunk columns), questions(query_id, question[, vector]). The best span of a question is never alone. vectors: whether the
+    chunks in the result need theirs.
     """
+    needed = vectors or "vector" in questions.columns
+    hits, chunks = _without_vectors(hits, needed), _without_vectors(chunks.select(*CHUNK), needed)
     near = wanted(hits, settings.min_passage_chars, settings.max_passage_grow).join(chunks.select(*CHUNK), PLACE)
     own = hits.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.collect_list(F.struct("rank", "score", "name", *CHUNK)).alias("own"))
     beside = near.groupBy("query_id").agg(F.collect_list(F.struct(*CHUNK)).alias("near"))
@@ -303,8 +313,10 @@ def judged(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: S
                 candidates = sorted((_row(r) for r in near), key=key_of) if near is not None else []
                 names = {c["document_id"]: c["name"] for c in scanned}
                 candidates = [{**c, "name": names.get(c["document_id"])} for c in candidates]
-                value, _ = values(scanned, candidates, [(question, vector)], settings.grow_bias)
-                around = {key_of(c): (c, float(v)) for c, v in zip(candidates, value)}
+                around = {}
+                if candidates and any(fragment(s, settings.min_passage_chars) for s in spans):
+                    value, _ = values(scanned, candidates, [(question, vector)], settings.grow_bias)
+                    around = {key_of(c): (c, float(v)) for c, v in zip(candidates, value)}
                 found = judged_spans(spans, around, settings.min_passage_chars, settings.max_passage_grow, settings.score_fold, grows)
                 rows += [_shown(q, n, s) for n, s in enumerate(found, 1)]
             yield frame(rows, SPANS)
@@ -322,6 +334,7 @@ def filled(kept: DataFrame, chunks: DataFrame, questions: DataFrame, settings: S
     the budget already, on any of its rows. Sections of which nothing stands are dropped.
     """
     reach = settings.max_passage_grow
+    chunks = _without_vectors(chunks.select(*CHUNK), "vector" in questions.columns)
     within = F.explode(F.sequence(F.least(F.col("seq_start"), F.greatest("s_start", F.col("seq_start") - reach)), F.greatest(F.col("seq_end"), F.least("s_end", F.col("seq_end") + reach))))
     asked = kept.select("query_id", "collection", "document_id", within.alias("seq")).distinct()
     rows = asked.join(chunks.select(*CHUNK), PLACE).groupBy("query_id").agg(F.collect_list(F.struct(*CHUNK)).alias("rows"))

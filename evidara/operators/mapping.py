@@ -5,7 +5,10 @@ Both are one bounded group for each query or request: at most MAX_SCAN chunks of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +35,25 @@ def covered(hits: DataFrame, limit: int, fold: str = "sum") -> DataFrame:
     a chunk has no vector, sections come by score under the same cap, and repeat a pick by their words.
     pick counts from 1; coverage is the part that is covered after a pick; capped tells a pick beyond the cap.
     """
-    fields = ["rank", "item", "document_id", "score", "vector", "text"]
-    listed = hits.where(F.col("rank") <= MAX_SCAN).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-
-    def run(it):
-        for own in it:
+    # texts are looked at where a vector is missing only
+    whole = F.max(F.col("vector").isNull().cast("int")).over(Window.partitionBy("query_id")) == 0
+    rows = hits.where(F.col("rank") <= MAX_SCAN).withColumn("text", F.when(~whole, F.col("text")))
+    fields = ["rank", "item", "document_id", "score", "text"]
+    listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields, F.col("vector").cast("array<float>").alias("vector")))).alias("rows"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
             out: list[tuple] = []
-            for q, rows in zip(own.query_id, own.rows):
-                out += [(q, *r) for r in mapped(list(rows), limit, fold)]
-            yield frame(out, COVERED)
-
-    return listed.mapInPandas(run, COVERED)
+            ends, flat = b.column("rows").offsets.to_pylist(), b.column("rows").values
+            columns = {c: flat.field(c).to_pylist() for c in fields}
+            cuts, values, known = flat.field("vector").offsets.to_numpy(), flat.field("vector").values.to_numpy(), flat.field("vector").is_valid().to_pylist()
+            for q, a, z in zip(b.column("query_id").to_pylist(), ends, ends[1:]):
+                own = [{**{c: v[i] for c, v in columns.items()}, "vector": values[cuts[i] : cuts[i + 1]] if known[i] else None} for i in range(a, z)]
+                out += [(q, *r) for r in mapped(own, limit, fold)]
+            if out:
+                yield pa.RecordBatch.from_pandas(frame(out, COVERED), preserve_index=False)
+
+    return listed.mapInArrow(run, COVERED)
 
 
 def mapped(rows: list, limit: int, fold: str) -> list[tuple]:

@@ -5,16 +5,19 @@ Every operator carries query_id; what ranks one query's rows is a window over it
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.columns import words
-from evidara.session import few_rows
+from evidara.session import few_rows, scratch
 
 #: Constants of BM25.
 K1, B = 1.2, 0.75
@@ -38,13 +41,12 @@ def postings(rows: DataFrame, key: list[str], text: str, index: list[str] | None
 def bm25(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int | None = None, index: list[str] | None = None, query_text: str = "question") -> DataFrame:
     """(query_id, index, key, score [, rank]): the full-text scores of the rows that hold a term of a query.
 
-    queries(query_id, question). Statistics are those of each index, or of all rows. Queries are the small side: where
-    their terms are few they are broadcast, so that only rows that hold one are shuffled. With k and one index, rows are
-    scored in blocks and only each task's best k are shuffled, which many questions of common words need.
+    queries(query_id, question). Statistics are those of each index, or of all rows. With k, rows are scored in blocks of queries and only each task's best k are
+    shuffled, by an index that is built here (FullText, where one is at hand); without k, all rows with a term are, where the terms are few by a broadcast.
     """
     index = index or []
-    if k is not None and not index:
-        return _bm25_in_blocks(queries, rows, key, text, k, query_text)
+    if k is not None:
+        return FullText(rows, key, text, index).search(queries, k, query_text)
     asked = queries.select("query_id", F.explode(F.array_distinct(words(query_text))).alias("term"))
     own = rows.select(*index, *key, words(text).alias("w")).where(F.size("w") > 0)
     size = own.groupBy(*index).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
@@ -53,83 +55,113 @@ def bm25(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int
     met = found.join(F.broadcast(terms) if few_rows(terms, 200_000) else terms, "term", "left_semi")
     df = met.groupBy(*index, "term").agg(F.count("*").alias("df"))
     weighed = met.join(df, [*index, "term"])
-    weighed = weighed.join(F.broadcast(size), index) if index else weighed.crossJoin(F.broadcast(size))
+    weighed = weighed.join(F.broadcast(size) if few_rows(size, 200_000) else size, index) if index else weighed.crossJoin(F.broadcast(size))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.withColumn("part", part).join(asked, "term").groupBy("query_id", *index, *key).agg(F.sum("part").alias("score"))
-    return scored if k is None else top_k(scored, k, ["query_id", *index], F.round("score", 9).desc(), *key)
+    return weighed.withColumn("part", part).join(asked, "term").groupBy("query_id", *index, *key).agg(F.sum("part").alias("score"))
 
 
-def _bm25_in_blocks(queries: DataFrame, rows: DataFrame, key: list[str], text: str, k: int, query_text: str) -> DataFrame:
-    """bm25 over all rows as one index: each task scores its rows for a block of queries and passes on the best k of each."""
-    spark = rows.sparkSession
-    asked = queries.select("query_id", F.array_distinct(words(query_text)).alias("terms")).where(F.size("terms") > 0)
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = ", ".join([f"query_id {kind}", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key), "score double"])
-    own = rows.select(*key, words(text).alias("w")).where(F.size("w") > 0)
-    # rows are taken as they come: the caller sees to it that a key is there once
-    n, avgdl = own.agg(F.count("*"), F.avg(F.size("w"))).first()
-    terms = asked.select(F.explode("terms").alias("term")).distinct()
-    held = own.select(F.explode(F.array_distinct("w")).alias("term"))
-    counts = held.join(F.broadcast(terms) if few_rows(terms, 200_000) else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    result = None
-    block: list = []
+class FullText:
+    """A stored full-text index: each row's terms with their counts, how many rows of an index have each term, and its size.
+
+    Texts are cut into words once. A row is stored once, whatever the number of its terms, so that a term that a third of all rows hold is no hot key.
+    Rows are taken as they come: the caller sees to it that a key is there once. index names columns of which each value is an index of its own.
+    """
 
-    def scored(block: list) -> DataFrame:
-        mine = spark.createDataFrame([(t,) for t in {t for r in block for t in r.terms}], "term string")
-        df = {r.term: r.df for r in counts.join(F.broadcast(mine), "term").collect()}  # at most the terms of a block
-        shared = spark.sparkContext.broadcast(([r.query_id for r in block], [[t for t in r.terms if t in df] for r in block], df))
+    def __init__(self, rows: DataFrame, key: list[str], text: str, index: list[str] | None = None):
+        self.key, self.index = key, index or []
+        place = [*self.index, *key]
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, wanted, df = shared.value
             for b in it:
-                rows_of, tfs = {}, {}
-                m = b.num_rows
-                lengths = np.zeros(m)
-                for i, w in enumerate(b.column("w").to_pylist()):
-                    lengths[i] = len(w)
-                    own: dict[str, int] = {}
-                    for t in w:
-                        if t in df:
-                            own[t] = own.get(t, 0) + 1
-                    for t, c in own.items():
-                        rows_of.setdefault(t, []).append(i)
-                        tfs.setdefault(t, []).append(c)
-                part = {}
-                for t, at in rows_of.items():
-                    at, tf = np.array(at), np.array(tfs[t], float)
-                    idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
-                    part[t] = (at, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / avgdl)))
-                q_at, r_at, scores = [], [], []
-                for q, terms in enumerate(wanted):
-                    there = [part[t] for t in terms if t in part]
-                    if not there:
-                        continue
-                    total = np.bincount(np.concatenate([at for at, _ in there]), weights=np.concatenate([x for _, x in there]), minlength=m)
-                    hit = np.flatnonzero(total > 0)
-                    if len(hit) > k:
-                        # ties at the cut are kept, so that the last word on them is the window's
-                        edge = np.partition(total[hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[total[hit] >= edge - 2e-9]
-                    q_at.append(np.full(len(hit), q))
-                    r_at.append(hit)
-                    scores.append(total[hit])
-                if q_at:
-                    at = pa.array(np.concatenate(r_at))
-                    yield pa.record_batch([pa.array(names).take(pa.array(np.concatenate(q_at))), *(b.column(c).take(at) for c in key), pa.array(np.concatenate(scores))], names=["query_id", *key, "score"])
-
-        return own.mapInArrow(run, schema)
+                counted = [Counter(w) for w in b.column("w").to_pylist()]
+                columns = [*(b.column(c) for c in place), pa.array([n.total() for n in counted], pa.int32()), pa.array([list(n) for n in counted], pa.list_(pa.string())), pa.array([list(n.values()) for n in counted], pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, names=[*place, "dl", "terms", "tfs"])
+
+        own = rows.select(*place, words(text).alias("w")).where(F.size("w") > 0)
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in place), "dl int, terms array<string>, tfs array<int>"])
+        self.rows = scratch(own.mapInArrow(run, schema), "fulltext")
+        self.sizes = scratch(self.rows.groupBy(*self.index).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "sizes")
+        self.df = scratch(self.rows.select(*self.index, F.explode("terms").alias("term")).groupBy(*self.index, "term").agg(F.count("*").alias("df")), "df")
+        self.schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in place), "score double"])
+
+    def search(self, queries: DataFrame, k: int, query_text: str = "question") -> DataFrame:
+        """(query_id, index, key, score, rank): the best k rows of each index for each query; queries are read a block at a time."""
+        kind = queries.schema["query_id"].dataType.simpleString()
+        schema, place = f"query_id {kind}, {self.schema}", [*self.index, *self.key]
+        asked = queries.select("query_id", F.array_distinct(words(query_text)).alias("terms")).where(F.size("terms") > 0)
+        parts, block = [], []
+        for r in asked.toLocalIterator():
+            block.append(r)
+            if len(block) == QUERY_BLOCK:
+                parts.append(self.rows.mapInArrow(self._scorer(block, k), schema))
+                block = []
+        if block:
+            parts.append(self.rows.mapInArrow(self._scorer(block, k), schema))
+        if not parts:
+            return self.rows.sparkSession.createDataFrame([], schema + ", rank int")
+        return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id", *self.index], F.round("score", 9).desc(), *place)
+
+    def _scorer(self, block: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        spark, index, key = self.rows.sparkSession, self.index, self.key
+        terms = sorted({t for r in block for t in r.terms})
+        mine = spark.createDataFrame([(t, n) for n, t in enumerate(terms)], "term string, t int")
+        # for each index at most the terms of a block
+        known = self.df.join(F.broadcast(mine), "term").join(self.sizes, index).select(*index, "t", "df", "n", "avgdl") if index else self.df.join(F.broadcast(mine), "term").crossJoin(F.broadcast(self.sizes)).select("t", "df", "n", "avgdl")
+        weights: dict[tuple, tuple] = {}
+        for r in known.toLocalIterator():
+            idf, avgdl = weights.setdefault(tuple(r[c] for c in index), (np.zeros(len(terms)), r.avgdl))
+            idf[r.t] = np.log1p((r.n - r.df + 0.5) / (r.df + 0.5))
+        at = {t: n for n, t in enumerate(terms)}
+        shared = spark.sparkContext.broadcast(([r.query_id for r in block], [np.array([at[t] for t in r.terms]) for r in block], pa.array(terms, pa.string()), weights))
 
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            result = scored(block) if result is None else result.unionByName(scored(block))
-            block = []
-    if block:
-        result = scored(block) if result is None else result.unionByName(scored(block))
-    if result is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    return top_k(result, k, ["query_id"], F.round("score", 9).desc(), *key)
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, wanted, terms, weights = shared.value
+            for b in it:
+                if not b.num_rows:
+                    continue
+                flat = pc.index_in(b.column("terms").flatten(), value_set=terms)
+                met = np.flatnonzero(np.asarray(flat.is_valid()))
+                term = flat.take(pa.array(met)).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(b.num_rows), b.column("terms").value_lengths().to_numpy(zero_copy_only=False))[met]
+                tf = b.column("tfs").flatten().to_numpy(zero_copy_only=False)[met].astype(float)
+                dl = b.column("dl").to_numpy(zero_copy_only=False)[row]
+                places = list(zip(*(b.column(c).to_pylist() for c in index))) if index else [()] * b.num_rows
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for name in dict.fromkeys(places):
+                    if name not in weights:
+                        continue
+                    idf, avgdl = weights[name]
+                    own = np.flatnonzero(np.fromiter((places[r] == name for r in row), bool, len(row))) if index else np.arange(len(row))
+                    t, r = term[own], row[own]
+                    score = idf[t] * tf[own] * (K1 + 1) / (tf[own] + K1 * (1 - B + B * dl[own] / avgdl))
+                    found += _best_rows(t, r, score, wanted, len(terms), b.num_rows, k)
+                if found:
+                    q, r, score = (np.concatenate(x) for x in zip(*found))
+                    taken = pa.array(r)
+                    yield pa.record_batch([pa.array(names).take(pa.array(q)), *(b.column(c).take(taken) for c in (*index, *key)), pa.array(score)], names=["query_id", *index, *key, "score"])
+
+        return run
+
+
+def _best_rows(term: np.ndarray, row: np.ndarray, score: np.ndarray, wanted: list[np.ndarray], terms: int, rows: int, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, score) of the best k rows of each query, and those that tie with the last, so that the last word on ties is the window's."""
+    order = np.argsort(term, kind="stable")
+    row, score = row[order], score[order]
+    first = np.searchsorted(term[order], np.arange(terms + 1))
+    out = []
+    for q, own in enumerate(wanted):
+        spans = [(first[t], first[t + 1]) for t in own if first[t] < first[t + 1]]
+        if not spans:
+            continue
+        total = np.bincount(np.concatenate([row[a:z] for a, z in spans]), weights=np.concatenate([score[a:z] for a, z in spans]), minlength=rows)
+        hit = np.flatnonzero(total > 0)
+        if len(hit) > k:
+            edge = np.partition(total[hit], len(hit) - k)[len(hit) - k]
+            hit = hit[total[hit] >= edge - 2e-9]
+        out.append((np.full(len(hit), q), hit, total[hit]))
+    return out
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, query_vector: str = "vector") -> DataFrame:

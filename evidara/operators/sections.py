@@ -155,14 +155,17 @@ def excerpts(passages: DataFrame, under: str | None = None) -> DataFrame:
 
 
 def missing_terms(queries: DataFrame, texts: DataFrame, stemmed: bool = True, question: str = "question") -> DataFrame:
-    """(query_id, term): the terms of a question that no text kept for it holds, by stem. texts(query_id, text)."""
+    """(query_id, term): the terms of a question that no text kept for it holds, by stem. texts(query_id, text).
+
+    A stem starts with the letter of its word, so that only words that start as a term of their question does are stemmed.
+    """
     from evidara.functions.stem import stems
 
-    asked = queries.select("query_id", question_terms(question).alias("w"))
-    held = texts.select("query_id", F.array_distinct(words("text")).alias("w"))
-    if stemmed:
-        asked, held = asked.withColumn("s", stems("w")), held.withColumn("s", stems("w"))
-    else:
-        asked, held = asked.withColumn("s", F.col("w")), held.withColumn("s", F.col("w"))
-    terms = asked.select("query_id", F.explode(F.arrays_zip("w", "s")).alias("x")).select("query_id", F.col("x.w").alias("term"), F.col("x.s").alias("stem"))
-    return terms.join(held.select("query_id", F.explode("s").alias("stem")).distinct(), ["query_id", "stem"], "left_anti").select("query_id", "term")
+    asked = queries.select("query_id", F.explode(question_terms(question)).alias("term")).distinct()
+    held = texts.select("query_id", F.explode(F.array_distinct(words("text"))).alias("word")).distinct()
+    if not stemmed:
+        return asked.join(held.withColumnRenamed("word", "term"), ["query_id", "term"], "left_anti")
+    first = F.substring("term", 1, 1)
+    near = held.withColumn("head", F.substring("word", 1, 1)).join(asked.select("query_id", first.alias("head")).distinct(), ["query_id", "head"])
+    told = near.select("query_id", stems(F.array("word"))[0].alias("stem")).distinct()
+    return asked.withColumn("stem", stems(F.array("term"))[0]).join(told, ["query_id", "stem"], "left_anti").select("query_id", "term")

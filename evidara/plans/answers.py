@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,19 +16,43 @@ KEY = ["collection", "document_id", "seq"]
 SPAN = ["document_id", "char_start", "char_end"]
 
 
+_LIBRARIES: dict[tuple, Library] = {}
+
+
 @dataclass(frozen=True)
 class Library:
     """The tables that answers are made from: chunks and documents, without what is leaving."""
 
     chunks: DataFrame
     documents: DataFrame
+    indexes: dict = field(default_factory=dict, compare=False)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Library:
-        documents = load(spark, sf_dir, "documents")
-        gone = documents.where("status <> 'imported'")
-        chunks = load(spark, sf_dir, "chunks").where("text is not null").dropDuplicates(KEY)
-        return cls(retrieval.leaving_out(chunks, gone), documents)
+        """The library of a folder, whose indexes are kept for the application, as the tables of a folder stay as they are."""
+        name = (spark.sparkContext.applicationId, sf_dir)
+        if name not in _LIBRARIES:
+            documents = load(spark, sf_dir, "documents")
+            gone = documents.where("status <> 'imported'")
+            chunks = load(spark, sf_dir, "chunks").where("text is not null").dropDuplicates(KEY)
+            _LIBRARIES[name] = cls(scratch(retrieval.leaving_out(chunks, gone), "library"), documents)
+        return _LIBRARIES[name]
+
+    def by_id(self) -> retrieval.FullText:
+        """Full text by chunk id; a chunk that lies in two collections counts once."""
+        if "id" not in self.indexes:
+            self.indexes["id"] = retrieval.FullText(self.chunks.groupBy("id").agg(F.min("framed").alias("framed")), ["id"], "framed")
+        return self.indexes["id"]
+
+    def by_place(self) -> retrieval.FullText:
+        if "place" not in self.indexes:
+            self.indexes["place"] = retrieval.FullText(self.chunks, KEY, "framed")
+        return self.indexes["place"]
+
+    def runs(self) -> DataFrame:
+        if "runs" not in self.indexes:
+            self.indexes["runs"] = scratch(sections.runs(self.chunks), "runs")
+        return self.indexes["runs"]
 
     def names(self) -> DataFrame:
         return self.documents.groupBy("document_id").agg(F.min("name").alias("name"))
@@ -46,7 +70,7 @@ def ranked(library: Library, questions: DataFrame, settings: SearchSettings, kin
         own = library.chunks.where("vector is not null").groupBy("id").agg(F.max("vector").alias("vector"))
         halves.append(retrieval.nearest(questions.where("vector is not null"), own, "id", "vector", deep))
     if settings.mode != "vector" or not halves:
-        halves.append(retrieval.bm25(asked, library.chunks.groupBy("id").agg(F.min("framed").alias("framed")), ["id"], "framed", deep))
+        halves.append(library.by_id().search(asked, deep))
     if len(halves) == 1:
         only = halves[0] if "score" in halves[0].columns else halves[0].withColumn("score", C.nearness("distance"))
         fused = only.select("query_id", "id", "score", "rank")
@@ -76,7 +100,7 @@ def explore(library: Library, questions: DataFrame, settings: SearchSettings = S
     """Chunks or passages, best first, near copies folded under the better one; passages too short to stand alone are grown or left out."""
     rows = scratch(ranked(library, questions, settings, kind), "ranked")
     if kind == "passage":
-        grown = scratch(growth.judged(rows, library.chunks, questions, settings, grows=True), "spans")
+        grown = scratch(growth.judged(rows, library.chunks, questions, settings, grows=True, vectors=spaces.chunk is not None), "spans")
         found = _led(grown.where("not alone"), settings.limit, settings, spaces)
         cited = C.citation(F.col("name"), F.col("page_start"), F.col("page_end"), F.col("line_start"), F.col("line_end"))
         return passages.quotes(found.withColumn("citation", cited).drop("chunks"), library.documents.select("document_id", "text"))
@@ -107,7 +131,7 @@ def _with_probe(library: Library, questions: DataFrame, kept: DataFrame, runs: D
     held = scratch(seqs.join(library.chunks.select(*KEY, "text", "headings"), KEY), "held")
     texts = held.select("query_id", F.concat_ws(" ", "text", F.array_join("headings", " ")).alias("text"))
     missing = sections.missing_terms(questions.join(kept.select("query_id").distinct(), "query_id"), texts).distinct()
-    best = scratch(extras.probes(missing, library.chunks, KEY, "framed", held.select("query_id", *KEY)).select("query_id", *KEY), "probes")
+    best = scratch(extras.probes(missing, library.by_place(), held.select("query_id", *KEY)).select("query_id", *KEY), "probes")
     spans = best.join(library.chunks.select(*KEY, "char_start", "char_end"), KEY).select("query_id", "collection", "document_id", F.col("seq").alias("seq_start"), F.col("seq").alias("seq_end"), "char_start", "char_end")
     placed = sections.section_of(spans, runs, settings.max_section_chars).select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end")
     groups = kept.groupBy(*PASSAGE).agg(F.first("group_rank").alias("_own"))
@@ -126,13 +150,13 @@ def excerpts(library: Library, questions: DataFrame, settings: SearchSettings =
     too and fits; sections of which nothing stands are dropped. missing_terms are the words of the question that no excerpt holds in the end.
     """
     rows = scratch(ranked(library, questions, settings, "section"), "ranked")
-    spans = scratch(growth.judged(rows, library.chunks, questions, settings, grows=False), "spans")
+    spans = scratch(growth.judged(rows, library.chunks, questions, settings, grows=False, vectors=spaces.chunk is not None), "spans")
     return assembled(library, questions, _led(spans, None, settings, spaces).select(*RANGE), settings)
 
 
 def assembled(library: Library, questions: DataFrame, found: DataFrame, settings: SearchSettings) -> DataFrame:
     """Excerpts, as of excerpts(), from folded ranges; questions may have several rows of one query_id, the parts of one request."""
-    runs = scratch(sections.runs(library.chunks), "runs")
+    runs = library.runs()
     placed = scratch(sections.section_of(found, runs, settings.max_section_chars), "placed")
     groups = sections.grouped(placed, settings.limit).select(*PASSAGE, F.col("rank").alias("group_rank"))
     own = placed.join(groups, PASSAGE).select(*PASSAGE, "path", "s_start", "s_end", "seq_start", "seq_end", "char_start", "char_end", "group_rank", "rank", "score", "alone", "owed", F.lit(False).alias("first"))
@@ -171,7 +195,7 @@ def several(library: Library, requests: DataFrame, settings: SearchSettings = Se
     own = asked.select("query_id", "question", *extra)
     rows = scratch(ranked(library, own, settings, "section"), "ranked")
     request = F.floor(F.col("query_id") / mapping.MAX_QUESTIONS).alias("request_id")
-    spans = scratch(growth.judged(rows, library.chunks, own, settings, grows=False).withColumns({"request_id": request, "part": F.pmod("query_id", F.lit(mapping.MAX_QUESTIONS)).cast("int"), "item": F.xxhash64("query_id", "rank")}), "spans")
+    spans = scratch(growth.judged(rows, library.chunks, own, settings, grows=False, vectors=False).withColumns({"request_id": request, "part": F.pmod("query_id", F.lit(mapping.MAX_QUESTIONS)).cast("int"), "item": F.xxhash64("query_id", "rank")}), "spans")
     ends = spans.join(library.chunks.select("collection", "document_id", F.col("seq").alias("seq_end"), "end_reason"), ["collection", "document_id", "seq_end"], "left")
     picks = scratch(mapping.interleaved(ends, settings.limit, settings.scan("section")[0]), "picks")
     # the ranges of one pick are one range: its chunks once each, its score the fold of theirs
@@ -203,7 +227,7 @@ def section_map(library: Library, questions: DataFrame, settings: SearchSettings
     related to them. A section that lies in two collections counts once, by its span of the document."""
     rows = scratch(ranked(library, questions, settings, "section"), "ranked")
     found = rows.select("query_id", "rank", "collection", "document_id", F.col("seq").alias("seq_start"), "score", "vector", "text")
-    placed = sections.section_of(found, sections.runs(library.chunks), settings.max_section_chars)
+    placed = sections.section_of(found, library.runs(), settings.max_section_chars)
     centre = metadata.mean_vector(library.chunks.where("vector is not null").withColumn("_all", F.lit(1)), ["_all"], "vector").select(F.col("vector").alias("centre"))
     centred = placed.crossJoin(F.broadcast(centre)).withColumn("vector", C.unit(F.zip_with(C.unit("vector"), "centre", lambda x, y: x - y)))  # one row
     items = scratch(centred.withColumn("item", F.xxhash64("document_id", "s_char_start", "s_char_end")), "items")

@@ -49,11 +49,23 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 def hits(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """The best k chunks of each question by full text, with what passages need."""
     rows = corpus(spark, d)
-    best = retrieval.bm25(asked(spark, d), rows, KEY, "framed", k)
+    best = fulltext(spark, d).search(asked(spark, d), k)
     own = rows.select(*KEY, "char_start", "char_end", "line_start", "line_end", "page_start", "page_end", "start_reason", "end_reason", "headings", "text", "framed", "vector")
     return best.join(own, KEY).join(names(spark, d), "document_id", "left").withColumn("name", F.coalesce("name", "document_id"))
 
 
+#: Stored full-text indexes by application, folder, and what is indexed.
+_INDEXES: dict[tuple, retrieval.FullText] = {}
+
+
+def fulltext(spark: SparkSession, d: str, per_collection: bool = False) -> retrieval.FullText:
+    """The stored index of a folder's chunks; built once in an application, as the tables of a folder stay as they are."""
+    name = (spark.sparkContext.applicationId, d, per_collection)
+    if name not in _INDEXES:
+        _INDEXES[name] = retrieval.FullText(corpus(spark, d), ["document_id", "seq"], "framed", ["collection"]) if per_collection else retrieval.FullText(corpus(spark, d), KEY, "framed")
+    return _INDEXES[name]
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -63,13 +75,12 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.bm25(asked(spark, d), corpus(spark, d), KEY, "framed", 25), "score")
+    return rounded(fulltext(spark, d).search(asked(spark, d), 25), "score")
 
 
 @query
 def bm25_per_collection(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d)
-    return rounded(retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 5, index=["collection"]), "score")
+    return rounded(fulltext(spark, d, per_collection=True).search(asked(spark, d), 5), "score")
 
 
 @query
@@ -108,7 +119,7 @@ def linear_hybrid(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ranked_halves_multi_collection(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d)
-    per = retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 10, index=["collection"]).drop("rank")
+    per = fulltext(spark, d, per_collection=True).search(asked(spark, d), 10).drop("rank")
     spans = per.join(rows.select(*KEY, "char_start", "char_end"), KEY)
     half = retrieval.ranked_halves(spans.withColumn("score", F.round("score", 6)), SPAN, "score", True, 25)
     return half.select("query_id", "rank", "collection", *SPAN, "score")
@@ -123,7 +134,7 @@ def first_per_span(spark: SparkSession, d: str) -> DataFrame:
 @query
 def global_text_page(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d)
-    found = retrieval.bm25(asked(spark, d), rows, ["document_id", "seq"], "framed", 60, index=["collection"]).drop("rank")
+    found = fulltext(spark, d, per_collection=True).search(asked(spark, d), 60).drop("rank")
     found = found.join(rows.select(*KEY, "char_start", "char_end"), KEY)
     page = retrieval.text_page(found.withColumn("score", F.round("score", 6)), SPAN, 20, 10)
     return page.select("query_id", "rank", "collection", *SPAN, "score")
@@ -920,7 +931,7 @@ def compact_descriptors(spark: SparkSession, d: str) -> DataFrame:
 def probe_gaps(spark: SparkSession, d: str) -> DataFrame:
     best = scratch(hits(spark, d, 10), "hits")
     missing = sections.missing_terms(load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question"), best.select("query_id", "text"), stemmed=False)
-    return rounded(extras.probes(missing, corpus(spark, d), KEY, "framed", best.select("query_id", *KEY)), "score")
+    return rounded(extras.probes(missing, fulltext(spark, d), best.select("query_id", *KEY)), "score")
 
 
 @query
