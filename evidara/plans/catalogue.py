@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import columns as C
 from evidara.functions import ids
-from evidara.operators import calibrate, chunking, collapse, descriptors, extras, fill, gaps, log, mapping, metadata, passages, retrieval, sections
+from evidara.operators import calibrate, chunking, collapse, descriptors, extras, fill, gaps, library, log, mapping, metadata, passages, retrieval, sections
 from evidara.session import load, scratch
 from evidara.settings import ChunkSettings, resolved
 
@@ -1017,6 +1017,159 @@ def model_cache_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("embedding", extras.model_cache_name(F.col("embedding"), F.lit(64), F.lit("query: "), F.lit(None)).alias("cache_name"))
 
 
+# --- documents, collections, caches
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents").select("document_id", "status")
+    return load(spark, d, "chunks").select("collection", "document_id").distinct().join(documents, "document_id")
+
+
+@query
+def key_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that search candidates name."""
+    return library.at_keys(corpus(spark, d), load(spark, d, "candidates"), KEY).select(*KEY)
+
+
+@query
+def hit_rows(spark: SparkSession, d: str) -> DataFrame:
+    return library.as_hits(corpus(spark, d)).select(*KEY, "section_id", "header")
+
+
+@query
+def listed_with_collections(spark: SparkSession, d: str) -> DataFrame:
+    found = library.with_collections(load(spark, d, "documents").select("document_id", "name"), load(spark, d, "chunks"))
+    return found.withColumn("collections", F.array_join("collections", ","))
+
+
+@query
+def batched_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The source of every imported document that has chunks."""
+    return library.looked_up(load(spark, d, "documents"), load(spark, d, "chunks"), "document_id", "source", F.col("status") == "imported")
+
+
+@query
+def collection_info(spark: SparkSession, d: str) -> DataFrame:
+    return library.collection_info(_members(spark, d), corpus(spark, d))
+
+
+@query
+def pending_collections(spark: SparkSession, d: str) -> DataFrame:
+    return library.pending_collections(library.collection_info(_members(spark, d), corpus(spark, d)))
+
+
+@query
+def member_id_walk(spark: SparkSession, d: str) -> DataFrame:
+    return library.id_walk(load(spark, d, "documents"), "document_id", "M", 50)
+
+
+@query
+def sorted_documents(spark: SparkSession, d: str) -> DataFrame:
+    return library.sorted_page(load(spark, d, "documents").select("doc_id", "name", "pages"), "pages", 40, 20, descending=True)
+
+
+@query
+def indexed_caches(spark: SparkSession, d: str) -> DataFrame:
+    rows = _members(spark, d).withColumns({"status": F.when(F.col("status") == "imported", "indexed").otherwise(F.col("status")), "cache_id": F.md5("document_id")})
+    return library.indexed_caches(rows)
+
+
+@query
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of documents with text whose chunks are there."""
+    documents = load(spark, d, "documents")
+    entry = F.md5("document_id").alias("cache_id")
+    return library.cached(documents.select(entry), documents.where("text is not null").select(entry), load(spark, d, "chunks").select(entry)).distinct()
+
+
+@query
+def members_added(spark: SparkSession, d: str) -> DataFrame:
+    """Every document put into one more collection, and into those that it is in already."""
+    members = _members(spark, d)
+    new = load(spark, d, "documents").select(F.lit("everything").alias("collection"), "document_id").unionByName(members.select("collection", "document_id"))
+    found = library.members_added(members, new, load(spark, d, "documents"), ["imported", "queued"])
+    return found.groupBy("collection", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def loaded_models(spark: SparkSession, d: str) -> DataFrame:
+    return library.loaded_models(resolved(load(spark, d, "search_settings")))
+
+
+@query
+def calibration_lookup(spark: SparkSession, d: str) -> DataFrame:
+    models = library.loaded_models(resolved(load(spark, d, "search_settings")))
+    return library.calibrations(models, beta_fit(spark, d).where("beta_a > 1"))
+
+
+@query
+def operation_origins(spark: SparkSession, d: str) -> DataFrame:
+    return library.origins(load(spark, d, "search_results").select(F.col("search_id").alias("id")), load(spark, d, "searches"))
+
+
+@query
+def events_added(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions after the log's searches were added to the event stream's."""
+    known = _events(spark, d)
+    sessions_ = known.groupBy("session_id").agg(F.min("ts").cast("timestamp").alias("created_at"))
+    new = load(spark, d, "searches").select("session_id", F.col("ts").cast("timestamp").alias("at"), F.col("tool").alias("kind"))
+    made, _ = library.events_added(sessions_, known.select("session_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind")), new)
+    return made.groupBy(F.to_date("created_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query
+def stale_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "searches").select("id", F.when(F.col("error").isNull(), "PENDING").otherwise("ERROR").alias("status"), F.col("reranker").alias("version"), F.col("ts").alias("created_at"))
+    return library.stale(rows, ["PENDING"], "none", 50).select("id", "status", "version")
+
+
+def _weak(spark: SparkSession, d: str) -> DataFrame:
+    searches = load(spark, d, "searches").select(F.col("id").alias("search_id"), "embedding")
+    return library.weak_questions(load(spark, d, "search_questions").join(searches, "search_id"), _bars(spark))
+
+
+@query
+def weak_questions(spark: SparkSession, d: str) -> DataFrame:
+    return _weak(spark, d)
+
+
+@query
+def uncovered_questions(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "search_questions").where("trim(question) <> ''").select("id", "position", "question", (F.col("uncovered") == 1).alias("uncovered")).join(_weak(spark, d), "id")
+    return library.answered_with_gaps(rows).withColumn("uncovered", F.array_join("uncovered", "|"))
+
+
+@query
+def describe_order(spark: SparkSession, d: str) -> DataFrame:
+    return library.describe_order(sections.runs(corpus(spark, d))).select("collection", "document_id", "position", "turn")
+
+
+@query
+def ann_due(spark: SparkSession, d: str) -> DataFrame:
+    trained = corpus(spark, d).where("part = 0").groupBy("collection").agg(F.count("vector").alias("trained"))
+    return library.ann_due(corpus(spark, d), trained, least=0)
+
+
+@query
+def kept_children(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of the searches that a backup keeps: those of documents that are leaving are not."""
+    gone = load(spark, d, "documents").where("status <> 'imported'").select(F.col("name").alias("document"))
+    results = library.without(load(spark, d, "search_results"), gone, "document")
+    return library.kept_children(load(spark, d, "search_questions"), results, "search_id", "search_id").groupBy("search_id").agg(F.count("*").alias("n"))
+
+
+@query
+def shortened_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings").select("vec_id", library.shortened(F.col("embedding"), 16).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 5).alias("first"))
+
+
+@query
+def parts_deleted(spark: SparkSession, d: str) -> DataFrame:
+    first = corpus(spark, d).agg(F.min("document_id")).first()[0]
+    return library.parts_deleted(corpus(spark, d), first or "", 0).groupBy("collection").agg(F.count("*").alias("n"))
+
+
 # --- the flagship
 
 

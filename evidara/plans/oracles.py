@@ -208,6 +208,14 @@ walk(query_id, n, spent, kept, opened) AS (
 last AS (SELECT DISTINCT ON (query_id) * FROM walk ORDER BY query_id, n DESC)"""
 
 
+INFO = f"""WITH {CORPUS}, m AS (SELECT DISTINCT collection, document_id, status FROM chunks JOIN documents USING (document_id)),
+a AS (SELECT collection, count(DISTINCT document_id) AS documents, count(DISTINCT document_id) FILTER (status <> 'imported') AS pending FROM m GROUP BY 1),
+b AS (SELECT collection, count(*) AS chunks, count(DISTINCT (document_id, part)) AS parts, count(vector) AS vectors FROM corpus GROUP BY 1),
+info AS (SELECT collection, documents, pending, coalesce(chunks, 0) AS chunks, coalesce(parts, 0) AS parts, coalesce(vectors, 0) AS vectors FROM a LEFT JOIN b USING (collection))"""
+WEAK = """WITH bars AS (SELECT * FROM (VALUES ('fern-64', 0.79), ('fern-64q', 0.75)) t(embedding, bar)),
+w AS (SELECT q.id, q.search_id, coalesce(list_max(q.similarities)::DOUBLE < bar, false) AS weak FROM search_questions q JOIN searches s ON s.id = q.search_id LEFT JOIN bars USING (embedding))"""
+
+
 def oracle_sql() -> dict[str, str]:
     full = "collection, document_id, seq"
     span = "document_id, char_start, char_end"
@@ -282,6 +290,30 @@ SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total
           SELECT search_id AS request_id, array_to_string(parts, '|') AS parts, context, CASE WHEN len(parts) < 1 OR len(parts) > 5 THEN 'number of questions'
             WHEN list_max(list_transform(parts, lambda x: length(x))) > 500 THEN 'length of a question' WHEN length(context) > 200 THEN 'length of the context' END AS problem,
             CASE WHEN len(parts) <= 10 THEN ceil(10 / greatest(1, len(parts)))::INT END AS depth FROM c""",
+        "key_lookup": f"WITH {CORPUS} SELECT {full} FROM corpus SEMI JOIN candidates USING ({full})",
+        "hit_rows": f"WITH {CORPUS} SELECT {full}, coalesce(section_ids[-1], '') AS section_id, array_to_string(coalesce(headings, []), ' > ') AS header FROM corpus",
+        "listed_with_collections": "SELECT d.document_id, d.name, coalesce((SELECT string_agg(DISTINCT collection, ',' ORDER BY collection) FROM chunks c WHERE c.document_id = d.document_id), '') AS collections FROM documents d",
+        "batched_lookup": "SELECT DISTINCT document_id, source FROM documents SEMI JOIN chunks USING (document_id) WHERE status = 'imported'",
+        "collection_info": f"{INFO} SELECT * FROM info",
+        "pending_collections": f"{INFO} SELECT collection, pending FROM info WHERE pending > 0",
+        "member_id_walk": "SELECT DISTINCT document_id FROM documents WHERE document_id > 'M' ORDER BY 1 LIMIT 50",
+        "sorted_documents": "SELECT doc_id, name, pages FROM documents ORDER BY pages DESC NULLS LAST, name LIMIT 40 OFFSET 20",
+        "indexed_caches": "SELECT DISTINCT document_id, md5(document_id) AS cache_id FROM documents SEMI JOIN chunks USING (document_id) WHERE status = 'imported'",
+        "cache_lookup": "SELECT DISTINCT md5(document_id) AS cache_id FROM documents SEMI JOIN chunks USING (document_id) WHERE text IS NOT NULL",
+        "members_added": """WITH m AS (SELECT DISTINCT collection, document_id, status FROM chunks JOIN documents USING (document_id)), f AS (SELECT document_id FROM documents WHERE status IN ('imported', 'queued'))
+          SELECT collection, status, count(*) AS n FROM (SELECT * FROM m UNION ALL SELECT 'everything', document_id, 'queued' FROM f) GROUP BY 1, 2""",
+        "loaded_models": "SELECT DISTINCT coalesce(s.reranker, u.reranker) AS reranker FROM search_settings s CROSS JOIN (SELECT max(reranker) AS reranker FROM search_settings WHERE collection IS NULL) u WHERE s.collection IS NOT NULL AND coalesce(s.reranker, u.reranker) <> 'none'",
+        "operation_origins": "SELECT DISTINCT r.search_id AS id, s.session_id FROM search_results r LEFT JOIN searches s ON s.id = r.search_id",
+        "events_added": """WITH s AS (SELECT 'u' || user_id AS session_id, min(ts::TIMESTAMP) AS t FROM events GROUP BY 1), n AS (SELECT session_id, min(ts::TIMESTAMP) AS t FROM searches WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM s) GROUP BY 1)
+          SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM n) GROUP BY 1""",
+        "stale_runs": "SELECT id, CASE WHEN error IS NULL THEN 'PENDING' ELSE 'ERROR' END AS status, reranker AS version FROM searches WHERE error IS NULL AND reranker IS DISTINCT FROM 'none' ORDER BY ts, id LIMIT 50",
+        "weak_questions": f"{WEAK} SELECT id, search_id, weak FROM w",
+        "uncovered_questions": f"{WEAK}, o AS (SELECT w.search_id, q.question, min(q.position) AS position FROM w JOIN search_questions q USING (id) WHERE trim(q.question) <> '' AND (w.weak OR q.uncovered = 1) GROUP BY 1, 2) SELECT search_id, string_agg(question, '|' ORDER BY position, question) AS uncovered FROM o GROUP BY 1",
+        "describe_order": f"{RUNS} SELECT collection, document_id, position, row_number() OVER (PARTITION BY collection, document_id ORDER BY depth DESC, position) AS turn FROM runs",
+        "ann_due": f"WITH {CORPUS}, t AS (SELECT collection, count(vector) AS trained FROM corpus WHERE part = 0 GROUP BY 1), n AS (SELECT collection, count(vector) AS vectors FROM corpus GROUP BY 1) SELECT collection, vectors, vectors >= 256 AND (trained IS NULL OR vectors >= 2 * trained) AS due FROM n LEFT JOIN t USING (collection)",
+        "kept_children": "WITH r AS (SELECT DISTINCT search_id FROM search_results WHERE document IS NULL OR document NOT IN (SELECT name FROM documents WHERE status <> 'imported' AND name IS NOT NULL)) SELECT search_id, count(*) AS n FROM search_questions SEMI JOIN r USING (search_id) GROUP BY 1",
+        "shortened_vectors": "WITH s AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, len(v) AS dims, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS first FROM s",
+        "parts_deleted": f"WITH {CORPUS} SELECT collection, count(*) AS n FROM corpus WHERE document_id <> (SELECT min(document_id) FROM corpus) OR part < 0 GROUP BY 1",
         "section_parents": f"{RUNS} SELECT r.collection, r.document_id, r.position, r.depth, p.position AS parent FROM runs r LEFT JOIN runs p ON p.collection = r.collection AND p.document_id = r.document_id AND p.depth = r.depth - 1 AND p.seq_start <= r.seq_start AND p.seq_end >= r.seq_end",
         "missing_terms": f"{hits(10)}, a AS (SELECT item_id AS query_id, unnest({terms('question')}) AS term FROM eval_items), h AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM hits) SELECT query_id, term FROM a ANTI JOIN h USING (query_id, term)",
         "corpus_centre": f"WITH e AS (SELECT 1 AS g, * FROM embeddings), {mean('g').replace('FROM embeddings', 'FROM e')} SELECT pos AS at_, round(x, 6) AS x, rows FROM m".replace('at_', '"at"'),
