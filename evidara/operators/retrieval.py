@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidara.functions.columns import words
 from evidara.session import few_rows, scratch
@@ -88,22 +89,22 @@ class FullText:
 
     def search(self, queries: DataFrame, k: int, query_text: str = "question") -> DataFrame:
         """(query_id, index, key, score, rank): the best k rows of each index for each query; queries are read a block at a time."""
-        kind = queries.schema["query_id"].dataType.simpleString()
+        kind, named = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
         schema, place = f"query_id {kind}, {self.schema}", [*self.index, *self.key]
         asked = queries.select("query_id", F.array_distinct(words(query_text)).alias("terms")).where(F.size("terms") > 0)
         parts, block = [], []
         for r in asked.toLocalIterator():
             block.append(r)
             if len(block) == QUERY_BLOCK:
-                parts.append(self.rows.mapInArrow(self._scorer(block, k), schema))
+                parts.append(self.rows.mapInArrow(self._scorer(block, k, named), schema))
                 block = []
         if block:
-            parts.append(self.rows.mapInArrow(self._scorer(block, k), schema))
+            parts.append(self.rows.mapInArrow(self._scorer(block, k, named), schema))
         if not parts:
             return self.rows.sparkSession.createDataFrame([], schema + ", rank int")
         return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id", *self.index], F.round("score", 9).desc(), *place)
 
-    def _scorer(self, block: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def _scorer(self, block: list, k: int, named: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         spark, index, key = self.rows.sparkSession, self.index, self.key
         terms = sorted({t for r in block for t in r.terms})
         mine = spark.createDataFrame([(t, n) for n, t in enumerate(terms)], "term string, t int")
@@ -140,7 +141,7 @@ class FullText:
                 if found:
                     q, r, score = (np.concatenate(x) for x in zip(*found))
                     taken = pa.array(r)
-                    yield pa.record_batch([pa.array(names).take(pa.array(q)), *(b.column(c).take(taken) for c in (*index, *key)), pa.array(score)], names=["query_id", *index, *key, "score"])
+                    yield pa.record_batch([pa.array(names, named).take(pa.array(q)), *(b.column(c).take(taken) for c in (*index, *key)), pa.array(score)], names=["query_id", *index, *key, "score"])
 
         return run
 
@@ -172,7 +173,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k
     """
     spark = rows.sparkSession
     ids = rows.schema[id_col].dataType.simpleString()
-    asked = queries.schema["query_id"].dataType.simpleString()
+    asked, named = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {asked}, id {ids}, distance double"
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     result = None
@@ -195,7 +196,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k
                 edge = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
                 at_q, at_v = np.nonzero(d <= edge + 1e-12)
                 near = ((q[at_q] - v[at_v]) ** 2).sum(1)
-                yield pa.record_batch([pa.array(names).take(pa.array(at_q)), b.column("id").take(pa.array(at_v)), pa.array(near)], names=["query_id", "id", "distance"])
+                yield pa.record_batch([pa.array(names, named).take(pa.array(at_q)), b.column("id").take(pa.array(at_v)), pa.array(near)], names=["query_id", "id", "distance"])
 
         return own.mapInArrow(run, schema)
 

@@ -314,6 +314,28 @@ SELECT query_id, collection, document_id, seq_start, side, arg_max(steps, total
         "kept_children": "WITH r AS (SELECT DISTINCT search_id FROM search_results WHERE document IS NULL OR document NOT IN (SELECT name FROM documents WHERE status <> 'imported' AND name IS NOT NULL)) SELECT search_id, count(*) AS n FROM search_questions SEMI JOIN r USING (search_id) GROUP BY 1",
         "shortened_vectors": "WITH s AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, len(v) AS dims, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS first FROM s",
         "parts_deleted": f"WITH {CORPUS} SELECT collection, count(*) AS n FROM corpus WHERE document_id <> (SELECT min(document_id) FROM corpus) OR part < 0 GROUP BY 1",
+        "reranked": f"""{hits(50)}, q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) AS ws FROM eval_items),
+          s AS (SELECT h.query_id, {full.replace('collection', 'h.collection', 1)}, CASE WHEN len(ws) > 0 THEN len(list_intersect(ws, list_distinct(list_filter(regexp_split_to_array(lower(framed), '\\s+'), lambda x: x <> '')))) / len(ws) ELSE 0 END AS score FROM hits h JOIN q USING (query_id)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {full}) AS rank FROM s WHERE score >= 0.05)
+          SELECT query_id, {full}, round(score, 6) AS score, rank FROM r WHERE rank <= 25""",
+        "min_cover": f"""{hits(50).replace('WITH ', 'WITH RECURSIVE ', 1)},
+          once AS (SELECT query_id, document_id, seq, max(score) AS score, any_value(name) AS name FROM hits GROUP BY 1, 2, 3), docs AS (SELECT query_id, document_id, any_value(name) AS name, sum(score) AS score FROM once GROUP BY 1, 2),
+          topd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name, document_id) AS place FROM docs) WHERE place <= 10),
+          held AS (SELECT DISTINCT t.query_id, c.collection, t.document_id FROM topd t JOIN chunks c USING (document_id) WHERE c.collection IS NOT NULL),
+          sets AS (SELECT query_id, collection, list(document_id) AS ds FROM held GROUP BY 1, 2), every AS (SELECT query_id, list_distinct(list(document_id)) AS ds FROM held GROUP BY 1),
+          walk(query_id, step, collection, documents, rest) AS (
+            SELECT query_id, 0, NULL::VARCHAR, 0::BIGINT, ds FROM every
+            UNION ALL
+            SELECT query_id, step, collection, n, rest FROM (
+              SELECT w.query_id, w.step + 1 AS step, s.collection, len(list_intersect(s.ds, w.rest))::BIGINT AS n, list_filter(w.rest, lambda x: NOT list_contains(s.ds, x)) AS rest,
+                row_number() OVER (PARTITION BY w.query_id ORDER BY len(list_intersect(s.ds, w.rest)) DESC, s.collection) AS pick
+              FROM walk w JOIN sets s ON s.query_id = w.query_id WHERE len(w.rest) > 0) WHERE pick = 1)
+          SELECT query_id, step, collection, documents FROM walk WHERE step > 0""",
+        "rejoined_ranges": """WITH p AS (SELECT DISTINCT ON (search_id, position) search_id AS query_id, collection, document AS document_id, seq_start, seq_end, score < 0.1 AS alone, header, score, position FROM search_results WHERE parent IS NULL ORDER BY search_id, position),
+          o AS (SELECT *, max(seq_end) OVER (PARTITION BY query_id, collection, document_id ORDER BY seq_start, seq_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p WHERE header IS NOT NULL),
+          f AS (SELECT *, CASE WHEN seq_start <= before + 1 THEN 0 ELSE 1 END AS new FROM o),
+          i AS (SELECT *, sum(new) OVER (PARTITION BY query_id, collection, document_id ORDER BY seq_start, seq_end) AS isle FROM f)
+          SELECT query_id, collection, document_id, min(seq_start) AS seq_start, max(seq_end) AS seq_end, bool_and(alone) AS alone, false AS owed, count(DISTINCT header) AS n_aspects, round(max(score), 6) AS best FROM i GROUP BY query_id, collection, document_id, isle""",
         "section_parents": f"{RUNS} SELECT r.collection, r.document_id, r.position, r.depth, p.position AS parent FROM runs r LEFT JOIN runs p ON p.collection = r.collection AND p.document_id = r.document_id AND p.depth = r.depth - 1 AND p.seq_start <= r.seq_start AND p.seq_end >= r.seq_end",
         "missing_terms": f"{hits(10)}, a AS (SELECT item_id AS query_id, unnest({terms('question')}) AS term FROM eval_items), h AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM hits) SELECT query_id, term FROM a ANTI JOIN h USING (query_id, term)",
         "corpus_centre": f"WITH e AS (SELECT 1 AS g, * FROM embeddings), {mean('g').replace('FROM embeddings', 'FROM e')} SELECT pos AS at_, round(x, 6) AS x, rows FROM m".replace('at_', '"at"'),
