@@ -439,7 +439,6 @@ SELECT query_id, {full}, round(score, 6) AS score FROM ({top('k', 1, 'query_id',
 SELECT {full}, chars, CASE WHEN al <= 2000 THEN chars ELSE least(chars, 666) END AS share FROM r WHERE al <= 2000 OR nth IN (0, floor((n - 1) / 2 + 0.5)::INT, n - 1)""",
         "subsections": f"{RUNS} SELECT a.collection, a.document_id, a.position, b.position AS sub FROM runs a JOIN runs b ON a.collection = b.collection AND a.document_id = b.document_id AND b.depth > a.depth AND b.seq_start >= a.seq_start AND b.seq_end <= a.seq_end AND b.path[1 : a.depth] = a.path",
         "topic_pairs_joined": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
-        "topic_pairs_whole": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label = b.label AS same, count(*) AS pairs, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1) AS joined FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1",
         "chunk_trend": "WITH r AS (SELECT DISTINCT ON (search_id, position) * FROM search_results), b AS (SELECT search_id AS id, sum(seq_end - seq_start + 1)::BIGINT AS n FROM r GROUP BY 1) SELECT id, coalesce(n, 0) AS outputs FROM searches LEFT JOIN b USING (id) WHERE error IS NULL",
         "active_runs": "SELECT o_orderpriority AS name, count(*) AS running, sum(greatest(0, o_orderkey % 10 - o_custkey % 10))::BIGINT AS \"left\" FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
         "model_cache_names": "SELECT DISTINCT embedding, embedding || '@64:' || substring(sha256('query: ;'), 1, 12) AS cache_name FROM searches WHERE embedding IS NOT NULL",

@@ -41,6 +41,6 @@ def test_query_matches_sql(spark, small, duck, name):
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(wanted.fetchall(), wanted.columns)
 
 
-@pytest.mark.parametrize("name", ["answer_chunks", "answer_excerpts", "answer_sections", "leader_fold", "budget_within", "interleave_questions", "vocabulary_preferred", "chunk_documents"])
+@pytest.mark.parametrize("name", ["answer_chunks", "answer_excerpts", "answer_report", "answer_sections", "answer_map_documents", "answer_several", "answer_aspects", "facility_location_map", "map_by_rank", "interleave_questions", "section_descriptors", "vocabulary_terms", "same_titles", "chunk_documents"])
 def test_query_without_sql_runs(spark, small, name):
     assert catalogue.queries()[name](spark, small).count() > 0
