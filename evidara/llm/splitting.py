@@ -83,7 +83,8 @@ def cut(starts: np.ndarray, kinds: list[np.ndarray], begin: int, end: int, limit
         pieces.append((at, stop))
         if stop >= end:
             return pieces
-        back = int(starts[max(0, np.searchsorted(starts, stop, side="left") - overlap)])
+        # a boundary may lie before the next unit starts; what is between must not get lost
+        back = min(stop, int(starts[max(0, np.searchsorted(starts, stop, side="left") - overlap)]))
         at = back if back > at else stop
 
 

@@ -40,6 +40,13 @@ def test_pieces_tile_with_the_overlap(text, limit, data, unit):
         assert "".join([text[a:z] for a, z in pieces[:1]] + [text[z:y] for (_, z), (_, y) in zip(pieces, pieces[1:])]) == text
 
 
+def test_blanks_between_a_boundary_and_the_next_word_are_kept():
+    text = "a a\n a"
+    starts = splitting.unit_starts(text, splitting.SplitSettings(limit=2, overlap=0, unit="words"))
+    kinds = [splitting.np.fromiter((m.end() for m in k.finditer(text)), int) for k in splitting.KINDS]
+    assert "".join(text[a:z] for a, z in splitting.cut(starts, kinds, 0, len(text), 2, 0)) == text
+
+
 def test_pieces_end_at_the_best_boundary():
     text = "One. Two three.\n\nFour five six. Seven eight nine ten eleven twelve."
     pieces = splitting.cut(splitting.np.arange(len(text) + 1), [splitting.np.array([m.end() for m in k.finditer(text)]) for k in splitting.KINDS], 0, len(text), 25, 0)
