@@ -90,16 +90,19 @@ def newest(rows: DataFrame, key: list[str], order: str, tie: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def mean_vector(rows: DataFrame, key: list[str], vector: str, normalise: bool = True) -> DataFrame:
-    """(key, vector, rows): the mean of the rows' unit vectors, not made a unit again; null and zero vectors are left out.
+def mean_vector(rows: DataFrame, key: list[str], vector: str, normalise: bool = True, zeros: bool = False) -> DataFrame:
+    """(key, vector, rows): the mean of the rows' unit vectors, not made a unit again; null vectors are left out, and zero vectors unless
+    `zeros`, where they count as rows that point nowhere.
 
     Sums are taken place by place before anything is put together, so that partial sums are what is shuffled.
     """
     from evidara.functions.columns import norm
 
-    own = rows.where(F.col(vector).isNotNull()).withColumn("_n", norm(vector)).where("_n > 0")
+    own = rows.where(F.col(vector).isNotNull()).withColumn("_n", norm(vector))
+    own = own if zeros else own.where("_n > 0")
     each = own.select(*key, "_n", F.posexplode(vector).alias("at", "x"))
     x = F.col("x").cast("double") / F.col("_n") if normalise else F.col("x").cast("double")
+    x = F.when(F.col("_n") > 0, F.nanvl(x, F.lit(0.0))).otherwise(0.0) if zeros else x
     sums = each.groupBy(*key, "at").agg(F.sum(x).alias("x"), F.count("*").alias("rows"))
     listed = F.sort_array(F.collect_list(F.struct("at", (F.col("x") / F.col("rows")).alias("x"))))
     return sums.groupBy(*key).agg(F.transform(listed, lambda p: p["x"]).alias("vector"), F.max("rows").alias("rows"))

@@ -44,3 +44,14 @@ def test_query_matches_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", ["answer_chunks", "answer_excerpts", "answer_report", "answer_sections", "answer_map_documents", "answer_several", "answer_aspects", "facility_location_map", "map_by_rank", "interleave_questions", "section_descriptors", "vocabulary_terms", "same_titles", "chunk_documents"])
 def test_query_without_sql_runs(spark, small, name):
     assert catalogue.queries()[name](spark, small).count() > 0
+
+
+def test_section_vectors_count_zero_vectors(spark, tmp_path):
+    chunks = [("c", "d", 1, ["A"], "x", [3.0, 4.0]), ("c", "d", 2, ["A", "B"], "x", [0.0, 0.0]), ("c", "d", 3, ["C"], "x", None), ("c", "e", 1, [], "x", [0.0, 0.0]), ("c", "f", 1, [], "x", [float("nan"), 1.0])]
+    chunks = [(*r, n, n + 1) for n, r in enumerate(chunks)]
+    spark.createDataFrame(chunks, "collection string, document_id string, seq int, headings array<string>, text string, vector array<float>, char_start int, char_end int").coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW chunks AS SELECT * FROM '{tmp_path}/chunks.parquet/*.parquet'")
+    found, wanted = catalogue.queries()["section_vectors"](spark, str(tmp_path)), c.sql(ORACLES["section_vectors"])
+    assert rows([tuple(r) for r in found.collect()], found.columns) == rows(wanted.fetchall(), wanted.columns)
+    assert {(r.document_id, r.position): (r.rows, r.first, r.norm) for r in found.collect()} == {("d", 0): (2, 0.3, 0.5), ("d", 1): (2, 0.3, 0.5), ("d", 2): (1, 0.0, 0.0), ("e", 0): (1, 0.0, 0.0), ("f", 0): (1, 0.0, 0.0)}
