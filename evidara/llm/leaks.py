@@ -135,7 +135,7 @@ def leaks(texts: DataFrame, id_col: str, text_col: str, items: DataFrame, item_c
     """(id, item, windows): texts that hold windows of items, and how many of the text's windows do.
 
     stride: words from one window of an item to the next. Texts are met at every word, so that a stride over 1 still finds
-    whatever repeats width + stride - 1 words of an item; it is for looser similarities.
+    whatever repeats width + stride - 1 words of an item, but not all that is alike to windows in between; no query uses one.
     """
     docs = spread(texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
     held = items.select(F.col(item_col).cast("long").alias("item"), F.col(passage_col).alias("passage")).where("item is not null and passage is not null").distinct()

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from evidara.llm import common, leaks, neardup, spans, vectors
+from evidara.llm import common, leaks, neardup, queries, spans, vectors
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -191,6 +191,31 @@ def test_near_leaks_match_brute_force(spark):
     assert {x.item: x.texts for x in leaks.by_item(found).collect()} == {k: sum(j == k for _, j in want) for _, k in want}
 
 
+def test_near_leaks_look_at_every_window(spark, tmp_path):
+    r = random.Random(11)
+    items = [(i, " ".join(r.choice(WORDS) + str(r.randrange(90)) for _ in range(70))) for i in range(8)]
+    # exactly one window of each item, a little changed, at every place in the stride that there was
+    texts = [(i, " ".join(["lead", *p.split()[11 + i : 41 + i], "tail"])) for i, p in items]
+    texts = [(i, " ".join("changed" if at == 15 and i % 2 else w for at, w in enumerate(t.split()))) for i, t in texts]
+    want = {}
+    for i, t in texts:
+        p = common.shingles(common.hashed_words(t), 2)
+        f = leaks.fingerprints(p, 29)
+        for k, passage in items:
+            q = common.shingles(common.hashed_words(passage), 2)
+            g = leaks.fingerprints(q, 29)
+            for x in range(len(f)):
+                for y in range(len(g)):
+                    a, b = set(p[x : x + 29].tolist()), set(q[y : y + 29].tolist())
+                    weight = lambda s: sum((v & 3) + 1 for v in s)
+                    if np.bitwise_count(f[x] ^ g[y]) <= 6 and weight(a & b) >= 0.8 * weight(a | b):
+                        want.setdefault((i, k), set()).add(x)
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {(x.doc_id, x.item_id): x.windows for x in queries.p8_near(spark, str(tmp_path)).collect()} == {k: len(v) for k, v in want.items()}
+    assert {(i, i) for i in range(0, 8, 2)} <= set(want)
+
+
 def test_paragraph_clusters_match_brute_force(spark):
     r = random.Random(2)
     long = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(6)]
