@@ -346,6 +346,22 @@ def test_stuffed_pages_are_told_from_prose(spark):
     assert joined == pytest.approx(found)
 
 
+def test_pair_counts_pass_the_driver_in_pieces(spark, monkeypatch):
+    texts = [sentences(random.Random(i), 12) for i in range(40)] + [" ".join(random.Random(9).choices(["engine", "window", "cheap", "table"], k=90))] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined = {x.id: x.share for x in spam.stuffed(df, "doc_id", "text", spam.SpamSettings(held=0)).collect()}
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("the driver takes all pairs at once"))
+    monkeypatch.setattr(spam, "PIECE", 30, raising=False)
+    found = {x.id: x.share for x in spam.stuffed(df, "doc_id", "text").collect()}
+    keys, n, m = spam._counted(spam.Read(texts))
+    pieces = [dict(zip(spam.np.frombuffer(k, spam.U64).tolist(), spam.np.frombuffer(v, spam.np.float32).tolist(), strict=True)) for k, v in sent]
+    assert len(pieces) > 1 and all(0 < len(x) <= 30 for x in pieces)
+    assert {k: v for x in pieces for k, v in x.items()} == dict(zip(keys[m > 1].tolist(), n[m > 1].tolist())) and sum(map(len, pieces)) == (m > 1).sum()
+    assert found == pytest.approx(joined) and max(found.values()) > 0.5
+
+
 def test_coherence_holds_at_any_size():
     texts = [sentences(random.Random(i), 12) for i in range(40)]
     keys, n, m = spam._counted(spam.Read(texts))
