@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidara.llm import mixing, ocr, ranking, spam, splitting, terms, tokens
+from evidara.llm import mixing, ocr, queries, ranking, spam, splitting, terms, tokens
 
 needs_tokenizer = pytest.mark.skipif(not Path(f"{tokens.FOLDER}/{tokens.VOCABULARY}").exists(), reason="no vocabulary files")
 
@@ -246,6 +246,24 @@ def test_terms_match_brute_force(spark):
     assert twice == {k: 2 * v[0] for k, v in want.items()}
 
 
+def test_found_terms_come_by_counts_alone(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    vocabulary, rare = ["words", "Größe", "tables", "short", "longest"], [f"rare{c}" for c in "abcdefgh"]
+    rows = [(i % 22, " ".join(r.choices(vocabulary, k=20) + [r.choice(rare)] * r.randrange(5)), r.choice([None, "", "tables and words"])) for i in range(25)]
+    rows += [(30, None, "longer longer longer"), (31, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, description string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts: dict[int, Counter] = {}
+    for i, *texts in rows:
+        counts.setdefault(i, Counter()).update(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if len(w) >= 5)
+    df_ = Counter(w for c in counts.values() for w in c)
+    want = {(i, w) for i, c in counts.items() for w, n in c.items() if n >= 3 and df_[w] <= 6}
+    scored = terms.term_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", ["text", "description"], least=3, most=6)
+    assert {(x.id, x.term) for x in scored.collect()} == want
+    monkeypatch.setattr(terms, "log_likelihood", lambda *_: pytest.fail("a ratio that decides nothing"))
+    got = [(x.doc_id, x.term) for x in queries.p7_found(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (30, "longer") in want and len(want) > 5
+
+
 def test_terms_of_an_empty_table(spark):
     assert terms.term_scores(spark.createDataFrame([], "doc_id long, text string"), "doc_id", ["text"]).count() == 0
 
