@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evidara.operators import descriptors
 
 RUN = "collection string, document_id string, position int, depth int, seq_start int, seq_end int"
@@ -71,3 +73,29 @@ def test_concepts_take_the_nearest_preferred_term(spark):
     assert {(r.a, r.b) for r in descriptors.pairs_to_ask(pairs, verdicts, "j").collect()} == {("bbb", "dd")}
     vectors = spark.createDataFrame([("m", "aa"), ("n", "c")], "model string, variant string")
     assert {r.variant for r in descriptors.missing_vectors(uses, vectors, "m").collect()} == {"bbb", "c", "dd", "e"}
+
+
+def test_neighbours_of_a_block_read_the_rows_once(spark):
+    given = [(f"i{n:02d}", [1.0, n // 8 / 10]) for n in range(24)] + [("j", [0.0, -1.0])]
+    rows = spark.createDataFrame(given, "id string, v array<float>").groupBy("id").agg(F.max("v").alias("v"))
+    found = [descriptors.pairs_to_judge(rows, "id", "v", k=3, least=0.999, block=block) for block in (100, 1)]
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") and not any("Scan ExistingRDD" in p for p in plans)
+    # of eight equal vectors each pairs with the first three others
+    wanted = {(f"i{8 * g + a:02d}", f"i{8 * g + b:02d}") for g in range(3) for b in range(8) for a in range(min(b, 4 if b < 4 else 3))}
+    for f in found:
+        assert {(r.a, r.b) for r in f.collect()} == wanted
+
+
+def test_concepts_read_the_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            read.add(b.num_rows)
+            yield b
+
+    uses = spark.createDataFrame([(v, n) for n, v in enumerate("abcdef")], "variant string, uses long")
+    same = spark.createDataFrame([("a", "b", 0.95), ("b", "c", 0.96), ("c", "d", 0.97), ("c", "e", 0.94)], "a string, b string, cosine double").mapInArrow(counted, "a string, b string, cosine double")
+    assert {r.variant: r.preferred for r in descriptors.preferred(uses, same).collect()} == {"a": "b", "b": "b", "c": "d", "d": "d", "e": "e", "f": "f"}
+    assert read.value == 4
