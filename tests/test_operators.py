@@ -267,3 +267,20 @@ def test_whole_topic_pairs_count_every_pair(spark, small):
 
     n = spark.read.parquet(f"{small}/embeddings.parquet").count()
     assert sum(x.pairs for x in catalogue.queries()["topic_pairs_joined"](spark, small).collect()) == n * (n - 1) // 2
+
+
+def test_overlap_reads_the_pairs_and_only_their_vectors_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            read.add(b.num_rows)
+            yield b
+
+    chunks = [("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 2.0]), ("b", 1, [3.0, 0.0]), ("c", 1, [0.0, 0.0]), ("d", 1, [1.0, 0.0]), ("d", 2, [-1.0, 0.0]), ("e", 1, [1.0, 1.0])]
+    rows = spark.createDataFrame([(0, *c) for c in chunks], "query_id int, item string, seq int, vector array<float>")
+    kind = "query_id int, a string, b string"
+    pairs = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "a", "d"), (0, "b", "x")], kind).mapInArrow(counted, kind)
+    found = {(r.a, r.b): (round(r.into, 6), round(r.over, 6), round(r.alike, 6)) for r in collapse.vector_overlaps(pairs, rows).collect()}
+    assert found == {("a", "b"): (1.0, 0.5, round(0.5**0.5, 6)), ("b", "c"): (0.0, 0.0, 0.0), ("a", "d"): (0.5, 0.5, 0.0)}
+    assert read.value == 4
