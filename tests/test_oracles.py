@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from evidara.plans import catalogue
+from evidara.plans.oracles import CORPUS
 
 ORACLES = catalogue.oracle_sql()
 
@@ -55,3 +56,15 @@ def test_section_vectors_count_zero_vectors(spark, tmp_path):
     found, wanted = catalogue.queries()["section_vectors"](spark, str(tmp_path)), c.sql(ORACLES["section_vectors"])
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(wanted.fetchall(), wanted.columns)
     assert {(r.document_id, r.position): (r.rows, r.first, r.norm) for r in found.collect()} == {("d", 0): (2, 0.3, 0.5), ("d", 1): (2, 0.3, 0.5), ("d", 2): (1, 0.0, 0.0), ("e", 0): (1, 0.0, 0.0), ("f", 0): (1, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("name", ["vocabulary_preferred", "vocabulary_terms", "embedding_overlap"])
+def test_chunks_are_read_before_neighbours_are_joined(spark, small, name):
+    found = catalogue.queries()[name](spark, small)
+    assert "chunks.parquet" not in found._jdf.queryExecution().executedPlan().toString()  # what comes from them is written once
+
+
+def test_vocabulary_terms_stand_for_every_id(spark, small, duck):
+    found = catalogue.queries()["vocabulary_terms"](spark, small).collect()
+    names = [v for r in found for v in r.variants.split(",")]
+    assert (sum(r.uses for r in found), len(names), len(set(names))) == duck.sql(f"WITH {CORPUS} SELECT count(*), count(DISTINCT id), count(DISTINCT id) FROM corpus").fetchall()[0]
